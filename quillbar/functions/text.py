@@ -36,17 +36,12 @@ ENTITY_FLAGS = [
 ]
 
 
-def _drop(text: Column, pattern: str, needs: str) -> Column:
-    """Remove the pattern; texts without its key character skip the regex."""
-    return F.when(F.contains(text, F.lit(needs)), F.regexp_replace(text, pattern, "")).otherwise(text)
-
-
 def drop_urls(text: Column) -> Column:
-    return _drop(text, URL, "://")
+    return F.regexp_replace(text, URL, "")
 
 
 def drop_emails(text: Column) -> Column:
-    return _drop(text, EMAIL, "@")
+    return F.regexp_replace(text, EMAIL, "")
 
 
 def drop_phones(text: Column) -> Column:
@@ -54,11 +49,11 @@ def drop_phones(text: Column) -> Column:
 
 
 def drop_mentions(text: Column) -> Column:
-    return _drop(text, MENTION, "@")
+    return F.regexp_replace(text, MENTION, "")
 
 
 def drop_hashtags(text: Column) -> Column:
-    return _drop(text, HASHTAG, "#")
+    return F.regexp_replace(text, HASHTAG, "")
 
 
 def squeeze(text: Column) -> Column:
@@ -85,8 +80,7 @@ def tokenize(text: Column) -> Column:
 
     An approximation of Treebank tokens: no sentence splitting and no abbreviation list.
     """
-    parted = F.when(F.contains(text, F.lit("'")), F.regexp_replace(text, CLITIC, "$1 $2")).otherwise(text)
-    found = F.regexp_extract_all(parted, F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(text, CLITIC, "$1 $2"), F.lit(TOKEN), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -102,25 +96,29 @@ def remove_stopwords(tokens: Column, words: Sequence[str] | None = None,
     return F.filter(tokens, lambda t: ~t.isin(list(words))) if words else tokens
 
 
-def _in_list(value: Column, words: Sequence[str]) -> Column:
-    return value.isin(list(words)) if words else F.lit(False)
-
-
 def lemma_of(token: Column, vocabulary: Sequence[str]) -> Column:
-    """The shortest of the token and its noun detachments that is in the vocabulary."""
-    forms = [token]
-    for ending, replacement in NOUN_ENDINGS:
+    """The shortest of the token and its noun detachments that is in the vocabulary.
+
+    Only tokens with a noun ending can change; all others are passed through unseen.
+    """
+    forms = [F.struct(F.length(token).alias("n"), F.lit(0).alias("i"), token.alias("form"))]
+    for i, (ending, replacement) in enumerate(NOUN_ENDINGS, start=1):
         stem = F.substring(token, F.lit(1), F.length(token) - len(ending))
-        forms.append(F.when(F.endswith(token, F.lit(ending)), F.concat(stem, F.lit(replacement))))
-    known = [F.when(_in_list(f, vocabulary), F.struct(F.length(f).alias("n"), F.lit(i).alias("i"), f.alias("form")))
-             for i, f in enumerate(forms)]
-    return F.coalesce(F.least(*known)["form"], token)
+        form = F.concat(stem, F.lit(replacement))
+        forms.append(F.when(F.endswith(token, F.lit(ending)),
+                            F.struct(F.length(form).alias("n"), F.lit(i).alias("i"), form.alias("form"))))
+    known = F.filter(F.array(*forms), lambda f: f["form"].isin(list(vocabulary)))
+    may_change = F.lit(False)
+    for ending, _ in NOUN_ENDINGS:
+        if not any(ending != other and ending.endswith(other) for other, _ in NOUN_ENDINGS):
+            may_change = may_change | F.endswith(token, F.lit(ending))
+    return F.when(may_change, F.coalesce(F.array_min(known)["form"], token)).otherwise(token)
 
 
 def lemmatize_with(tokens: Column, exceptions: dict[str, str], vocabulary: Sequence[str]) -> Column:
     """Lemmas from a dictionary small enough to be part of the expression (see ``operators.lemmas``)."""
     def lemma(token: Column) -> Column:
-        regular = lemma_of(token, vocabulary)
+        regular = lemma_of(token, vocabulary) if vocabulary else token
         if not exceptions:
             return regular
         table = F.create_map(*[F.lit(x) for pair in exceptions.items() for x in pair])
@@ -139,28 +137,30 @@ def preprocess_text(text: Column, words: Sequence[str] | None = None, **cleaning
     return F.array_join(preprocess_tokens(text, words, **cleaning), " ")
 
 
-def _has_any(text: Column, lowered: Column, words: Sequence[str], match: str) -> Column:
+def _has_any(lowered: Column, words: Sequence[str], match: str) -> Column:
     if match == "word":
         return F.rlike(lowered, F.lit(rf"(?<![{WORD}])(?:{'|'.join(words)})(?![{WORD}])"))
+    if match != "substring":
+        raise ValueError("match must be 'substring' or 'word'")
     hit = F.contains(lowered, F.lit(words[0]))
     for w in words[1:]:
         hit = hit | F.contains(lowered, F.lit(w))
     return hit
 
 
-def entity_flags(text: Column, match: str = "substring") -> dict[str, Column]:
+def entity_flags(text: Column, lowered: Column | None = None, match: str = "substring") -> dict[str, Column]:
     """The six flags. ``match='substring'`` lets ``deal`` hit ``ideal``; ``'word'`` does not.
 
     An amount and a price target are both ``$`` followed by a digit: what comes after that digit
     is optional, so the two flags agree.
     """
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     dollars = F.contains(text, F.lit("$")) & F.rlike(text, F.lit(r"\$\p{Nd}"))
     percent = F.contains(text, F.lit("%")) & F.rlike(text, F.lit(r"\p{Nd}%"))
     flags = {
-        "has_earnings_keywords": _has_any(text, lowered, EARNINGS_WORDS, match),
-        "has_merger_keywords": _has_any(text, lowered, MERGER_WORDS, match),
-        "has_regulatory_keywords": _has_any(text, lowered, REGULATORY_WORDS, match),
+        "has_earnings_keywords": _has_any(lowered, EARNINGS_WORDS, match),
+        "has_merger_keywords": _has_any(lowered, MERGER_WORDS, match),
+        "has_regulatory_keywords": _has_any(lowered, REGULATORY_WORDS, match),
         "has_price_target": dollars,
         "has_percentage": percent,
         "has_dollar_amount": dollars,

@@ -40,12 +40,19 @@ def _priced(df: DataFrame, order: RowOrder, price: str, fill: str) -> tuple[Data
     return order.fill_forward(df, price, "_price"), "_price"
 
 
+def order_for(df: DataFrame, order: RowOrder) -> RowOrder:
+    """The order to use on this table: only whole days bound a symbol's rows by the calendar, so a
+    table keyed by time stamps loses that promise."""
+    by_day = all(df.schema[c].dataType.typeName() == "date" for c in order.order)
+    return order if by_day or not order.bounded else replace(order, bounded=False)
+
+
 def returns(df: DataFrame, rows: int = 1, into: str = "price_change_1d", price: str = "close",
-            order: RowOrder = DAILY, fill: str = "pad", keep_position: bool = False) -> DataFrame:
+            order: RowOrder = DAILY, fill: str = "pad") -> DataFrame:
     """Return over ``rows`` rows. ``fill='pad'`` carries the last known price over gaps."""
+    order = order_for(df, order)
     priced, column = _priced(df, order, price, fill)
-    out = order.frames(priced, rows, 0, lambda d, w: d.withColumn(into, pct_change(column, w, rows)), keep_position)
-    return out.drop("_price")
+    return order.frames(priced, rows, 0, lambda d, w: d.withColumn(into, pct_change(column, w, rows))).drop("_price")
 
 
 def _with_rsi(df: DataFrame, spec: WindowSpec, price: str, rows: int, into: str) -> DataFrame:
@@ -68,6 +75,7 @@ def rsi(df: DataFrame, rows: int = 14, into: str = "rsi_14d", price: str = "clos
     ``scope='symbol'`` restarts at each symbol. ``scope='frame'`` runs through the table in
     (symbol, date) order, so a symbol's first rows see the end of the symbol before it.
     """
+    order = order_for(df, order)
     if scope == "frame":
         order = replace(order, keys=(), order=order.keys + order.order, bounded=False)
     return order.frames(df, rows, 0, lambda d, w: _with_rsi(d, w, price, rows, into))
@@ -75,6 +83,7 @@ def rsi(df: DataFrame, rows: int = 14, into: str = "rsi_14d", price: str = "clos
 
 def add_indicators(df: DataFrame, order: RowOrder = DAILY, fill: str = "pad") -> DataFrame:
     """All 13 indicators."""
+    order = order_for(df, order)
     priced, price = _priced(df, order, "close", fill)
 
     def add(d: DataFrame, w: WindowSpec) -> DataFrame:
@@ -99,21 +108,22 @@ def add_indicators(df: DataFrame, order: RowOrder = DAILY, fill: str = "pad") ->
             "price_vs_ma50": ratio(close, F.col("ma_50d")) - 1,
         })
 
-    kept = [c for c in df.columns if c != "_pos"]
-    return order.frames(priced, 50, 0, add).select(*kept, *INDICATORS)
+    return order.frames(priced, 50, 0, add).select(*df.columns, *INDICATORS)
 
 
 def rolling(df: DataFrame, aggregate, column: str, rows: int, into: str, order: RowOrder = DAILY) -> DataFrame:
     """One rolling aggregate with a full window."""
-    return order.frames(df, rows, 0, lambda d, w: d.withColumn(into, full_window(aggregate, column, w, rows)))
+    return order_for(df, order).frames(df, rows, 0, lambda d, w: d.withColumn(into, full_window(aggregate, column, w, rows)))
 
 
 def future_return(df: DataFrame, horizon: int = 1, price: str = "close", order: RowOrder = DAILY) -> DataFrame:
     """Return from this row to the one ``horizon`` rows later."""
-    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
-        return d.withColumn("future_return", ratio(F.lead(price, horizon).over(w), F.col(price)) - 1)
-
-    return order.frames(df, 0, horizon, add)
+    order = order_for(df, order)
+    if horizon == 1:
+        ahead = order.following(df, price, "_ahead")
+    else:
+        ahead = order.frames(df, 0, horizon, lambda d, w: d.withColumn("_ahead", F.lead(price, horizon).over(w)))
+    return ahead.withColumn("future_return", ratio(F.col("_ahead"), F.col(price)) - 1).drop("_ahead")
 
 
 def label_of(value: Column, threshold: float) -> Column:

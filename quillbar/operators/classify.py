@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillbar.functions.fixed_values import LABELS
 from quillbar.functions.numeric import ratio
 from quillbar.operators.ordered import RowOrder
+from quillbar.session import materialize
 
 MAIN_METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted"]
 CLASS_METRICS = [f"{m}_{c}" for c in LABELS for m in ("precision", "recall", "f1")]
@@ -102,6 +103,7 @@ def rank_metrics(predictions: DataFrame, by: Sequence[str] = ("model",), **layou
         .agg(F.sum("hit").alias("pos"), (F.count(F.lit(1)) - F.sum("hit")).alias("neg"))
         .withColumn("_down", -F.col("score"))
     )
+    scores = materialize(scores)
     order = RowOrder((*by, "class"), ("_down",), **layout)
     ranked = order.running_sum(scores, {"pos": "cum_pos", "neg": "cum_neg"})
     # Per score: negatives ranked strictly above it, and half of those equal to it, are pairs lost.

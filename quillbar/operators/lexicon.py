@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillbar.functions import fixed_values as fixed
 from quillbar.functions.numeric import ratio
 from quillbar.functions.text import clean_text, tokenize
+from quillbar.session import spread
 
 BROADCAST_ROWS = 1_000_000
 
@@ -28,8 +29,9 @@ def join_words(words: DataFrame, lexicon: DataFrame, broadcast_rows: int = BROAD
     return words.join(F.broadcast(lexicon) if small_enough(lexicon, broadcast_rows) else lexicon, "token", "left")
 
 
-def tokens_of(text: str) -> Column:
-    return tokenize(clean_text(F.col(text)))
+def with_tokens(df: DataFrame, key: str, text: str, into: str = "_tokens") -> DataFrame:
+    """``key`` and the tokens of the cleaned text; a table in too few partitions is spread first."""
+    return spread(df.select(key, text)).select(key, tokenize(clean_text(F.col(text))).alias(into))
 
 
 def label_by_cut(score: Column, cut: float = fixed.VALENCE_CUT) -> Column:
@@ -41,7 +43,7 @@ def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, cut: float
 
     ``lexicon`` has ``token, polarity, subjectivity``, one row per token.
     """
-    words = df.select(key, F.explode_outer(tokens_of(text)).alias("token"))
+    words = with_tokens(df, key, text).select(key, F.explode_outer("_tokens").alias("token"))
     hits = join_words(words, lexicon.select("token", "polarity", "subjectivity"))
     found = F.count("polarity")
     scored = hits.groupBy(key).agg(
@@ -61,14 +63,14 @@ def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: S
     shares are of positive, negative and neutral words, as in the published rules.
     """
     tokens = F.col("_tokens")
-    spread = df.select(key, tokens_of(text).alias("_tokens")).select(key, F.inline_outer(F.transform(
+    placed = with_tokens(df, key, text).select(key, F.inline_outer(F.transform(
         tokens, lambda t, i: F.struct(
             t.alias("token"),
             F.when(i >= 1, F.get(tokens, i - 1)).alias("b1"),
             F.when(i >= 2, F.get(tokens, i - 2)).alias("b2"),
             F.when(i >= 3, F.get(tokens, i - 3)).alias("b3"),
         ))))
-    hits = join_words(spread, lexicon.select("token", F.col("valence").cast("double").alias("valence")))
+    hits = join_words(placed, lexicon.select("token", F.col("valence").cast("double").alias("valence")))
     base = F.col("valence")
 
     def boost(name: str, weight: float) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillbar.functions.fixed_values import LABELS
 from quillbar.functions.numeric import hash_int
-from quillbar.operators.lexicon import BROADCAST_ROWS, tokens_of
+from quillbar.operators.lexicon import BROADCAST_ROWS, with_tokens
 from quillbar.session import materialize
 
 PROBABILITIES = [f"p_{c}" for c in LABELS]
@@ -78,7 +78,7 @@ class NaiveBayes:
             broadcast_rows: int = BROADCAST_ROWS) -> NaiveBayes:
         rows = train.where(F.col(label).isin(LABELS))
         counts = (
-            rows.select(F.col(label).alias("label"), F.explode(tokens_of(text)).alias("token"))
+            with_tokens(rows, label, text).select(F.col(label).alias("label"), F.explode("_tokens").alias("token"))
             .groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in LABELS])
         )
         counts = materialize(counts)
@@ -96,28 +96,29 @@ class NaiveBayes:
         tokens = sum(total[f"t_{c}"] for c in LABELS)
         return cls(words, priors, words.where(F.col("n") > tokens / broadcast_rows))
 
-    def _look_up(self, tokens: DataFrame, key: str) -> DataFrame:
-        """Log likelihoods beside each token. A small model is broadcast; of a large one only the
-        frequent words are, and rare words, each few, meet by shuffle."""
+    def _summed(self, tokens: DataFrame, key: str) -> DataFrame:
+        """Summed log likelihoods per row. A small model is broadcast, so rows are summed where
+        they are; of a large one only the frequent words are, and rare words, each few, meet by
+        shuffle."""
         likelihoods = [f"l_{c}" for c in LABELS]
         if self.hot_words is None:
-            return tokens.join(F.broadcast(self.words.drop("n")), "token")
-        seen = tokens.join(F.broadcast(self.hot_words.drop("n")), "token", "left")
+            found = tokens.join(F.broadcast(self.words.drop("n")), "token")
+            return found.groupBy(key).agg(*[F.sum(n).alias(f"_s_{n}") for n in likelihoods])
+        counted = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n"))
+        seen = counted.join(F.broadcast(self.hot_words.drop("n")), "token", "left")
         hot = seen.where(F.col(likelihoods[0]).isNotNull())
-        rare = seen.where(F.col(likelihoods[0]).isNull()).select(key, "token", "_n").join(
-            self.words.drop("n").hint("shuffle_hash"), "token")
-        return hot.unionByName(rare)
+        rare = seen.where(F.col(likelihoods[0]).isNull()).select(key, "token", "_n").join(self.words.drop("n"), "token")
+        found = hot.unionByName(rare)
+        return found.groupBy(key).agg(*[F.sum(F.col("_n") * F.col(n)).alias(f"_s_{n}") for n in likelihoods])
 
     def score(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``key, y_pred, p_*, score_*``; the scores are joint log likelihoods."""
-        tokens = df.select(key, F.explode(tokens_of(text)).alias("token")).groupBy(key, "token").agg(
-            F.count(F.lit(1)).alias("_n"))
-        sums = self._look_up(tokens, key).groupBy(key).agg(*[
-            F.sum(F.col("_n") * F.col(f"l_{c}")).alias(f"_s_{c}") for c in LABELS])
+        tokens = with_tokens(df, key, text).select(key, F.explode("_tokens").alias("token"))
+        sums = self._summed(tokens, key)
         prior = self.priors.first()
         found = df.select(key).join(sums, key, "left")
         scored = found.select(key, *[
-            (F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) + F.lit(prior[f"l_{c}"])).alias(f"score_{c}") for c in LABELS])
+            (F.coalesce(F.col(f"_s_l_{c}"), F.lit(0.0)) + F.lit(prior[f"l_{c}"])).alias(f"score_{c}") for c in LABELS])
         scores = [F.col(f"score_{c}") for c in LABELS]
         top = F.greatest(*scores)
         weights = [F.coalesce(F.exp(s - top), F.lit(0.0)) for s in scores]

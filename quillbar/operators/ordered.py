@@ -6,7 +6,11 @@ functions here then work in three steps:
 
 1. the rows are cut into ranges of the full order key, at bounds taken from a sample;
 2. windows run within a range, and one summary row per (key, range) is kept;
-3. a prefix over the summaries gives each range what came before it.
+3. a prefix over the summaries gives each range what came before it, and is joined back on
+   (key, range), by which the rows are already partitioned.
+
+The input is read once for the bounds, once for the summaries and once for the result, each time
+with only the columns needed. Give it a materialised table where it is costly to compute.
 
 The sample is chosen by a hash of the order key, so the bounds depend on the data alone and the
 range of a row is the same wherever and however often it is computed.
@@ -15,7 +19,7 @@ range of a row is the same wherever and however often it is computed.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql.types import DataType
@@ -94,63 +98,73 @@ class RowOrder:
 
     ``order`` must be unique within ``keys``. ``bounded`` states that the rows of one key are few
     by nature (one bar per symbol and day): plain windows are used, with one shuffle. Otherwise
-    rows get their position within the key and are handled ``chunk_rows`` at a time.
+    the order is settled first: a table smaller than the sample counts as bounded too, any other
+    is cut into ranges.
 
-    ``sample`` is a cheaper table with the same key and order columns to take the range bounds
-    from. Bounds only decide how evenly the work is spread, so it need not hold the same rows.
+    ``sample`` is a cheaper table with the key and order columns to take the bounds from. It should
+    hold at least the rows of the table itself; bounds only decide how evenly work is spread.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     bounded: bool = False
-    chunk_rows: int = 1_000_000
+    sample: DataFrame | None = None
+    bounds: tuple[tuple, ...] | None = None
     ranges: int | None = None
     smallest_sample: int = SMALLEST_SAMPLE
-    sample: DataFrame | None = None
+    chunk_rows: int = 1_000_000
 
-    def _ranged(self, df: DataFrame) -> DataFrame:
-        cols = [*self.keys, *self.order]
-        bounds = range_bounds(df if self.sample is None else self.sample, cols, self.ranges, self.smallest_sample)
-        return df.withColumn("_range", range_of(df, cols, bounds))
+    def settle(self, df: DataFrame) -> RowOrder:
+        if self.bounded or self.bounds is not None:
+            return self
+        source = df if self.sample is None else self.sample
+        bounds = range_bounds(source, [*self.keys, *self.order], self.ranges, self.smallest_sample)
+        return replace(self, bounds=tuple(bounds)) if bounds else replace(self, bounded=True)
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
+    def _ranged(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_range", range_of(df, [*self.keys, *self.order], list(self.bounds)))
+
+    def _here(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, "_range").orderBy(*self.order)
+
+    def _ranges_of_key(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy("_range")
+
+    def _carry(self, rows: DataFrame, ranged: DataFrame, summaries: dict[str, Column],
+               carried: dict[str, Column]) -> DataFrame:
+        """Join to ``rows`` what ``carried`` makes of the summaries of the key's other ranges."""
+        group = [*self.keys, "_range"]
+        table = ranged.groupBy(*group).agg(*[c.alias(n) for n, c in summaries.items()])
+        return join_back(rows, table.select(*group, *[c.alias(n) for n, c in carried.items()]), group)
+
     def positions(self, df: DataFrame, name: str = "_pos") -> DataFrame:
         """Add each row's 0-based position within its key."""
-        if self.bounded:
-            return df.withColumn(name, (F.row_number().over(self.window()) - 1).cast("long"))
-        keys = list(self.keys)
-        spread = self._ranged(df)
-        here = Window.partitionBy(*keys, "_range").orderBy(*self.order)
-        starts = (
-            spread.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_start", F.coalesce(
-                F.sum("_n").over(before(Window.partitionBy(*keys).orderBy("_range"))), F.lit(0)))
-            .drop("_n")
-        )
-        numbered = spread.withColumn("_row", F.row_number().over(here))
-        return (
-            join_back(numbered, starts, keys + ["_range"])
-            .withColumn(name, F.col("_start") + F.col("_row") - 1)
-            .drop("_range", "_row", "_start")
-        )
-
-    def chunk(self) -> Column:
-        return F.floor(F.col("_pos") / self.chunk_rows)
+        me = self.settle(df)
+        if me.bounded:
+            return df.withColumn(name, (F.row_number().over(me.window()) - 1).cast("long"))
+        ranged = me._ranged(df)
+        rows = me._carry(
+            ranged.withColumn("_row", F.row_number().over(me._here())), ranged,
+            {"_n": F.count(F.lit(1))},
+            {"_start": F.coalesce(F.sum("_n").over(before(me._ranges_of_key())), F.lit(0))})
+        return rows.withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_range", "_row", "_start")
 
     def frames(self, df: DataFrame, back: int, ahead: int,
-               add: Callable[[DataFrame, WindowSpec], DataFrame], keep_position: bool = False) -> DataFrame:
+               add: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
         """Add columns whose window frames reach ``back`` rows back and ``ahead`` rows ahead.
 
-        Rows near the edge of a chunk are copied to the neighbour that needs them and dropped
-        again afterwards.
+        Large tables are cut into chunks of ``chunk_rows`` consecutive rows of a key. Rows near the
+        edge of a chunk are copied to the neighbour that needs them and dropped again afterwards.
         """
-        if self.bounded:
-            return add(df, self.window())
+        me = self.settle(df)
+        if me.bounded:
+            return add(df, me.window())
         if max(back, ahead) > self.chunk_rows:
             raise ValueError("chunk_rows must be at least the reach of the frames")
-        placed = (df if "_pos" in df.columns else self.positions(df)).withColumn("_home", self.chunk())
+        placed = me.positions(df).withColumn("_home", F.floor(F.col("_pos") / self.chunk_rows))
         offset = F.col("_pos") % self.chunk_rows
         homes = F.array_compact(F.array(
             F.col("_home"),
@@ -159,63 +173,80 @@ class RowOrder:
         ))
         copied = placed.withColumn("_chunk", F.explode(homes))
         spec = Window.partitionBy(*self.keys, "_chunk").orderBy("_pos")
-        done = add(copied, spec).where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
-        return done if keep_position else done.drop("_pos")
+        return add(copied, spec).where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home", "_pos")
+
+    def previous(self, df: DataFrame, last: dict[str, str], known: dict[str, str] | None = None) -> DataFrame:
+        """Add values from before the row: ``last`` maps a column to its value in the row before,
+        ``known`` to its last non-null value in any row before."""
+        known = known or {}
+        me = self.settle(df)
+        spec = me.window() if me.bounded else me._here()
+        own = {
+            **{f"_l_{o}": F.lag(c).over(spec) for c, o in last.items()},
+            **{f"_k_{o}": F.last(c, ignorenulls=True).over(before(spec)) for c, o in known.items()},
+        }
+        if me.bounded:
+            return df.withColumns({n[3:]: c for n, c in own.items()})
+        place = F.struct(*self.order)
+        ranged, by_range = me._ranged(df), me._ranges_of_key()
+        rows = me._carry(
+            ranged.withColumns({**own, "_first": F.lag(F.lit(True)).over(spec).isNull()}), ranged,
+            {**{f"_e_{o}": F.max_by(F.struct(F.col(c).alias("v")), place) for c, o in last.items()},
+             **{f"_e_{o}": F.max_by(c, F.when(F.col(c).isNotNull(), place)) for c, o in known.items()}},
+            {**{f"_c_{o}": F.lag(f"_e_{o}").over(by_range)["v"] for o in last.values()},
+             **{f"_c_{o}": F.last(f"_e_{o}", ignorenulls=True).over(before(by_range)) for o in known.values()}})
+        return rows.withColumns({
+            **{o: F.when(F.col("_first"), F.col(f"_c_{o}")).otherwise(F.col(f"_l_{o}")) for o in last.values()},
+            **{o: F.coalesce(F.col(f"_k_{o}"), F.col(f"_c_{o}")) for o in known.values()},
+        }).drop("_range", "_first", *own, *[f"_c_{o}" for o in (*last.values(), *known.values())])
+
+    def following(self, df: DataFrame, column: str, into: str) -> DataFrame:
+        """Add the value of ``column`` in the next row."""
+        me = self.settle(df)
+        if me.bounded:
+            return df.withColumn(into, F.lead(column).over(me.window()))
+        ranged, spec = me._ranged(df), me._here()
+        rows = me._carry(
+            ranged.withColumns({"_own": F.lead(column).over(spec), "_last": F.lead(F.lit(True)).over(spec).isNull()}),
+            ranged,
+            {"_edge": F.min_by(F.struct(F.col(column).alias("v")), F.struct(*self.order))},
+            {"_next": F.lead("_edge").over(me._ranges_of_key())["v"]})
+        return rows.withColumn(into, F.when(F.col("_last"), F.col("_next")).otherwise(F.col("_own"))).drop(
+            "_range", "_own", "_last", "_next")
 
     def fill_forward(self, df: DataFrame, column: str, into: str) -> DataFrame:
-        """``into`` is the last known value of ``column`` at or before the row."""
-        if self.bounded:
-            return df.withColumn(into, F.last(column, ignorenulls=True).over(upto(self.window())))
-        keys = list(self.keys)
-        placed = (df if "_pos" in df.columns else self.positions(df)).withColumn("_chunk", self.chunk())
-        known = (
-            placed.where(F.col(column).isNotNull())
-            .groupBy(*keys, "_chunk").agg(F.max_by(column, "_pos").alias("_last"))
-        )
-        every = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        carried = (
-            join_back(every, known, keys + ["_chunk"])
-            .withColumn("_carry", F.last("_last", ignorenulls=True).over(
-                before(Window.partitionBy(*keys).orderBy("_chunk"))))
-            .drop("_n", "_last")
-        )
-        local = F.last(column, ignorenulls=True).over(
-            upto(Window.partitionBy(*keys, "_chunk").orderBy("_pos")))
-        return (
-            join_back(placed.withColumn("_local", local), carried, keys + ["_chunk"])
-            .withColumn(into, F.coalesce("_local", "_carry"))
-            .drop("_local", "_carry", "_chunk")
-        )
+        """Add the last known value of ``column`` at or before the row."""
+        rows = self.previous(df, {}, {column: "_known"})
+        return rows.withColumn(into, F.coalesce(F.col(column), F.col("_known"))).drop("_known")
 
     def compound(self, df: DataFrame, returns: str, include_start: bool = False) -> DataFrame:
         """Add ``equity`` (running product of 1 + return), ``peak`` and ``drawdown``.
 
         The peak starts at the first equity value, or at 1 with ``include_start``.
         """
+        me = self.settle(df)
         growth = F.product(F.lit(1.0) + F.col(returns))
-        if self.bounded:
-            out = df.withColumn("equity", growth.over(upto(self.window())))
-            out = out.withColumn("peak", F.max("equity").over(upto(self.window())))
+        if me.bounded:
+            out = df.withColumn("equity", growth.over(upto(me.window())))
+            out = out.withColumn("peak", F.max("equity").over(upto(me.window())))
         else:
-            keys = list(self.keys)
-            placed = (df if "_pos" in df.columns else self.positions(df)).withColumn("_chunk", self.chunk())
-            here = upto(Window.partitionBy(*keys, "_chunk").orderBy("_pos"))
-            local = placed.withColumn("_grown", growth.over(here))
-            earlier = before(Window.partitionBy(*keys).orderBy("_chunk"))
+            here, earlier = upto(me._here()), before(me._ranges_of_key())
+            group = [*self.keys, "_range"]
+            local = me._ranged(df).withColumn("_grown", growth.over(here))
+            carry = F.col("_carry")
             ends = (
-                local.groupBy(*keys, "_chunk")
+                local.groupBy(*group)
                 .agg(growth.alias("_product"), F.max("_grown").alias("_high"), F.min("_grown").alias("_low"))
                 .withColumn("_carry", F.coalesce(F.product("_product").over(earlier), F.lit(1.0)))
-                .withColumn("_top", F.when(F.col("_carry") >= 0, F.col("_carry") * F.col("_high"))
-                            .otherwise(F.col("_carry") * F.col("_low")))
+                .withColumn("_top", F.when(carry >= 0, carry * F.col("_high")).otherwise(carry * F.col("_low")))
                 .withColumn("_peak", F.max("_top").over(earlier))
-                .select(*keys, "_chunk", "_carry", "_peak")
+                .select(*group, "_carry", "_peak")
             )
             out = (
-                join_back(local, ends, keys + ["_chunk"])
-                .withColumn("equity", F.col("_carry") * F.col("_grown"))
+                join_back(local, ends, group)
+                .withColumn("equity", carry * F.col("_grown"))
                 .withColumn("peak", F.greatest("_peak", F.max("equity").over(here)))
-                .drop("_chunk", "_grown", "_carry", "_peak", "_pos")
+                .drop("_range", "_grown", "_carry", "_peak")
             )
         if include_start:
             out = out.withColumn("peak", F.greatest("peak", F.lit(1.0)))
@@ -223,16 +254,13 @@ class RowOrder:
 
     def running_sum(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
         """Running totals, current row included: ``columns`` maps input to output names."""
-        if self.bounded:
-            return df.withColumns({o: F.sum(c).over(upto(self.window())) for c, o in columns.items()})
-        keys = list(self.keys)
-        spread = self._ranged(df)
-        here = upto(Window.partitionBy(*keys, "_range").orderBy(*self.order))
-        earlier = before(Window.partitionBy(*keys).orderBy("_range"))
-        totals = spread.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-        carried = totals.select(*keys, "_range", *[
-            F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in columns])
-        local = spread.withColumns({o: F.sum(c).over(here) for c, o in columns.items()})
-        joined = join_back(local, carried, keys + ["_range"])
-        return joined.withColumns({o: F.col(o) + F.col(f"_c_{c}") for c, o in columns.items()}).drop(
+        me = self.settle(df)
+        if me.bounded:
+            return df.withColumns({o: F.sum(c).over(upto(me.window())) for c, o in columns.items()})
+        ranged, earlier = me._ranged(df), before(me._ranges_of_key())
+        rows = me._carry(
+            ranged.withColumns({o: F.sum(c).over(upto(me._here())) for c, o in columns.items()}), ranged,
+            {f"_t_{c}": F.sum(c) for c in columns},
+            {f"_c_{c}": F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)) for c in columns})
+        return rows.withColumns({o: F.col(o) + F.col(f"_c_{c}") for c, o in columns.items()}).drop(
             "_range", *[f"_c_{c}" for c in columns])

@@ -17,6 +17,12 @@ from quillbar.operators.ordered import range_bounds, range_of
 DIRECT_ROWS = 1_000_000
 
 
+def require_days(df: DataFrame, date: str) -> None:
+    """Splits read the list of dates, which is short only for whole days."""
+    if df.schema[date].dataType.typeName() != "date":
+        raise ValueError(f"{date} must be of type date")
+
+
 def cut_counts(rows: int, fractions: Sequence[float]) -> list[int]:
     """How many rows lie before each cut: ``int(n * f1)``, ``int(n * (f1 + f2))``."""
     total, out = 0.0, []
@@ -44,6 +50,7 @@ def cut_keys(df: DataFrame, date: str, key: str, fractions: Sequence[float], sna
              direct_rows: int = DIRECT_ROWS) -> list[tuple]:
     """The (date, key) of the first row after each cut; key None means the start of that date, and
     (None, None) a cut past the last row."""
+    require_days(df, date)
     days = df.groupBy(date).count().orderBy(date).collect()
     rows = sum(d["count"] for d in days)
     cuts = []
@@ -93,6 +100,7 @@ def fold_table(df: DataFrame, date: str = "date", folds: int = 5, test_size: flo
     calendar; training takes the dates before it, less ``gap_days + purge_days`` calendar days.
     ``embargo_days`` after the block are never used for training in that fold.
     """
+    require_days(df, date)
     dates = [r[0] for r in df.select(date).distinct().orderBy(date).collect()]
     block = max(1, math.floor(len(dates) * test_size / folds))
     out = []

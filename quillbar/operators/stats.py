@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillbar.functions.numeric import ratio, uniform
+from quillbar.session import shuffle_width
 
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws.
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
@@ -32,9 +33,8 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     return out.withColumn("r2", 1 - ratio(F.col("mse"), F.col("_var"))).drop("_var")
 
 
-def poisson_weight(*parts) -> Column:
-    """A Poisson(1) draw that depends on the parts only."""
-    u = uniform(*parts)
+def poisson_weight(u: Column) -> Column:
+    """The Poisson(1) draw that belongs to a uniform number."""
     out = F.lit(0)
     for step in POISSON_STEPS:
         out = out + (u >= step).cast("int")
@@ -42,9 +42,14 @@ def poisson_weight(*parts) -> Column:
 
 
 def replicate_units(units: DataFrame, unit: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Each unit once per replicate with its weight; units with weight 0 are left out."""
-    copies = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return copies.withColumn("_w", poisson_weight(seed, "boot", F.col("replicate"), F.col(unit))).where(F.col("_w") > 0)
+    """Each unit once per replicate with its weight (0 for units not drawn).
+
+    The few units are spread over all tasks first, since each becomes ``replicates`` rows.
+    """
+    spread = units.repartition(shuffle_width(units.sparkSession), unit)
+    copies = spread.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = copies.withColumn("_u", uniform(seed, "boot", F.col("replicate"), F.col(unit)))
+    return drawn.withColumn("_w", poisson_weight(F.col("_u"))).drop("_u")
 
 
 def bootstrap_ci(df: DataFrame, value: str, unit: str, by: Sequence[str] = ("model",), replicates: int = 1000,

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillbar.functions import fixed_values as fixed
 from quillbar.functions.numeric import power, ratio
-from quillbar.operators.bars import pct_change
 from quillbar.operators.ordered import RowOrder
+from quillbar.session import materialize
 
 STRATEGY_METRICS = [
     "total_return", "annualized_return", "volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown",
@@ -50,21 +50,19 @@ def strategy_rows(df: DataFrame, by: Sequence[str] = ("model",), order_by: Seque
     """
     signalled = add_signals(df, label)
     per_symbol = RowOrder((*by, symbol), tuple(order_by), bounded=daily, **layout)
-    priced, column = signalled, price
+    last = {"signal": "_signal"} if signal_scope == "symbol" else {}
     if fill == "pad":
-        priced, column = per_symbol.fill_forward(signalled, price, "_price"), "_price"
-
-    def add(d: DataFrame, w) -> DataFrame:
-        d = d.withColumn("returns", pct_change(column, w, 1))
-        return d.withColumn("_last", F.lag("signal", 1).over(w)) if signal_scope == "symbol" else d
-
-    out = per_symbol.frames(priced, 1, 0, add).drop("_price")
+        out = per_symbol.previous(signalled, last, {price: "_price"})
+    else:
+        out = per_symbol.previous(signalled, {**last, price: "_price"})
+    now = F.coalesce(F.col(price), F.col("_price")) if fill == "pad" else F.col(price)
+    out = out.withColumn("returns", ratio(now, F.col("_price")) - 1).drop("_price")
     if signal_scope == "frame":
         whole = RowOrder(tuple(by), tuple(order_by), **layout)
-        out = whole.frames(out, 1, 0, lambda d, w: d.withColumn("_last", F.lag("signal", 1).over(w)))
+        out = whole.previous(materialize(out), {"signal": "_signal"})
     elif signal_scope != "symbol":
         raise ValueError("signal_scope must be 'symbol' or 'frame'")
-    out = out.withColumn("strategy_returns", F.col("_last") * F.col("returns")).drop("_last")
+    out = out.withColumn("strategy_returns", F.col("_signal") * F.col("returns")).drop("_signal")
     return out if keep_empty else out.where(F.col("strategy_returns").isNotNull())
 
 
@@ -136,13 +134,18 @@ def strategy_metrics(df: DataFrame, by: Sequence[str] = ("model",), order_by: Se
                      include_start: bool = False, risk_free: float = fixed.RISK_FREE_RATE, **layout) -> DataFrame:
     """One row of metrics per ``by`` group (and symbol, in symbol scope). A metric that is not
     defined is NULL; a group without any strategy return has no row."""
-    layout.setdefault("sample", df)
-    rows = strategy_rows(df, by, order_by, price, symbol, label, signal_scope, fill, daily, **layout)
+    needed = [*dict.fromkeys([*by, *order_by, date, symbol, price, label])]
+    narrow = df.select(*needed)
+    layout.setdefault("sample", narrow)
+    rows = strategy_rows(narrow, by, order_by, price, symbol, label, signal_scope, fill, daily, **layout)
+    rows = rows.drop(price, label, "returns")
     if scope == "date":
-        curve = RowOrder(tuple(by), (date,), bounded=True).compound(by_date(rows, by, date), "strategy_returns", include_start)
-        return _summary(curve, by, date, risk_free)
-    curve = strategy_curve(rows, by, order_by, scope, symbol, daily, include_start, **layout)
-    return _summary(curve, (*by, symbol) if scope == "symbol" else by, date, risk_free)
+        account = RowOrder(tuple(by), (date,), bounded=True)
+        return _summary(account.compound(by_date(rows, by, date), "strategy_returns", include_start), by, date, risk_free)
+    group = (*by, symbol) if scope == "symbol" else tuple(by)
+    order = RowOrder(group, tuple(order_by), bounded=daily and scope == "symbol", **layout).settle(narrow)
+    curve = order.compound(rows if order.bounded else materialize(rows), "strategy_returns", include_start)
+    return _summary(curve, group, date, risk_free)
 
 
 def predictions_by_day(df: DataFrame, by: Sequence[str] = ("model",), label: str = "y_pred", symbol: str = "symbol",

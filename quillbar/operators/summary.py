@@ -18,7 +18,8 @@ def preprocess(df: DataFrame, text: str, into: str | None = None, **options) ->
 
 
 def add_entity_flags(df: DataFrame, text: str = "headline", match: str = "substring") -> DataFrame:
-    return df.withColumns(entity_flags(F.col(text), match))
+    lowered = df.withColumn("_lower", F.lower(F.col(text)))
+    return lowered.withColumns(entity_flags(F.col(text), F.col("_lower"), match)).drop("_lower")
 
 
 def preview(df: DataFrame, columns: list[str], order: list[str], rows: int = 10) -> DataFrame:

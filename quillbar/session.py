@@ -21,6 +21,7 @@ def local_session(cores: int | None = None, app: str = "quillbar") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -48,3 +49,12 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quillbar-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over the cores before costly row-wise work, if it has fewer partitions.
+
+    A table of many files has more partitions than cores already and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
