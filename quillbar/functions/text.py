@@ -96,35 +96,32 @@ def remove_stopwords(tokens: Column, words: Sequence[str] | None = None,
     return F.filter(tokens, lambda t: ~t.isin(list(words))) if words else tokens
 
 
-def lemma_of(token: Column, vocabulary: Sequence[str]) -> Column:
-    """The shortest of the token and its noun detachments that is in the vocabulary.
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Only tokens with a noun ending can change; all others are passed through unseen.
+
+def lemmas_expression(tokens: str, exceptions: dict[str, str], vocabulary: Sequence[str]) -> Column:
+    """Noun lemmas of the array column ``tokens``, from dictionaries small enough to be part of the
+    expression (see ``operators.lemmas``). Written as SQL: one call for any number of words.
+
+    An exception has its own lemma. Any other token becomes the shortest of itself and its noun
+    detachments that is in the vocabulary; tokens without a noun ending are passed through.
     """
-    forms = [F.struct(F.length(token).alias("n"), F.lit(0).alias("i"), token.alias("form"))]
-    for i, (ending, replacement) in enumerate(NOUN_ENDINGS, start=1):
-        stem = F.substring(token, F.lit(1), F.length(token) - len(ending))
-        form = F.concat(stem, F.lit(replacement))
-        forms.append(F.when(F.endswith(token, F.lit(ending)),
-                            F.struct(F.length(form).alias("n"), F.lit(i).alias("i"), form.alias("form"))))
-    known = F.filter(F.array(*forms), lambda f: f["form"].isin(list(vocabulary)))
-    may_change = F.lit(False)
-    for ending, _ in NOUN_ENDINGS:
-        if not any(ending != other and ending.endswith(other) for other, _ in NOUN_ENDINGS):
-            may_change = may_change | F.endswith(token, F.lit(ending))
-    return F.when(may_change, F.coalesce(F.array_min(known)["form"], token)).otherwise(token)
-
-
-def lemmatize_with(tokens: Column, exceptions: dict[str, str], vocabulary: Sequence[str]) -> Column:
-    """Lemmas from a dictionary small enough to be part of the expression (see ``operators.lemmas``)."""
-    def lemma(token: Column) -> Column:
-        regular = lemma_of(token, vocabulary) if vocabulary else token
-        if not exceptions:
-            return regular
-        table = F.create_map(*[F.lit(x) for pair in exceptions.items() for x in pair])
-        return F.when(token.isin(list(exceptions)), F.element_at(table, token)).otherwise(regular)
-
-    return F.transform(tokens, lemma)
+    cases = []
+    if exceptions:
+        pairs = ", ".join(f"{_quoted(a)}, {_quoted(b)}" for a, b in exceptions.items())
+        cases.append(f"when t in ({', '.join(map(_quoted, exceptions))}) then element_at(map({pairs}), t)")
+    if vocabulary:
+        forms = ["struct(length(t) as n, 0 as i, t as form)"]
+        for i, (ending, replacement) in enumerate(NOUN_ENDINGS, start=1):
+            form = f"concat(substring(t, 1, length(t) - {len(ending)}), '{replacement}')"
+            size = f"length(t) - {len(ending) - len(replacement)}"
+            forms.append(f"if(endswith(t, '{ending}'), struct({size} as n, {i} as i, {form} as form), null)")
+        known = f"filter(array({', '.join(forms)}), f -> f.form in ({', '.join(map(_quoted, vocabulary))}))"
+        shortest = [e for e, _ in NOUN_ENDINGS if not any(e != o and e.endswith(o) for o, _ in NOUN_ENDINGS)]
+        may_change = " or ".join(f"endswith(t, '{e}')" for e in shortest)
+        cases.append(f"when {may_change} then coalesce(array_min({known}).form, t)")
+    return F.expr(f"transform({tokens}, t -> case {' '.join(cases)} else t end)") if cases else F.col(tokens)
 
 
 def preprocess_tokens(text: Column, words: Sequence[str] | None = None, **cleaning) -> Column:

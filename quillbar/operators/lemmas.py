@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quillbar.functions.fixed_values import NOUN_ENDINGS
-from quillbar.functions.text import lemmatize_with, preprocess_tokens
+from quillbar.functions.text import lemmas_expression, preprocess_tokens
+from quillbar.session import spread
 
 INLINE_ENTRIES = 20_000
 
@@ -25,7 +26,7 @@ def lemmatize(df: DataFrame, tokens: str, exceptions: DataFrame, vocabulary: Dat
     known = vocabulary.select("lemma").distinct().limit(inline_entries + 1).collect()
     if len(irregular) <= inline_entries and len(known) <= inline_entries:
         table = {r["surface"]: r["lemma"] for r in irregular}
-        return df.withColumn(into, lemmatize_with(F.col(tokens), table, [r["lemma"] for r in known]))
+        return df.withColumn(into, lemmas_expression(tokens, table, [r["lemma"] for r in known]))
     return _lemmatize_joined(df, tokens, exceptions, vocabulary, list(key), into)
 
 
@@ -33,7 +34,7 @@ def preprocess_lemmas(df: DataFrame, text: str, exceptions: DataFrame, vocabular
                       into: str | None = None, words: Sequence[str] | None = None, join: bool = True) -> DataFrame:
     """All steps: clean, tokenize, drop stop words, lemmatize, and join by spaces unless ``join`` is off."""
     into = into or f"{text}_processed"
-    out = lemmatize(df.withColumn("_tokens", preprocess_tokens(F.col(text), words)), "_tokens",
+    out = lemmatize(spread(df).withColumn("_tokens", preprocess_tokens(F.col(text), words)), "_tokens",
                     exceptions, vocabulary, key, into).drop("_tokens")
     return out.withColumn(into, F.array_join(into, " ")) if join else out
 

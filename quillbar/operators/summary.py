@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillbar.functions.numeric import hash_int
 from quillbar.functions.text import entity_flags, preprocess_text, text_length, word_count
+from quillbar.session import spread
 
 
 def headline_shape(df: DataFrame, text: str = "headline") -> DataFrame:
-    return df.withColumns({"text_length": text_length(F.col(text)), "word_count": word_count(F.col(text))})
+    return spread(df).withColumns({"text_length": text_length(F.col(text)), "word_count": word_count(F.col(text))})
 
 
 def preprocess(df: DataFrame, text: str, into: str | None = None, **options) -> DataFrame:
     """Add the processed text, by default as ``<text>_processed``."""
-    return df.withColumn(into or f"{text}_processed", preprocess_text(F.col(text), **options))
+    return spread(df).withColumn(into or f"{text}_processed", preprocess_text(F.col(text), **options))
 
 
 def add_entity_flags(df: DataFrame, text: str = "headline", match: str = "substring") -> DataFrame:
-    lowered = df.withColumn("_lower", F.lower(F.col(text)))
+    lowered = spread(df).withColumn("_lower", F.lower(F.col(text)))
     return lowered.withColumns(entity_flags(F.col(text), F.col("_lower"), match)).drop("_lower")
 
 

@@ -14,6 +14,7 @@ from quillbar.operators import (
 )
 from quillbar.operators.ordered import RowOrder
 from quillbar.plans.workflow import compare_models, labelled_rows
+from quillbar.session import materialize, spread
 from quillbar.sources import bars as bar_source, inputs, synth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +92,7 @@ def _(s, d):
 
 @query("headline_shape")
 def _(s, d):
-    return summary.headline_shape(inputs.headlines(s, d)).select("headline_id", "text_length", "word_count")
+    return summary.headline_shape(inputs.headlines(s, d).select("headline_id", "headline")).select("headline_id", "text_length", "word_count")
 
 
 @query("preview")
@@ -237,6 +238,26 @@ def _(s, d):
     return tidy_columns(bar_ops.label_rows(joined, ("date", "headline_id"), sample=keys), ["future_return"])
 
 
+@query("label_rows_ticks")
+def _(s, d):
+    """Every order as a row of its priority: a few symbols with very many rows each."""
+    out = bar_ops.label_rows(inputs.ticks(s, d), ("date", "row_id"))
+    return tidy_columns(out.select("row_id", "symbol", "future_return", "sentiment_label"), ["future_return"])
+
+
+@query("label_rows_ticks_5")
+def _(s, d):
+    out = bar_ops.label_rows(inputs.ticks(s, d), ("date", "row_id"), horizon=5)
+    return tidy_columns(out.select("row_id", "symbol", "future_return", "sentiment_label"), ["future_return"])
+
+
+@query("technical_indicators_ticks")
+def _(s, d):
+    order = RowOrder(("symbol",), ("date", "row_id"))
+    out = bar_ops.add_indicators(inputs.ticks(s, d).withColumn("volume", F.lit(1) + F.col("row_id") % 100), order, fill="none")
+    return tidy_columns(out.select("row_id", "symbol", *bar_ops.INDICATORS), bar_ops.INDICATORS)
+
+
 @query("time_split")
 def _(s, d):
     return splits.time_split(inputs.headlines(s, d).select("headline_id", "date", "symbol"))
@@ -252,7 +273,8 @@ def _(s, d):
 def _text_query(name, expression):
     @query(name)
     def _(s, d):
-        return inputs.headlines(s, d).select("headline_id", expression(F.col("headline")).alias("text"))
+        rows = spread(inputs.headlines(s, d).select("headline_id", "headline"))
+        return rows.select("headline_id", expression(F.col("headline")).alias("text"))
 
 
 _text_query("clean_urls", lambda t: tx.drop_urls(F.lower(t)))
@@ -267,7 +289,7 @@ _text_query("remove_stopwords", lambda t: F.array_join(tx.preprocess_tokens(t),
 
 @query("lemmatize")
 def _(s, d):
-    tokens = inputs.headlines(s, d).select("headline_id", tx.tokenize(tx.clean_text(F.col("headline"))).alias("tokens"))
+    tokens = lexicon.with_tokens(inputs.headlines(s, d), "headline_id", "headline", "tokens")
     out = lemmas.lemmatize(tokens, "tokens", inputs.lemma_exceptions(s), inputs.lemma_vocabulary(s, d), ["headline_id"])
     return out.select("headline_id", F.array_join("lemmas", "|").alias("text"))
 
@@ -292,17 +314,18 @@ def _(s, d):
 
 @query("entity_flags")
 def _(s, d):
-    return summary.add_entity_flags(inputs.headlines(s, d)).select("headline_id", *tx.ENTITY_FLAGS)
+    return summary.add_entity_flags(inputs.headlines(s, d).select("headline_id", "headline")).select("headline_id", *tx.ENTITY_FLAGS)
 
 
 @query("entity_flags_word")
 def _(s, d):
-    return summary.add_entity_flags(inputs.headlines(s, d), match="word").select("headline_id", *tx.ENTITY_FLAGS[:3])
+    rows = inputs.headlines(s, d).select("headline_id", "headline")
+    return summary.add_entity_flags(rows, match="word").select("headline_id", *tx.ENTITY_FLAGS[:3])
 
 
 @query("entity_counts")
 def _(s, d):
-    flagged = summary.add_entity_flags(inputs.headlines(s, d))
+    flagged = summary.add_entity_flags(inputs.headlines(s, d).select("symbol", "headline"))
     return flagged.groupBy("symbol").agg(*[F.count_if(f).alias(f.replace("has_", "n_")) for f in tx.ENTITY_FLAGS])
 
 
@@ -410,6 +433,12 @@ def _(s, d):
     return tidy_columns(classify.rank_metrics(inputs.predictions(s, d)).select("model", "auc_roc"), ["auc_roc"])
 
 
+@query("rank_metrics_ticks")
+def _(s, d):
+    """Ranking metrics over nearly as many distinct scores as rows."""
+    return tidy_columns(classify.rank_metrics(inputs.tick_scores(s, d)), ["auc_roc", "auc_pr"])
+
+
 @query("clf_auc_pr")
 def _(s, d):
     return tidy_columns(classify.rank_metrics(inputs.predictions(s, d)).select("model", "auc_pr"), ["auc_pr"])
@@ -507,6 +536,27 @@ def _(s, d):
     return tidy_columns(curve.select("symbol", "date", *names), names)
 
 
+def _tick_rows(s, d):
+    rows = inputs.bar_predictions(inputs.ticks(s, d)).withColumn("model", F.lit("all"))
+    return rows.withColumn("close", 100 + (F.col("close") - 100) / 100)
+
+
+@query("strategy_metrics_ticks")
+def _(s, d):
+    return _tidy_metrics(strategy.strategy_metrics(_tick_rows(s, d), signal_scope="frame").drop("sharpe_simple"))
+
+
+@query("strategy_by_symbol_ticks")
+def _(s, d):
+    return _tidy_metrics(strategy.strategy_metrics(_tick_rows(s, d), scope="symbol").drop("sharpe_simple"))
+
+
+@query("equity_curve_ticks")
+def _(s, d):
+    curve = strategy.strategy_curve(materialize(strategy.strategy_rows(_tick_rows(s, d))))
+    return tidy_columns(curve.select("row_id", "symbol", "equity", "drawdown"), ["equity", "drawdown"])
+
+
 # ---- declared measures ---------------------------------------------------------------------
 
 def _bar_rows(s, d):

@@ -266,13 +266,14 @@ MAIN = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted"
 PER_CLASS = [f"{m}_{c}" for c in fixed.LABELS for m in ("precision", "recall", "f1")]
 COUNTED = f"{PREDICTIONS}, {count_metrics('predictions')}"
 
-RANKED = """class_rows as (
+RANK_ROWS = """class_rows as (
   select model, 'negative' as class, p_negative as score, y_true from predictions union all
   select model, 'neutral', p_neutral, y_true from predictions union all
   select model, 'positive', p_positive, y_true from predictions),
 by_score as (
   select model, class, score, count(*) filter (y_true = class) as pos, count(*) filter (y_true <> class) as neg
-  from class_rows group by 1, 2, 3),
+  from class_rows group by 1, 2, 3)"""
+RANKED = RANK_ROWS + """,
 totals as (select model, class, sum(pos) as p, sum(neg) as q from by_score group by 1, 2),
 pair_sums as (
   select a.model, a.class, sum(a.pos * b.neg * case when a.score > b.score then 1e0 when a.score = b.score then 0.5e0 else 0e0 end) as won
@@ -525,6 +526,39 @@ select symbol, date, {tidy('future_return')} as future_return from ahead"""
 select symbol, date, close, {tidy('future_return')} as future_return, {label('future_return')} as sentiment_label from ahead"""
     sql["label_rows"] = f"""with {LABELLED} select headline_id, date, symbol, close, {tidy('future_return')} as future_return,
 sentiment_label from labelled"""
+    ticks = """ticks as (
+  select o_orderkey as row_id, cast(o_orderdate as date) as date, o_orderpriority as symbol, round(100 + o_totalprice / 50000, 2) as close
+  from orders)"""
+    for name, h in [("label_rows_ticks", 1), ("label_rows_ticks_5", 5)]:
+        sql[name] = f"""with {ticks}, ahead as (select *, lead(close, {h}) over (partition by symbol order by date, row_id) / nullif(close, 0) - 1
+  as future_return from ticks) select row_id, symbol, {tidy('future_return')} as future_return, {label('future_return')} as sentiment_label from ahead"""
+    sql["technical_indicators_ticks"] = f"""with {ticks}, volumes as (select *, 1 + row_id % 100 as volume from ticks),
+{indicator_ctes('volumes').replace(S, 'partition by symbol order by date, row_id')}
+select row_id, symbol, {tidied(INDICATOR_NAMES)} from indicators"""
+    tick_rows = f"""{ticks}, tick_rows as (
+  select 'all' as model, row_id, date, symbol, 100 + (close - 100) / 100 as close, case date_diff('day', date '1995-01-01', date) % 3
+    when 0 then 'negative' when 1 then 'neutral' else 'positive' end as y_pred from ticks)"""
+    shown = f"n_rows, {tidied(STRATEGY_TIDY)}, num_trades"
+    sql["strategy_metrics_ticks"] = f"""with {tick_rows}, {strategy_rows('tick_rows', 'model', 'date, row_id', True)},
+{curve('strat', 'model', 'date, row_id')}, {summary('model', *ROW_TRADES)} select model, {shown} from metrics"""
+    sql["strategy_by_symbol_ticks"] = f"""with {tick_rows}, {strategy_rows('tick_rows', 'model', 'date, row_id')},
+{curve('strat', 'model, symbol', 'date, row_id')}, {summary('model, symbol', *ROW_TRADES)} select model, symbol, {shown} from metrics"""
+    sql["equity_curve_ticks"] = f"""with {tick_rows}, {strategy_rows('tick_rows', 'model', 'date, row_id')},
+{curve('strat', 'model', 'date, row_id')} select row_id, symbol, {tidied(['equity', 'drawdown'])} from curve"""
+    price = "o_totalprice"
+    classes = f"([{strings(fixed.LABELS)}])"
+    sql["rank_metrics_ticks"] = f"""with weighed as (
+  select o_orderkey as row_id, {classes}[1 + o_orderkey % 3] as y_true, 1 + {price} as w0, 1 + ({price} * 7) % 100000 as w1,
+    1 + ({price} * 3) % 300000 as w2 from orders),
+predictions as (select 'all' as model, y_true, w0 / (w0 + w1 + w2) as p_negative, w1 / (w0 + w1 + w2) as p_neutral,
+  w2 / (w0 + w1 + w2) as p_positive from weighed),
+{RANK_ROWS}, swept as (
+  select *, sum(pos) over w as tp, sum(pos + neg) over w as seen, sum(neg) over w as fp
+  from by_score window w as (partition by model, class order by score desc rows between unbounded preceding and current row)),
+each as (
+  select model, class, sum(tp * 1e0 / seen * pos) / sum(pos) as pr,
+    1 - sum(pos * (fp - neg / 2e0)) / (sum(pos)::double * sum(neg)) as roc from swept group by 1, 2)
+select model, {tidy('avg(roc)')} as auc_roc, {tidy('avg(pr)')} as auc_pr from each group by 1"""
     sql["time_split"] = f"with {HEADLINES}, {split_of('headlines')} select headline_id, date, symbol, split from parts"
     sql["split_sizes"] = f"with {HEADLINES}, {split_of('headlines')} select split, count(*) as n from parts group by 1"
 

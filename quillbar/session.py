@@ -56,5 +56,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table of many files has more partitions than cores already and is left alone.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

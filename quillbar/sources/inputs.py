@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillbar.functions.fixed_values import KEYWORDS
+from quillbar.functions.fixed_values import KEYWORDS, LABELS
 from quillbar.functions.text import clean_text, tokenize
 from quillbar.operators.align import join_bars
 
@@ -165,3 +165,23 @@ def count_scorer():
         return rows
 
     return score
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: ``row_id, date, symbol, close``."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_orderpriority").alias("symbol"), F.round(100 + F.col("o_totalprice") / 50000, 2).alias("close"))
+
+
+def tick_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for every order, with probabilities that follow its price."""
+    row, price = F.col("o_orderkey"), F.col("o_totalprice")
+    w0, w1, w2 = 1 + price, 1 + (price * 7) % 100000, 1 + (price * 3) % 300000
+    turn = (row % 3).cast("int")
+    classes = F.array(*[F.lit(c) for c in LABELS])
+    return table(spark, sf_dir, "orders").select(
+        F.lit("all").alias("model"), row.alias("row_id"), F.get(classes, turn).alias("y_true"),
+        F.get(classes, ((row * 5 + 1) % 3).cast("int")).alias("y_pred"),
+        (w0 / (w0 + w1 + w2)).alias("p_negative"), (w1 / (w0 + w1 + w2)).alias("p_neutral"),
+        (w2 / (w0 + w1 + w2)).alias("p_positive"))
