@@ -6,7 +6,7 @@ linear time on any input, so a text of one 100,000-character word is no harder t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
@@ -21,9 +21,11 @@ SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 URL = r"https?://[a-zA-Z!$-_]+"
 # A run of non-space characters with an inner @, tried at the start of the run only.
 EMAIL = rf"(?<![^{SPACE}])[^{SPACE}][^{SPACE}@]*+@[^{SPACE}]+"
-PHONE = rf"(?<![{WORD}])\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{4}}(?![{WORD}])"
+PHONE = rf"(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{4}}(?![{WORD}])"
 MENTION = rf"@[{WORD}]+"
 HASHTAG = rf"#[{WORD}]+"
+# Any run of white space but a single plain space, which can stay as it is.
+SPACES = rf"[{SPACE}&&[^ ]][{SPACE}]*+| [{SPACE}]++"
 CLITIC = rf"([{WORD}])(n't|'(?:s|m|d|ll|re|ve))(?![{WORD}])"
 TOKEN = (
     rf"n't(?![{WORD}])|'(?:s|m|d|ll|re|ve)(?![{WORD}])|\.\.\.|--"
@@ -56,9 +58,14 @@ def drop_hashtags(text: Column) -> Column:
     return F.regexp_replace(text, HASHTAG, "")
 
 
+def _once(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a text that is evaluated once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(text), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """One space for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def clean_text(text: Column, remove_urls: bool = True, remove_mentions: bool = True,
@@ -67,9 +74,12 @@ def clean_text(text: Column, remove_urls: bool = True, remove_mentions: bool = T
     out = F.lower(text)
     if remove_urls:
         out = drop_urls(out)
-    out = drop_phones(drop_emails(out))
-    if remove_mentions:
-        out = drop_mentions(out)
+
+    def with_at(t: Column) -> Column:
+        t = drop_phones(drop_emails(t))
+        return drop_mentions(t) if remove_mentions else t
+
+    out = _once(out, lambda t: F.when(F.contains(t, F.lit("@")), with_at(t)).otherwise(drop_phones(t)))
     if remove_hashtags:
         out = drop_hashtags(out)
     return F.coalesce(squeeze(out), F.lit(""))
@@ -80,7 +90,9 @@ def tokenize(text: Column) -> Column:
 
     An approximation of Treebank tokens: no sentence splitting and no abbreviation list.
     """
-    found = F.regexp_extract_all(F.regexp_replace(text, CLITIC, "$1 $2"), F.lit(TOKEN), F.lit(0))
+    parted = _once(text, lambda t: F.when(
+        F.contains(t, F.lit("'")), F.regexp_replace(t, CLITIC, "$1 $2")).otherwise(t))
+    found = F.regexp_extract_all(parted, F.lit(TOKEN), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 

@@ -63,7 +63,7 @@ def changed_words(words: DataFrame, exceptions: DataFrame, vocabulary: DataFrame
 
 
 def _lemmatize_joined(df, tokens, exceptions, vocabulary, key, into):
-    pairs = df.select(*key, F.explode(F.array_distinct(tokens)).alias("token"))
+    pairs = df.select(*key, F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null")
     changes = changed_words(pairs.select("token").distinct(), exceptions, vocabulary)
     per_row = (
         pairs.join(changes, "token")

@@ -30,7 +30,11 @@ def join_words(words: DataFrame, lexicon: DataFrame, broadcast_rows: int = BROAD
 
 
 def with_tokens(df: DataFrame, key: str, text: str, into: str = "_tokens") -> DataFrame:
-    """``key`` and the tokens of the cleaned text; a table in too few partitions is spread first."""
+    """``key`` and the tokens of the cleaned text; a small table is spread over the cores first.
+
+    Explode the tokens with ``explode_outer``: a plain ``explode`` makes the planner test each
+    array for being empty before that, which tokenizes every text twice.
+    """
     return spread(df.select(key, text)).select(key, tokenize(clean_text(F.col(text))).alias(into))
 
 

@@ -78,8 +78,8 @@ class NaiveBayes:
             broadcast_rows: int = BROADCAST_ROWS) -> NaiveBayes:
         rows = train.where(F.col(label).isin(LABELS))
         counts = (
-            with_tokens(rows, label, text).select(F.col(label).alias("label"), F.explode("_tokens").alias("token"))
-            .groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in LABELS])
+            with_tokens(rows, label, text).select(F.col(label).alias("label"), F.explode_outer("_tokens").alias("token"))
+            .where(F.col("token").isNotNull()).groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in LABELS])
         )
         counts = materialize(counts)
         totals = counts.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n_{c}").alias(f"t_{c}") for c in LABELS])
@@ -101,22 +101,22 @@ class NaiveBayes:
         they are; of a large one only the frequent words are, and rare words, each few, meet by
         shuffle."""
         likelihoods = [f"l_{c}" for c in LABELS]
+        model = self.words.drop("n")
         if self.hot_words is None:
-            found = tokens.join(F.broadcast(self.words.drop("n")), "token")
+            found = tokens.join(F.broadcast(model), "token", "left")
             return found.groupBy(key).agg(*[F.sum(n).alias(f"_s_{n}") for n in likelihoods])
         counted = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n"))
         seen = counted.join(F.broadcast(self.hot_words.drop("n")), "token", "left")
         hot = seen.where(F.col(likelihoods[0]).isNotNull())
-        rare = seen.where(F.col(likelihoods[0]).isNull()).select(key, "token", "_n").join(self.words.drop("n"), "token")
+        rare = seen.where(F.col(likelihoods[0]).isNull()).select(key, "token", "_n").join(model, "token", "left")
         found = hot.unionByName(rare)
         return found.groupBy(key).agg(*[F.sum(F.col("_n") * F.col(n)).alias(f"_s_{n}") for n in likelihoods])
 
     def score(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``key, y_pred, p_*, score_*``; the scores are joint log likelihoods."""
-        tokens = with_tokens(df, key, text).select(key, F.explode("_tokens").alias("token"))
-        sums = self._summed(tokens, key)
+        tokens = with_tokens(df, key, text).select(key, F.explode_outer("_tokens").alias("token"))
+        found = self._summed(tokens, key)
         prior = self.priors.first()
-        found = df.select(key).join(sums, key, "left")
         scored = found.select(key, *[
             (F.coalesce(F.col(f"_s_l_{c}"), F.lit(0.0)) + F.lit(prior[f"l_{c}"])).alias(f"score_{c}") for c in LABELS])
         scores = [F.col(f"score_{c}") for c in LABELS]

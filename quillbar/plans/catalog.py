@@ -353,7 +353,7 @@ def _(s, d):
 
 def _labelled_texts(s, d):
     labels = inputs.truth(s, d).withColumnRenamed("row_id", "headline_id")
-    return inputs.headlines(s, d).select("headline_id", "headline").join(labels, "headline_id")
+    return spread(inputs.headlines(s, d).select("headline_id", "headline")).join(labels, "headline_id")
 
 
 @query("model_logistic")

@@ -21,7 +21,7 @@ from quillbar.operators.models import (
 )
 from quillbar.operators.splits import time_split
 from quillbar.operators.strategy import predictions_by_day, strategy_metrics
-from quillbar.session import materialize
+from quillbar.session import materialize, spread
 
 KEY = "headline_id"
 
@@ -59,7 +59,7 @@ def compare_models(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, ne
     labelled = materialize(labelled_rows(headlines, bars, horizon, threshold, label_on))
     parts = time_split(labelled, "date", KEY, fractions, snap)
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
-    texts = headlines.select(KEY, "headline")
+    texts = spread(headlines.select(KEY, "headline"))
     train_texts = train.select(KEY, "sentiment_label").join(texts, KEY)
     test_texts = test.select(KEY).join(texts, KEY)
 

@@ -52,11 +52,16 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table over the cores before costly row-wise work, if it has fewer partitions.
+    """Spread a small table over the cores before costly row-wise work.
 
-    A table of many files has more partitions than cores already and is left alone.
+    A table of one or two files would keep one or two cores busy. The planner's size estimate
+    decides, without running anything: a table that fills the cores with full file splits by
+    itself is left alone.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df

@@ -135,8 +135,8 @@ def lemma_exceptions(spark: SparkSession) -> DataFrame:
 
 def lemma_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct tokens of the benchmark texts."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(tokenize(clean_text(F.col("text")))).alias("lemma"))
-    return words.distinct()
+    words = table(spark, sf_dir, "benchmark").select(F.explode_outer(tokenize(clean_text(F.col("text")))).alias("lemma"))
+    return words.where("lemma is not null").distinct()
 
 
 def evaluated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
