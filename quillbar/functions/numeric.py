@@ -17,8 +17,7 @@ def finite(value: Column) -> Column:
 
 def tidy(value: Column, digits: int = 6) -> Column:
     """Rounded value without a negative zero, for comparing results across engines."""
-    rounded = F.round(value, digits)
-    return F.when(rounded == 0, 0.0).otherwise(rounded)
+    return F.when(F.abs(value) < 0.5 * 10.0 ** -digits, 0.0).otherwise(F.round(value, digits))
 
 
 def tidy_columns(df, columns, digits: int = 6):

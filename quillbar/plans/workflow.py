@@ -15,7 +15,7 @@ from quillbar.functions.fixed_values import LABELS
 from quillbar.operators.align import join_bars
 from quillbar.operators.bars import label_bars, label_rows
 from quillbar.operators.compare import model_comparison
-from quillbar.operators.lexicon import polarity, valence
+from quillbar.operators.lexicon import polarity, small_enough, valence
 from quillbar.operators.models import (
     NaiveBayes, baseline_majority, baseline_random, fit_logistic, plug_in_scorer, score_logistic,
 )
@@ -60,8 +60,10 @@ def compare_models(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, ne
     parts = time_split(labelled, "date", KEY, fractions, snap)
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     texts = spread(headlines.select(KEY, "headline"))
-    train_texts = train.select(KEY, "sentiment_label").join(texts, KEY)
-    test_texts = test.select(KEY).join(texts, KEY)
+    # Texts stay where they are if the keys are few enough to be sent to them.
+    send = F.broadcast if small_enough(labelled) else (lambda rows: rows)
+    train_texts = texts.join(send(train.select(KEY, "sentiment_label")), KEY)
+    test_texts = texts.join(send(test.select(KEY)), KEY)
 
     makers = {
         "polarity": lambda: polarity(test_texts, KEY, "headline", lexicon),

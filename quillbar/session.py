@@ -30,8 +30,9 @@ def local_session(cores: int | None = None, app: str = "quillbar") -> SparkSessi
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """The session's shuffle partition count."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """The session's shuffle partition count (200 if the platform chooses it by itself)."""
+    width = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    return int(width) if width.isdigit() else 200
 
 
 def materialize(df: DataFrame) -> DataFrame:
