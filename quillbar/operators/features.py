@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillbar.operators.align import join_bars
 from quillbar.operators.bars import add_indicators
-from quillbar.operators.lexicon import polarity, valence
+from quillbar.operators.lexicon import all_scores
 from quillbar.operators.summary import add_entity_flags, headline_shape
 
 TEXT_FEATURES = [
@@ -25,11 +25,10 @@ def feature_table(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, neg
     score of a caller's own model."""
     shaped = add_entity_flags(headline_shape(headlines, text), text).select(
         key, "date", "symbol", *[c for c in TEXT_FEATURES if not c.startswith("sentiment_")])
-    words = polarity(headlines, key, text, lexicon).select(
-        key, F.col("polarity").alias("sentiment_polarity"), F.col("subjectivity").alias("sentiment_subjectivity"))
-    rules = valence(headlines, key, text, lexicon, negations, boosters).select(
-        key, F.col("compound").alias("sentiment_valence"))
-    out = shaped.join(words, key).join(rules, key)
+    scores = all_scores(headlines, key, text, lexicon, negations, boosters).select(
+        key, F.col("polarity").alias("sentiment_polarity"), F.col("subjectivity").alias("sentiment_subjectivity"),
+        F.col("compound").alias("sentiment_valence"))
+    out = shaped.join(scores, key)
     if model_scores is not None:
         out = out.join(model_scores.select(key, "model_sentiment"), key, "left")
     priced = add_indicators(bars).select("symbol", "date", *PRICE_FEATURES)

@@ -42,29 +42,17 @@ def label_by_cut(score: Column, cut: float = fixed.VALENCE_CUT) -> Column:
     return F.when(score > cut, "positive").when(score < -cut, "negative").otherwise("neutral")
 
 
-def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, cut: float = fixed.VALENCE_CUT) -> DataFrame:
-    """``key, polarity, subjectivity, n_hits, y_pred``: means over the words found, 0 if none.
-
-    ``lexicon`` has ``token, polarity, subjectivity``, one row per token.
-    """
+def _word_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``key, token`` and the lexicon columns, one row per token."""
     words = with_tokens(df, key, text).select(key, F.explode_outer("_tokens").alias("token"))
-    hits = join_words(words, lexicon.select("token", "polarity", "subjectivity"))
-    found = F.count("polarity")
-    scored = hits.groupBy(key).agg(
-        F.coalesce(ratio(F.sum("polarity"), found), F.lit(0.0)).alias("polarity"),
-        F.coalesce(ratio(F.sum("subjectivity"), found), F.lit(0.0)).alias("subjectivity"),
-        found.alias("n_hits"),
-    )
-    return scored.withColumn("y_pred", label_by_cut(F.col("polarity"), cut))
+    return join_words(words, lexicon.select("token", *columns))
 
 
-def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str],
-            boosters: dict[str, float], cut: float = fixed.VALENCE_CUT) -> DataFrame:
-    """``key, compound, y_pred, p_negative, p_neutral, p_positive``.
+def _word_hits_in_context(df: DataFrame, key: str, text: str, lexicon: DataFrame, columns: Sequence[str],
+                          negations: Sequence[str], boosters: dict[str, float]) -> DataFrame:
+    """``_word_hits`` with ``_v``, the word's valence after boosters and negations before it.
 
-    A word's valence is moved by boosters and flipped by negations among the three tokens before
-    it; boosters count 100, 95 and 90 % by distance. Sums are squashed to (-1, 1). The three
-    shares are of positive, negative and neutral words, as in the published rules.
+    The three tokens before are taken from the row's own array: no window, no shuffle.
     """
     tokens = F.col("_tokens")
     placed = with_tokens(df, key, text).select(key, F.inline_outer(F.transform(
@@ -74,8 +62,7 @@ def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: S
             F.when(i >= 2, F.get(tokens, i - 2)).alias("b2"),
             F.when(i >= 3, F.get(tokens, i - 3)).alias("b3"),
         ))))
-    hits = join_words(placed, lexicon.select("token", F.col("valence").cast("double").alias("valence")))
-    base = F.col("valence")
+    hits = join_words(placed, lexicon.select("token", *columns))
 
     def boost(name: str, weight: float) -> Column:
         out = F.lit(0.0)
@@ -83,22 +70,67 @@ def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: S
             out = F.when(F.col(name) == word, step * weight).otherwise(out)
         return out
 
-    pushed = base + F.signum(base) * (boost("b1", 1.0) + boost("b2", 0.95) + boost("b3", 0.9))
-    flips = F.lit(1.0)
+    value = F.col("valence")
+    value = value + F.signum(value) * (boost("b1", 1.0) + boost("b2", 0.95) + boost("b3", 0.9))
     for name in ("b1", "b2", "b3"):
-        flips = flips * F.when(F.col(name).isin(list(negations)), fixed.NEGATION_FACTOR).otherwise(1.0)
-    value = F.when(base.isNotNull(), pushed * flips)
-    sums = hits.withColumn("_v", value).groupBy(key).agg(
-        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"),
-        F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(0.0)).alias("_up"),
-        F.sum(F.when(F.col("_v") < 0, 1 - F.col("_v")).otherwise(0.0)).alias("_down"),
-        F.count_if(F.col("token").isNotNull() & (F.coalesce(F.col("_v"), F.lit(0.0)) == 0)).cast("double").alias("_flat"),
-    )
+        value = value * F.when(F.col(name).isin(list(negations)), fixed.NEGATION_FACTOR).otherwise(1.0)
+    return hits.withColumn("_v", value)
+
+
+def _polarity_sums() -> list[Column]:
+    found = F.count("polarity")
+    return [
+        F.coalesce(ratio(F.sum("polarity"), found), F.lit(0.0)).alias("polarity"),
+        F.coalesce(ratio(F.sum("subjectivity"), found), F.lit(0.0)).alias("subjectivity"),
+        found.alias("n_hits"),
+    ]
+
+
+def _valence_sums() -> list[Column]:
+    v = F.col("_v")
+    return [
+        F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"),
+        F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_up"),
+        F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_down"),
+        F.count_if(F.col("token").isNotNull() & (F.coalesce(v, F.lit(0.0)) == 0)).cast("double").alias("_flat"),
+    ]
+
+
+def _with_compound(sums: DataFrame) -> DataFrame:
     total = F.col("_up") + F.col("_down") + F.col("_flat")
-    return sums.select(
-        key,
-        (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + fixed.VALENCE_ALPHA)).alias("compound"),
-        F.coalesce(ratio(F.col("_down"), total), F.lit(0.0)).alias("p_negative"),
-        F.coalesce(ratio(F.col("_flat"), total), F.lit(1.0)).alias("p_neutral"),
-        F.coalesce(ratio(F.col("_up"), total), F.lit(0.0)).alias("p_positive"),
-    ).withColumn("y_pred", label_by_cut(F.col("compound"), cut))
+    return sums.withColumns({
+        "compound": F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + fixed.VALENCE_ALPHA),
+        "p_negative": F.coalesce(ratio(F.col("_down"), total), F.lit(0.0)),
+        "p_neutral": F.coalesce(ratio(F.col("_flat"), total), F.lit(1.0)),
+        "p_positive": F.coalesce(ratio(F.col("_up"), total), F.lit(0.0)),
+    }).drop("_s", "_up", "_down", "_flat")
+
+
+def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, cut: float = fixed.VALENCE_CUT) -> DataFrame:
+    """``key, polarity, subjectivity, n_hits, y_pred``: means over the words found, 0 if none.
+
+    ``lexicon`` has ``token, polarity, subjectivity``, one row per token.
+    """
+    hits = _word_hits(df, key, text, lexicon, ["polarity", "subjectivity"])
+    return hits.groupBy(key).agg(*_polarity_sums()).withColumn("y_pred", label_by_cut(F.col("polarity"), cut))
+
+
+def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str],
+            boosters: dict[str, float], cut: float = fixed.VALENCE_CUT) -> DataFrame:
+    """``key, compound, p_negative, p_neutral, p_positive, y_pred``.
+
+    ``lexicon`` has ``token, valence`` (double), one row per token. A word's valence is moved by
+    boosters and flipped by negations among the three tokens before it; boosters count 100, 95
+    and 90 % by distance. Sums are squashed to (-1, 1). The three shares are of negative, neutral
+    and positive words, as in the published rules.
+    """
+    hits = _word_hits_in_context(df, key, text, lexicon, ["valence"], negations, boosters)
+    return _with_compound(hits.groupBy(key).agg(*_valence_sums())).withColumn(
+        "y_pred", label_by_cut(F.col("compound"), cut))
+
+
+def all_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str],
+               boosters: dict[str, float]) -> DataFrame:
+    """Polarity, subjectivity and valence from one pass over the texts."""
+    hits = _word_hits_in_context(df, key, text, lexicon, ["polarity", "subjectivity", "valence"], negations, boosters)
+    return _with_compound(hits.groupBy(key).agg(*_polarity_sums(), *_valence_sums()))

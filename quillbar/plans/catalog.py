@@ -78,7 +78,7 @@ def _(s, d):
 
 @query("synth_bars_indicators")
 def _(s, d):
-    return synth.synth_bars_indicators(_days(s, d))
+    return tidy_columns(synth.synth_bars_indicators(_days(s, d)), bar_ops.INDICATORS)
 
 
 @query("synth_bars_impact")

@@ -470,8 +470,67 @@ evaluated as (
 select model, n, {tidied([*MAIN, 'total_return', 'hit_rate'])} from counted left join metrics using (model)"""
 
 
+def chance(name: str, key: str) -> str:
+    return f"({hash_int(f"'42:{name}:' || {key}")} / 4294967296e0)"
+
+
+def bell(name: str, key: str) -> str:
+    radius, angle = (hash_int(f"'42:{name}:' || {key} || ':{part}'") for part in "ra")
+    return f"(sqrt(-2e0 * ln(1e0 - {radius} / 4294967296e0)) * cos(2e0 * pi() * ({angle} / 4294967296e0)))"
+
+
+def ring(values, name: str, key: str) -> str:
+    return f"([{strings(values)}])[1 + {hash_int(f"'42:{name}:' || {key}")} % {len(values)}]"
+
+
+def synth_headlines() -> str:
+    def by_label(make):
+        return (f"case sentiment_label when 'positive' then {make('positive')} when 'negative' then {make('negative')} "
+                f"else {make('neutral')} end")
+
+    key = "headline_id"
+    pattern = by_label(lambda c: ring(fixed.TEMPLATES[c], "template", key))
+    keyword = by_label(lambda c: ring(fixed.KEYWORDS[c], "keyword", key))
+    return f"""drawn as (
+  select doc_id as headline_id, date '2020-01-01' + cast({hash_int("'42:date:' || doc_id")} % 1461 as int) as date,
+    {ring(fixed.SYMBOLS, 'symbol', 'doc_id')} as symbol, {chance('label', 'doc_id')} as u from documents),
+labelled_drawn as (
+  select *, case when u < 0.4e0 then 'positive' when u < 0.4e0 + 0.3e0 then 'neutral' else 'negative' end as sentiment_label from drawn),
+written as (
+  select *, replace(replace({pattern}, '{{k}}', {keyword}), '{{s}}', symbol) || case when {chance('focus', key)} < 0.3e0
+    then ' with focus on ' || {ring(fixed.FOCUS_TERMS, 'term', key)} else '' end as headline from labelled_drawn)"""
+
+
+def synth_bars(impact: bool = False) -> str:
+    key = "symbol || ':' || date"
+    push = "* (1 + coalesce(impact, 0e0))" if impact else ""
+    source = "bars left join impacts using (symbol, date)" if impact else "bars"
+    return f"""days as (
+  select *, row_number() over ({S}) - 1 as i, count(*) over (partition by symbol) as n from {source}),
+steps as (
+  select *, case when i = 0 then 1e0 else exp((0.05e0 - 0.5e0 * pow(0.2e0, 2)) * (1e0 / 252) + 0.2e0 * sqrt(1e0 / 252) * {bell('walk', key)})
+    * case when {chance('jump', key)} < 0.1e0 then 1 + 0.05e0 * {bell('size', key)} else 1e0 end {push} end as step from days),
+path as (
+  select symbol, date, i, n, 100e0 * product(step) over ({S} rows between unbounded preceding and current row) as c from steps),
+opened as (select *, c * (1 + 0.01e0 * {bell('open', key)}) as o from path),
+synth as (
+  select date, symbol, round(o, 2) as open, round(greatest(o, c) * (1 + abs(0.005e0 * {bell('high', key)})), 2) as high,
+    round(least(o, c) * (1 - abs(0.005e0 * {bell('low', key)})), 2) as low, round(c, 2) as close,
+    cast(trunc(greatest(1000000 * (1 + coalesce(0.2e0 * i / nullif(n - 1, 0), 0) + 0.1e0 * sin(2 * pi() * i / 252)
+      + 0.3e0 * {bell('volume', key)}), 100000e0)) as bigint) as volume from opened)"""
+
+
 def statements() -> dict[str, str]:
     sql: dict[str, str] = {}
+    sql["synth_headlines"] = f"""with {synth_headlines()} select headline_id, date, symbol, headline, sentiment_label,
+cast(length(headline) as int) as text_length,
+cast(len(list_filter(regexp_split_to_array(headline, '\\s+'), lambda x: x <> '')) as int) as word_count from written"""
+    sql["synth_bars"] = f"with {BARS}, {synth_bars()} select * from synth"
+    sql["synth_bars_indicators"] = f"""with {BARS}, {synth_bars()}, {indicator_ctes('synth')}
+select date, symbol, open, high, low, close, volume, {tidied(INDICATOR_NAMES)} from indicators"""
+    sql["synth_bars_impact"] = f"""with {BARS}, {TRUTH}, {HEADLINES}, impacts as (
+  select symbol, date + 1 as date, avg(case y_true when 'positive' then 1e0 when 'negative' then -1e0 else 0e0 end) * 0.02e0 as impact
+  from headlines join truth on row_id = headline_id group by 1, 2), {synth_bars(True)} select * from synth"""
     sql["bars_load"] = f"""select o_orderpriority as symbol, cast(o_orderdate as date) as date, o_totalprice as close, o_orderkey as tick
 from orders where o_orderpriority in ({strings(inputs.TICKERS[:3])}) and o_orderdate >= '1995-01-01' and o_orderdate < '1997-01-01'"""
     sql["bars_filter"] = f"""with {BARS} select * from bars where symbol in ('1-URGENT', '5-LOW')
