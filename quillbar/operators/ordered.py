@@ -5,12 +5,14 @@ With many headlines per day one symbol, or one day, may hold a large share of al
 functions here then work in three steps:
 
 1. the rows are cut into ranges of the full order key, at bounds taken from a sample;
-2. windows run within a range, and one summary row per (key, range) is kept;
-3. a prefix over the summaries gives each range what came before it, and is joined back on
-   (key, range), by which the rows are already partitioned.
+2. windows run within a range;
+3. a key that goes on from one range into the next is the key of the bound between them. Such keys
+   are summarised per range, a prefix over the summaries gives each range what came before it, and
+   that table, at most one row per range, is broadcast to the rows.
 
-The input is read once for the bounds, once for the summaries and once for the result, each time
-with only the columns needed. Give it a materialised table where it is costly to compute.
+So the rows are shuffled once. The input is read once for the bounds, once for the summaries and
+once for the result, each time with only the columns needed. Give it a materialised table where it
+is costly to compute.
 
 The sample is chosen by a hash of the order key, so the bounds depend on the data alone and the
 range of a row is the same wherever and however often it is computed.
@@ -54,25 +56,37 @@ def range_bounds(df: DataFrame, cols: Sequence[str], ranges: int | None = None,
     return [tuple(sample[i]) for i in range(step, len(sample), step)][: ranges - 1]
 
 
-def range_of(df: DataFrame, cols: Sequence[str], bounds: list[tuple]) -> Column:
-    """How many bounds are at or below the row's key (a binary search)."""
+def bound_arrays(df: DataFrame, cols: Sequence[str], bounds: Sequence[tuple]) -> list[Column]:
+    """The bounds as one constant array for each column."""
+    return [F.expr("array(" + ", ".join(_literal(b[i], df.schema[c].dataType) for b in bounds) + ")")
+            for i, c in enumerate(cols)]
+
+
+def range_of(df: DataFrame, cols: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """How many bounds are at or below the row's key (a binary search).
+
+    Keys compare column by column, nulls first, as in an ascending sort.
+    """
     if not bounds:
         return F.lit(0)
-    types = [df.schema[c].dataType for c in cols]
-    rows = ", ".join(
-        "named_struct(" + ", ".join(f"'_{i}', {_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")"
-        for b in bounds
-    )
-    table = F.expr(f"array({rows})")
-    key = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    arrays = bound_arrays(df, cols, bounds)
+    with_null = [any(b[i] is None for b in bounds) for i in range(len(cols))]
+
+    def reached(index: Column) -> Column:
+        out = None
+        for i in reversed(range(len(cols))):
+            bound, own = F.get(arrays[i], index), F.col(cols[i])
+            below, same = bound < own, bound == own
+            if with_null[i]:
+                below = F.when(bound.isNull(), own.isNotNull()).otherwise(below)
+                same = bound.eqNullSafe(own)
+            out = below | same if out is None else below | (same & out)
+        return (index < len(bounds)) & F.coalesce(out, F.lit(False))
+
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda found, step: F.when(
-            F.coalesce(F.get(table, found + step - 1) <= key, F.lit(False)), found + step
-        ).otherwise(found),
-    )
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda found, step: F.when(reached(found + step - 1), found + step).otherwise(found))
 
 
 def before(spec: WindowSpec) -> WindowSpec:
@@ -83,15 +97,6 @@ def upto(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def join_back(rows: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Give each row its range's summary; null keys match each other."""
-    renamed = summary.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & rows[c].eqNullSafe(renamed[f"_on_{c}"])
-    return rows.join(renamed, condition, "left").drop(*[f"_on_{c}" for c in on])
-
-
 @dataclass(frozen=True)
 class RowOrder:
     """How rows are ordered within each key.
@@ -125,20 +130,43 @@ class RowOrder:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def _ranged(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_range", range_of(df, [*self.keys, *self.order], list(self.bounds)))
+        return df.withColumn("_range", range_of(df, [*self.keys, *self.order], self.bounds))
 
     def _here(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, "_range").orderBy(*self.order)
+        return Window.partitionBy("_range", *self.keys).orderBy(*self.order)
+
+    def _continued(self, ranged: DataFrame) -> DataFrame:
+        """Rows whose key is that of the bound below or above their range."""
+        if not self.keys:
+            return ranged
+        arrays = bound_arrays(ranged, self.keys, self.bounds)
+        keep = F.lit(False)
+        for index in (F.col("_range") - 1, F.col("_range")):
+            same = (index >= 0) & (index < len(self.bounds))
+            for array, k in zip(arrays, self.keys):
+                same = same & F.get(array, index).eqNullSafe(F.col(k))
+            keep = keep | same
+        return ranged.where(keep)
 
     def _ranges_of_key(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy("_range")
 
     def _carry(self, rows: DataFrame, ranged: DataFrame, summaries: dict[str, Column],
                carried: dict[str, Column]) -> DataFrame:
-        """Join to ``rows`` what ``carried`` makes of the summaries of the key's other ranges."""
+        """Join to ``rows`` what ``carried`` makes of the summaries of the key's other ranges; NULL
+        for keys that lie in one range."""
+        group = [*self.keys, "_range"]
+        table = self._continued(ranged).groupBy(*group).agg(*[c.alias(n) for n, c in summaries.items()])
+        return self._join(rows, table.withColumns(carried).select(*group, *carried))
+
+    def _join(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """Broadcast a table with at most two rows per range."""
         group = [*self.keys, "_range"]
-        table = ranged.groupBy(*group).agg(*[c.alias(n) for n, c in summaries.items()])
-        return join_back(rows, table.select(*group, *[c.alias(n) for n, c in carried.items()]), group)
+        other = table.withColumnsRenamed({c: f"_on_{c}" for c in group})
+        match = F.lit(True)
+        for c in group:
+            match = match & rows[c].eqNullSafe(other[f"_on_{c}"])
+        return rows.join(F.broadcast(other), match, "left").drop(*[f"_on_{c}" for c in group])
 
     def positions(self, df: DataFrame, name: str = "_pos") -> DataFrame:
         """Add each row's 0-based position within its key."""
@@ -149,8 +177,9 @@ class RowOrder:
         rows = me._carry(
             ranged.withColumn("_row", F.row_number().over(me._here())), ranged,
             {"_n": F.count(F.lit(1))},
-            {"_start": F.coalesce(F.sum("_n").over(before(me._ranges_of_key())), F.lit(0))})
-        return rows.withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_range", "_row", "_start")
+            {"_start": F.sum("_n").over(before(me._ranges_of_key()))})
+        start = F.coalesce(F.col("_start"), F.lit(0))
+        return rows.withColumn(name, start + F.col("_row") - 1).drop("_range", "_row", "_start")
 
     def frames(self, df: DataFrame, back: int, ahead: int,
                add: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
@@ -231,19 +260,18 @@ class RowOrder:
             out = out.withColumn("peak", F.max("equity").over(upto(me.window())))
         else:
             here, earlier = upto(me._here()), before(me._ranges_of_key())
-            group = [*self.keys, "_range"]
-            local = me._ranged(df).withColumn("_grown", growth.over(here))
-            carry = F.col("_carry")
+            ranged = me._ranged(df)
+            carry = F.coalesce(F.col("_carry"), F.lit(1.0))
             ends = (
-                local.groupBy(*group)
+                me._continued(ranged).withColumn("_grown", growth.over(here)).groupBy(*self.keys, "_range")
                 .agg(growth.alias("_product"), F.max("_grown").alias("_high"), F.min("_grown").alias("_low"))
-                .withColumn("_carry", F.coalesce(F.product("_product").over(earlier), F.lit(1.0)))
+                .withColumn("_carry", F.product("_product").over(earlier))
                 .withColumn("_top", F.when(carry >= 0, carry * F.col("_high")).otherwise(carry * F.col("_low")))
                 .withColumn("_peak", F.max("_top").over(earlier))
-                .select(*group, "_carry", "_peak")
+                .select(*self.keys, "_range", "_carry", "_peak")
             )
             out = (
-                join_back(local, ends, group)
+                me._join(ranged.withColumn("_grown", growth.over(here)), ends)
                 .withColumn("equity", carry * F.col("_grown"))
                 .withColumn("peak", F.greatest("_peak", F.max("equity").over(here)))
                 .drop("_range", "_grown", "_carry", "_peak")
@@ -261,6 +289,6 @@ class RowOrder:
         rows = me._carry(
             ranged.withColumns({o: F.sum(c).over(upto(me._here())) for c, o in columns.items()}), ranged,
             {f"_t_{c}": F.sum(c) for c in columns},
-            {f"_c_{c}": F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)) for c in columns})
-        return rows.withColumns({o: F.col(o) + F.col(f"_c_{c}") for c, o in columns.items()}).drop(
+            {f"_c_{c}": F.sum(f"_t_{c}").over(earlier) for c in columns})
+        return rows.withColumns({o: F.col(o) + F.coalesce(F.col(f"_c_{c}"), F.lit(0)) for c, o in columns.items()}).drop(
             "_range", *[f"_c_{c}" for c in columns])

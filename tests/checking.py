@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import math
 
 import duckdb
 
@@ -20,10 +19,6 @@ def second_engine(sf_dir: str):
     return con
 
 
-def sort_key(row):
-    return tuple((v is None, str(type(v)), v if not isinstance(v, float) else round(v, 3)) if v is not None else (True, "", 0) for v in row)
-
-
 def plain(value):
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
@@ -35,7 +30,7 @@ def rows_of(names, rows):
     return [names[i] for i in order], [tuple(plain(r[i]) for i in order) for r in rows]
 
 
-def differences(got, want, exact_keys=True):
+def differences(got, want):
     """The first few differing rows, or an empty list."""
     (gn, gr), (wn, wr) = got, want
     if gn != wn:

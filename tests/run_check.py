@@ -1,10 +1,12 @@
 """Run registered queries beside their SQL: python tests/run_check.py SF_DIR [name ...]."""
 
+import os
 import sys
 import time
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
+
 import __spark_entry__ as entry
 from checking import differences, rows_of, second_engine
 from quillbar.session import local_session
