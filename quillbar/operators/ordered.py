@@ -132,6 +132,10 @@ class RowOrder:
     def _ranged(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_range", range_of(df, [*self.keys, *self.order], self.bounds))
 
+    def _placed(self, ranged: DataFrame) -> DataFrame:
+        """Each range in a partition of its own: as even as the bounds, with no hash collisions."""
+        return ranged.repartitionById(len(self.bounds) + 1, F.col("_range"))
+
     def _here(self) -> WindowSpec:
         return Window.partitionBy("_range", *self.keys).orderBy(*self.order)
 
@@ -175,7 +179,7 @@ class RowOrder:
             return df.withColumn(name, (F.row_number().over(me.window()) - 1).cast("long"))
         ranged = me._ranged(df)
         rows = me._carry(
-            ranged.withColumn("_row", F.row_number().over(me._here())), ranged,
+            me._placed(ranged).withColumn("_row", F.row_number().over(me._here())), ranged,
             {"_n": F.count(F.lit(1))},
             {"_start": F.sum("_n").over(before(me._ranges_of_key()))})
         start = F.coalesce(F.col("_start"), F.lit(0))
@@ -219,7 +223,7 @@ class RowOrder:
         place = F.struct(*self.order)
         ranged, by_range = me._ranged(df), me._ranges_of_key()
         rows = me._carry(
-            ranged.withColumns({**own, "_first": F.lag(F.lit(True)).over(spec).isNull()}), ranged,
+            me._placed(ranged).withColumns({**own, "_first": F.lag(F.lit(True)).over(spec).isNull()}), ranged,
             {**{f"_e_{o}": F.max_by(F.struct(F.col(c).alias("v")), place) for c, o in last.items()},
              **{f"_e_{o}": F.max_by(c, F.when(F.col(c).isNotNull(), place)) for c, o in known.items()}},
             {**{f"_c_{o}": F.lag(f"_e_{o}").over(by_range)["v"] for o in last.values()},
@@ -236,7 +240,7 @@ class RowOrder:
             return df.withColumn(into, F.lead(column).over(me.window()))
         ranged, spec = me._ranged(df), me._here()
         rows = me._carry(
-            ranged.withColumns({"_own": F.lead(column).over(spec), "_last": F.lead(F.lit(True)).over(spec).isNull()}),
+            me._placed(ranged).withColumns({"_own": F.lead(column).over(spec), "_last": F.lead(F.lit(True)).over(spec).isNull()}),
             ranged,
             {"_edge": F.min_by(F.struct(F.col(column).alias("v")), F.struct(*self.order))},
             {"_next": F.lead("_edge").over(me._ranges_of_key())["v"]})
@@ -263,7 +267,7 @@ class RowOrder:
             ranged = me._ranged(df)
             carry = F.coalesce(F.col("_carry"), F.lit(1.0))
             ends = (
-                me._continued(ranged).withColumn("_grown", growth.over(here)).groupBy(*self.keys, "_range")
+                me._placed(me._continued(ranged)).withColumn("_grown", growth.over(here)).groupBy(*self.keys, "_range")
                 .agg(growth.alias("_product"), F.max("_grown").alias("_high"), F.min("_grown").alias("_low"))
                 .withColumn("_carry", F.product("_product").over(earlier))
                 .withColumn("_top", F.when(carry >= 0, carry * F.col("_high")).otherwise(carry * F.col("_low")))
@@ -271,7 +275,7 @@ class RowOrder:
                 .select(*self.keys, "_range", "_carry", "_peak")
             )
             out = (
-                me._join(ranged.withColumn("_grown", growth.over(here)), ends)
+                me._join(me._placed(ranged).withColumn("_grown", growth.over(here)), ends)
                 .withColumn("equity", carry * F.col("_grown"))
                 .withColumn("peak", F.greatest("_peak", F.max("equity").over(here)))
                 .drop("_range", "_grown", "_carry", "_peak")
@@ -287,7 +291,7 @@ class RowOrder:
             return df.withColumns({o: F.sum(c).over(upto(me.window())) for c, o in columns.items()})
         ranged, earlier = me._ranged(df), before(me._ranges_of_key())
         rows = me._carry(
-            ranged.withColumns({o: F.sum(c).over(upto(me._here())) for c, o in columns.items()}), ranged,
+            me._placed(ranged).withColumns({o: F.sum(c).over(upto(me._here())) for c, o in columns.items()}), ranged,
             {f"_t_{c}": F.sum(c) for c in columns},
             {f"_c_{c}": F.sum(f"_t_{c}").over(earlier) for c in columns})
         return rows.withColumns({o: F.col(o) + F.coalesce(F.col(f"_c_{c}"), F.lit(0)) for c, o in columns.items()}).drop(
