@@ -13,7 +13,7 @@ from quillbar.operators import (
     align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, splits, stats, strategy, summary,
 )
 from quillbar.operators.ordered import RowOrder
-from quillbar.plans.workflow import compare_models, labelled_rows
+from quillbar.plans.workflow import compare_models
 from quillbar.session import materialize, spread
 from quillbar.sources import bars as bar_source, inputs, synth
 
