@@ -27,3 +27,22 @@ def substring(docs, width=13):
         kept = " ".join(x for n, x in enumerate(w) if n not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def quality_base(docs):
+    out = []
+    for i, t in docs:
+        t = t or ""
+        w = words(t)
+        seen, again = set(), 0
+        for line in t.split("\n"):
+            if words(line):
+                again += line in seen
+                seen.add(line)
+        places = {}
+        for s in range(len(w) - 4):
+            places.setdefault(tuple(w[s:s + 5]), []).append(s)
+        cover = {p + k for v in places.values() if len(v) > 1 for p in v for k in range(5)}
+        out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), again, len(cover),
+                    len(w) < 10 or 100 * len(cover) > 20 * len(w)))
+    return out
