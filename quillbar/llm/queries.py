@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillbar.llm import quality_rules, substring_dedup
+from quillbar.llm import ngram_join, quality_rules, substring_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +31,8 @@ def op3_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judged(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.joined(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "n_shingles", "component_id")

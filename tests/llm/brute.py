@@ -46,3 +46,36 @@ def quality_base(docs):
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), again, len(cover),
                     len(w) < 10 or 100 * len(cover) > 20 * len(w)))
     return out
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, size=4):
+    w = words(lower(text))
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+
+
+def jaccard_components(docs, size=4, percent=85):
+    """(doc_id, set size, smallest reachable id); documents are compared through an inverted index."""
+    from collections import Counter, defaultdict
+    sets = [shingles(t, size) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    index = defaultdict(list)
+    for i, s in enumerate(sets):
+        for j, shared in Counter(j for g in s for j in index[g]).items():
+            if 100 * shared >= percent * (len(s) + len(sets[j]) - shared):
+                parent[root(i)] = root(j)
+        for g in s:
+            index[g].append(i)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        r = root(i)
+        least[r] = d if r not in least else min(least[r], d)
+    return [(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(docs)]
