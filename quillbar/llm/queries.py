@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillbar.llm import ngram_join, quality_rules, substring_dedup
+from quillbar.llm import ngram_join, packing, quality_rules, records, substring_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,14 @@ def op3_quality_rules(spark, sf_dir):
 @query
 def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.joined(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query
+def op5_binary_records(spark, sf_dir):
+    found = records.round_trip(spark, table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")

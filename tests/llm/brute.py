@@ -79,3 +79,47 @@ def jaccard_components(docs, size=4, percent=85):
         r = root(i)
         least[r] = d if r not in least else min(least[r], d)
     return [(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(docs)]
+
+
+def encoded(docs, end):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [(i, e.ids + [end]) for (i, _), e in zip(docs, t.encode_batch([x or "" for _, x in docs], add_special_tokens=False))]
+
+
+def crc(ids):
+    import zlib
+    import numpy as np
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def record_rows(docs):
+    out, start = [], 0
+    for i, ids in encoded(sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1] is not None, d[1] or "")), 1):
+        out.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    return out
+
+
+def piece_rows(docs, capacity=2048):
+    return [(i, p, p * capacity, len(ids[p * capacity:(p + 1) * capacity]), crc(ids[p * capacity:(p + 1) * capacity]))
+            for i, ids in encoded(docs, 0) for p in range(-(-len(ids) // capacity))]
+
+
+def packing_faults(rows, capacity=2048):
+    """rows: (sequence_id, offset, length). What is wrong with the layout."""
+    from collections import defaultdict
+    by = defaultdict(list)
+    for s, o, n in rows:
+        by[s].append((o, n))
+    bad = []
+    for s, parts in by.items():
+        at = 0
+        for o, n in sorted(parts):
+            if o != at:
+                bad.append((s, "gap"))
+            at += n
+        if at > capacity:
+            bad.append((s, "full"))
+    return bad, len(by)
