@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillbar.llm import ngram_join, packing, quality_rules, records, substring_dedup
+from quillbar.llm import mixing, ngram_join, packing, quality_rules, records, substring_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,9 @@ def op5_binary_records(spark, sf_dir):
 @query
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op8_source_mixing(spark, sf_dir):
+    found = mixing.taken(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
