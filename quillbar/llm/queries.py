@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillbar.llm import mixing, ngram_join, packing, quality_rules, records, substring_dedup
+from quillbar.llm import mixing, ngram_join, packing, quality_rules, records, substring_dedup, topk
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,22 @@ def op10_best_fit_packing(spark, sf_dir):
 def op8_source_mixing(spark, sf_dir):
     found = mixing.taken(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op4_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+SQL["op4_exact_top_k"] = """
+with v as (
+  select vec_id, [floor(1024 * x::double)::bigint for x in embedding] as v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+p as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum([a[1] * a[2] for a in list_zip(q.v, c.v)])::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
