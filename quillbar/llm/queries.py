@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillbar.llm import mixing, ngram_join, packing, quality_rules, records, substring_dedup, topk
+from quillbar.llm import (
+    chat, licenses, mixing, ngram_join, packing, quality_rules, records, substring_dedup, topk,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +74,28 @@ p as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
+
+
+@query
+def op7_chat_formatting(spark, sf_dir):
+    return chat.rendered(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+SQL["op7_chat_formatting"] = r"""
+with t as (
+  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+c as (
+  select conv_id, count(*) as n_turns, list([role, text] order by turn nulls first, role, text) as s from t group by conv_id),
+p as (select distinct s[1:i] as s from (select s, unnest(range(1, n_turns)) as i from c)),
+k as (
+  select min(conv_id) as conv_id, any_value(n_turns) as n_turns, s from c group by s)
+select conv_id, n_turns,
+  list_aggregate([concat('<|im_start|>', x[1], chr(10), replace(x[2], '<|', '< |'), '<|im_end|>', chr(10)) for x in s], 'string_agg', '') as text
+from k where not exists (select 1 from p where p.s = k.s)
+"""
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+    return found.select(F.col("key").alias("doc_id"), "license", "first_word", "n_words", "containment")
