@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,29 @@ def local_session(cores: int | None = None, app: str = "quillbar") -> SparkSessi
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the executors, once for each application, for Python that runs there.
+
+    Where the package is installed on all machines, or given by ``--py-files``, this is not needed.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="quillbar-"), "quillbar.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(package)))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partition count (200 if the platform chooses it by itself)."""
     width = spark.conf.get("spark.sql.shuffle.partitions", "200")
