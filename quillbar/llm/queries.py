@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillbar.llm import (
-    chat, licenses, mixing, ngram_join, packing, quality_rules, records, substring_dedup, topk,
+    chat, licenses, maxent, mixing, ngram_join, packing, quality_rules, records, substring_dedup, topk,
 )
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ from k where not exists (select 1 from p where p.s = k.s)
 def op6_license_scan(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
     return found.select(F.col("key").alias("doc_id"), "license", "first_word", "n_words", "containment")
+
+
+@query
+def op9_maxent_scores(spark, sf_dir):
+    return maxent.scores(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")

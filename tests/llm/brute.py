@@ -123,3 +123,21 @@ def packing_faults(rows, capacity=2048):
         if at > capacity:
             bad.append((s, "full"))
     return bad, len(by)
+
+
+def base_scores(docs):
+    import math
+    import zlib
+    from collections import Counter
+    count, n = Counter(), 0
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 10:
+            tokens = words(lower(t)) + [None]
+            count.update(tokens)
+            n += len(tokens)
+    out = []
+    for i, t in docs:
+        tokens = words(lower(t)) + [None]
+        out.append((i, zlib.crc32(str(i).encode()) % 10 == 0, len(tokens), sum(count[w] > 0 for w in tokens), n,
+                    sum(math.log10((count[w] + 0.1) / (n + 0.1 * (len(count) + 1))) for w in tokens)))
+    return out
