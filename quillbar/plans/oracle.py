@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
-import pyspark
-
 from quillbar.functions import fixed_values as fixed
 from quillbar.operators.stats import POISSON_STEPS
 from quillbar.sources import inputs
@@ -30,13 +23,6 @@ def tidied(names, digits: int = 6) -> str:
     return ", ".join(f"{tidy(n, digits)} as {n}" for n in names)
 
 
-@lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n"))
-
-
 # ---- inputs --------------------------------------------------------------------------------
 
 BARS = """bars as (
@@ -416,7 +402,7 @@ PROTECTED = set(fixed.PROTECTED_TERMS)
 
 
 def kept_words() -> str:
-    return strings(w for w in english_stop_words() if w and w not in PROTECTED)
+    return strings(w for w in fixed.ENGLISH_STOP_WORDS if w not in PROTECTED)
 
 
 def has_any(words, value: str = "lower(headline)") -> str:

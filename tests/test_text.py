@@ -125,3 +125,22 @@ def test_shape(spark):
     df = spark.createDataFrame([(1, " two  words "), (2, ""), (3, "🙂 é")], "id int, headline string")
     got = [(r["text_length"], r["word_count"]) for r in summary.headline_shape(df).orderBy("id").collect()]
     assert got == [(len(" two  words "), 2), (0, 0), (3, 2)]
+
+
+def test_stop_words_in_the_sql_are_those_of_spark(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from quillbar.functions.fixed_values import ENGLISH_STOP_WORDS
+
+    assert [w for w in StopWordsRemover.loadDefaultStopWords("english") if w] == ENGLISH_STOP_WORDS
+
+
+def test_sql_needs_no_files_of_the_spark_package(monkeypatch):
+    import glob
+    import zipfile
+
+    from quillbar.plans import oracle
+
+    monkeypatch.setattr(glob, "glob", lambda *a, **k: [])
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    assert len(oracle.statements()) > 90
