@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillbar.llm.frames import BLOCK_BYTES, block_of, blocks_for, settled
 from quillbar.llm.words import U64, Texts, mix, signed, slices
 
-CLASSES = 64
-FREQUENT = 31
+CLASSES = 32
+FREQUENT = 11
 ENDINGS = CLASSES - 1 - FREQUENT
 BUCKETS = 4096
 FEATURES = 3 * BUCKETS
-BATCH = 8192
+BATCH = 16384
 RATE = 0.3
 ROUNDS = 1
 SMOOTH = 0.1
@@ -120,15 +120,15 @@ class Trainer:
         n = len(cls)
         error = probabilities(self.weights, features)
         error[np.arange(n), cls] -= 1
-        for f in features:
-            order = np.argsort(f.astype(np.uint16), kind="stable")
-            ranked = f[order]
-            begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            rows = ranked[begin]
-            count = np.diff(np.append(begin, n)).astype(np.float32)
-            step = np.add.reduceat(error[order], begin, axis=0)
+        flat, across = error.ravel(), np.arange(CLASSES)
+        for kind, f in enumerate(features):
+            rows = slice(kind * BUCKETS, (kind + 1) * BUCKETS)
+            own = f - kind * BUCKETS
+            step = np.bincount((own[:, None] * CLASSES + across).ravel(), weights=flat, minlength=BUCKETS * CLASSES)
+            step = step.reshape(BUCKETS, CLASSES).astype(np.float32)
+            count = np.bincount(own, minlength=BUCKETS).astype(np.float32)
             # sums of a batch grow with the feature's tokens; their noise with the root
-            step /= np.sqrt(count)[:, None]
+            step /= np.sqrt(np.maximum(count, 1))[:, None]
             self.squares[rows] += step * step
             self.weights[rows] -= RATE * step / np.sqrt(self.squares[rows])
             self.seen[rows] += count
@@ -212,8 +212,9 @@ def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights:
     partly = updates.withColumn("salt", F.spark_partition_id() % 32).groupBy("part", "salt").applyInArrow(add, schema)
     size = FEATURES + weights.size
     flat = np.zeros(-(-size // RUN) * RUN, dtype=np.float32)
-    for row in partly.groupBy("part").applyInArrow(add, schema).collect():
-        flat[row["part"] * RUN:(row["part"] + 1) * RUN] = row["v"]
+    found = partly.groupBy("part").applyInArrow(add, schema).toArrow()
+    for part, values in zip(found["part"].to_pylist(), found["v"]):
+        flat[part * RUN:(part + 1) * RUN] = values.values.to_numpy()
     shared.unpersist()
     seen, moved = flat[:FEATURES], flat[FEATURES:size].reshape(weights.shape)
     return weights + moved / np.maximum(seen, 1)[:, None]
