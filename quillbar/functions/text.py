@@ -12,7 +12,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
 from quillbar.functions.fixed_values import (
-    EARNINGS_WORDS, MERGER_WORDS, NOUN_ENDINGS, PROTECTED_TERMS, REGULATORY_WORDS,
+    EARNINGS_WORDS, MERGER_WORDS, PROTECTED_TERMS, REGULATORY_WORDS,
 )
 
 WORD = r"\p{L}\p{N}_"
@@ -108,34 +108,6 @@ def remove_stopwords(tokens: Column, words: Sequence[str] | None = None,
     return F.filter(tokens, lambda t: ~t.isin(list(words))) if words else tokens
 
 
-def _quoted(word: str) -> str:
-    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def lemmas_expression(tokens: str, exceptions: dict[str, str], vocabulary: Sequence[str]) -> Column:
-    """Noun lemmas of the array column ``tokens``, from dictionaries small enough to be part of the
-    expression (see ``operators.lemmas``). Written as SQL: one call for any number of words.
-
-    An exception has its own lemma. Any other token becomes the shortest of itself and its noun
-    detachments that is in the vocabulary; tokens without a noun ending are passed through.
-    """
-    cases = []
-    if exceptions:
-        pairs = ", ".join(f"{_quoted(a)}, {_quoted(b)}" for a, b in exceptions.items())
-        cases.append(f"when t in ({', '.join(map(_quoted, exceptions))}) then element_at(map({pairs}), t)")
-    if vocabulary:
-        forms = ["struct(length(t) as n, 0 as i, t as form)"]
-        for i, (ending, replacement) in enumerate(NOUN_ENDINGS, start=1):
-            form = f"concat(substring(t, 1, length(t) - {len(ending)}), '{replacement}')"
-            size = f"length(t) - {len(ending) - len(replacement)}"
-            forms.append(f"if(endswith(t, '{ending}'), struct({size} as n, {i} as i, {form} as form), null)")
-        known = f"filter(array({', '.join(forms)}), f -> f.form in ({', '.join(map(_quoted, vocabulary))}))"
-        shortest = [e for e, _ in NOUN_ENDINGS if not any(e != o and e.endswith(o) for o, _ in NOUN_ENDINGS)]
-        may_change = " or ".join(f"endswith(t, '{e}')" for e in shortest)
-        cases.append(f"when {may_change} then coalesce(array_min({known}).form, t)")
-    return F.expr(f"transform({tokens}, t -> case {' '.join(cases)} else t end)") if cases else F.col(tokens)
-
-
 def preprocess_tokens(text: Column, words: Sequence[str] | None = None, **cleaning) -> Column:
     """Clean, tokenize, drop stop words."""
     return remove_stopwords(tokenize(clean_text(text, **cleaning)), words)

@@ -45,14 +45,14 @@ def interpolate(bars: DataFrame, daily: DataFrame) -> DataFrame:
 
     Before the first and after the last known day the nearest known value holds.
     """
-    spec = Window.partitionBy("symbol").orderBy("date")
-    earlier = spec.rowsBetween(Window.unboundedPreceding, 0)
-    later = spec.rowsBetween(0, Window.unboundedFollowing)
+    earlier = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    # looking ahead is looking back in falling order: a frame that only grows is computed in one pass
+    later = Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("sentiment").isNotNull(), F.struct("date", "sentiment"))
     located = (
         _calendar(bars, daily).withColumn("_point", point)
         .withColumns({"_a": F.last("_point", ignorenulls=True).over(earlier),
-                      "_b": F.first("_point", ignorenulls=True).over(later)})
+                      "_b": F.last("_point", ignorenulls=True).over(later)})
         .where("_is_bar")
     )
     a, b = F.col("_a"), F.col("_b")

@@ -88,7 +88,7 @@ def count_metrics(counts: DataFrame, by: Sequence[str] = ("model",)) -> DataFram
     return out.select(*by, "n", *MAIN_METRICS, *CLASS_METRICS)
 
 
-def rank_metrics(predictions: DataFrame, by: Sequence[str] = ("model",), **layout) -> DataFrame:
+def rank_metrics(predictions: DataFrame, by: Sequence[str] = ("model",), mode: str = "strict", **layout) -> DataFrame:
     """``auc_roc`` (one against the rest) and ``auc_pr`` (average precision), means of the classes.
 
     Rows collapse to one per distinct score first; running totals over the scores then need no
@@ -98,7 +98,7 @@ def rank_metrics(predictions: DataFrame, by: Sequence[str] = ("model",), **layou
         F.struct(F.lit(c).alias("class"), F.col(f"p_{c}").alias("score"),
                  (F.col("y_true") == c).cast("int").alias("hit")) for c in LABELS]))
     scores = (
-        checked(predictions).select(*by, per_class.alias("_s")).select(*by, "_s.*")
+        checked(predictions, mode=mode).select(*by, per_class.alias("_s")).select(*by, "_s.*")
         .groupBy(*by, "class", "score")
         .agg(F.sum("hit").alias("pos"), (F.count(F.lit(1)) - F.sum("hit")).alias("neg"))
         .withColumn("_down", -F.col("score"))
@@ -127,7 +127,7 @@ def classification_metrics(predictions: DataFrame, by: Sequence[str] = ("model",
     if not probabilities:
         return out
     scored = predictions.where(" and ".join(f"p_{c} is not null" for c in LABELS))
-    return out.join(rank_metrics(scored, by), list(by), "left")
+    return out.join(rank_metrics(scored, by, mode), list(by), "left")
 
 
 def metrics_long(metrics: DataFrame, names: Sequence[str], by: Sequence[str] = ("model",)) -> DataFrame:

@@ -7,34 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quillbar.functions.fixed_values import NOUN_ENDINGS
-from quillbar.functions.text import lemmas_expression, preprocess_tokens
-from quillbar.session import spread
-
-INLINE_ENTRIES = 20_000
+from quillbar.functions.text import preprocess_tokens
 
 
 def lemmatize(df: DataFrame, tokens: str, exceptions: DataFrame, vocabulary: DataFrame, key: Sequence[str],
-              into: str = "lemmas", inline_entries: int = INLINE_ENTRIES) -> DataFrame:
+              into: str = "lemmas") -> DataFrame:
     """Add noun lemmas of the token column.
 
-    ``exceptions`` has ``surface, lemma``; ``vocabulary`` has ``lemma``. Their sizes are checked:
-    small ones become part of the row expression (no shuffle). Larger ones are joined with the
-    distinct tokens of the table, and only words that change travel back to the rows.
-    ``key`` identifies a row.
+    ``exceptions`` has ``surface, lemma``; ``vocabulary`` has ``lemma``. Dictionaries of any size are joined with the
+    distinct tokens of the table, and only words that change travel back to the rows. A surface form listed more
+    than once has the alphabetically first of its lemmas. ``key`` identifies a row.
     """
-    irregular = exceptions.limit(inline_entries + 1).collect()
-    known = vocabulary.select("lemma").distinct().limit(inline_entries + 1).collect()
-    if len(irregular) <= inline_entries and len(known) <= inline_entries:
-        table = {r["surface"]: r["lemma"] for r in irregular}
-        return df.withColumn(into, lemmas_expression(tokens, table, [r["lemma"] for r in known]))
-    return _lemmatize_joined(df, tokens, exceptions, vocabulary, list(key), into)
+    key = list(key)
+    pairs = df.select(*key, F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null")
+    changes = changed_words(pairs.select("token").distinct(), exceptions, vocabulary)
+    per_row = (
+        pairs.join(changes, "token")
+        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
+    )
+    return df.join(per_row, key, "left").withColumn(
+        into, F.transform(tokens, lambda t: F.coalesce(F.element_at("_changes", t), t))).drop("_changes")
 
 
 def preprocess_lemmas(df: DataFrame, text: str, exceptions: DataFrame, vocabulary: DataFrame, key: Sequence[str],
                       into: str | None = None, words: Sequence[str] | None = None, join: bool = True) -> DataFrame:
     """All steps: clean, tokenize, drop stop words, lemmatize, and join by spaces unless ``join`` is off."""
     into = into or f"{text}_processed"
-    out = lemmatize(spread(df).withColumn("_tokens", preprocess_tokens(F.col(text), words)), "_tokens",
+    out = lemmatize(df.withColumn("_tokens", preprocess_tokens(F.col(text), words)), "_tokens",
                     exceptions, vocabulary, key, into).drop("_tokens")
     return out.withColumn(into, F.array_join(into, " ")) if join else out
 
@@ -54,20 +53,10 @@ def changed_words(words: DataFrame, exceptions: DataFrame, vocabulary: DataFrame
         .agg(F.min(F.struct(F.length("_f.form").alias("n"), F.col("_f.i").alias("i"),
                             F.col("_f.form").alias("form")))["form"].alias("_regular"))
     )
-    special = exceptions.select(F.col("surface").alias("token"), F.col("lemma").alias("_special"))
+    special = exceptions.groupBy(F.col("surface").alias("token")).agg(F.min("lemma").alias("_special"))
     return (
         words.join(special, "token", "left").join(regular, "token", "left")
         .select("token", F.coalesce("_special", "_regular").alias("lemma"))
         .where(F.col("lemma") != F.col("token"))
     )
 
-
-def _lemmatize_joined(df, tokens, exceptions, vocabulary, key, into):
-    pairs = df.select(*key, F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null")
-    changes = changed_words(pairs.select("token").distinct(), exceptions, vocabulary)
-    per_row = (
-        pairs.join(changes, "token")
-        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
-    )
-    return df.join(per_row, key, "left").withColumn(
-        into, F.transform(tokens, lambda t: F.coalesce(F.element_at("_changes", t), t))).drop("_changes")

@@ -13,29 +13,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillbar.functions import fixed_values as fixed
 from quillbar.functions.numeric import ratio
 from quillbar.functions.text import clean_text, tokenize
-from quillbar.session import spread
 
-BROADCAST_ROWS = 1_000_000
 
-
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; reads no more than it needs to know."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_words(words: DataFrame, lexicon: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Look words up. A lexicon of checked size is broadcast; otherwise the planner shuffles and
-    adaptive execution splits frequent words."""
-    return words.join(F.broadcast(lexicon) if small_enough(lexicon, broadcast_rows) else lexicon, "token", "left")
+def join_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Look words up. The planner broadcasts the lexicon if its bytes are below the session's threshold;
+    otherwise it shuffles, and adaptive execution splits frequent words."""
+    return words.join(lexicon, "token", "left")
 
 
 def with_tokens(df: DataFrame, key: str, text: str, into: str = "_tokens") -> DataFrame:
-    """``key`` and the tokens of the cleaned text; a small table is spread over the cores first.
+    """``key`` and the tokens of the cleaned text; a column that holds tokens already is taken as it is.
 
     Explode the tokens with ``explode_outer``: a plain ``explode`` makes the planner test each
     array for being empty before that, which tokenizes every text twice.
     """
-    return spread(df.select(key, text)).select(key, tokenize(clean_text(F.col(text))).alias(into))
+    ready = df.schema[text].dataType.typeName() == "array"
+    return df.select(key, (F.col(text) if ready else tokenize(clean_text(F.col(text)))).alias(into))
 
 
 def label_by_cut(score: Column, cut: float = fixed.VALENCE_CUT) -> Column:

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillbar.functions.fixed_values import LABELS
 from quillbar.functions.numeric import hash_int
-from quillbar.operators.lexicon import BROADCAST_ROWS, with_tokens
+from quillbar.operators.lexicon import with_tokens
 from quillbar.session import materialize
 
+BROADCAST_ROWS = 1_000_000
 PROBABILITIES = [f"p_{c}" for c in LABELS]
 
 
@@ -42,12 +43,13 @@ def best_class(scores: list[Column]) -> Column:
 
 
 def fit_logistic(train: DataFrame, text: str, label: str, features: int = 1 << 16, iterations: int = 20) -> PipelineModel:
-    """Three-class logistic regression on hashed TF-IDF features."""
+    """Three-class logistic regression on hashed TF-IDF features of a text, or of an array of tokens."""
+    ready = train.schema[text].dataType.typeName() == "array"
     prepared = train.select(F.col(text), class_index(F.col(label)).cast("double").alias("_class")).where(
         F.col("_class").isNotNull())
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
+    stages = [] if ready else [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")]
+    stages += [
+        HashingTF(inputCol=text if ready else "_words", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_class", maxIter=iterations, regParam=0.01,
                            family="multinomial", probabilityCol="_p", predictionCol="_best", rawPredictionCol="_raw"),

@@ -30,7 +30,7 @@ from quillbar.session import shuffle_width
 
 SAMPLE_PER_RANGE = 20
 SMALLEST_SAMPLE = 10_000
-MOST_RANGES = 16_384
+RANGE_ROWS = 2_000_000
 
 
 def _literal(value, dtype: DataType) -> str:
@@ -41,18 +41,22 @@ def _literal(value, dtype: DataType) -> str:
 
 
 def range_bounds(df: DataFrame, cols: Sequence[str], ranges: int | None = None,
-                 smallest_sample: int = SMALLEST_SAMPLE) -> list[tuple]:
+                 smallest_sample: int = SMALLEST_SAMPLE, rows: int | None = None) -> list[tuple]:
     """Ascending cut points of the order key ``cols``; none if the table is small.
 
-    The sample holds the rows with the smallest key hashes: a distributed top-k of fixed size.
+    There are twice as many ranges as shuffle partitions, or more, so that none has much over RANGE_ROWS
+    rows. The sample is the rows whose key hash is below a threshold: about the wanted number in all, found
+    by every task for itself, and the same rows each time. Only its distinct keys reach the driver.
     """
-    ranges = min(ranges or 2 * shuffle_width(df.sparkSession), MOST_RANGES)
-    size = max(ranges * SAMPLE_PER_RANGE, smallest_sample)
     keys = df.select(*cols)
-    sample = keys.orderBy(F.xxhash64(*cols), *cols).limit(size).orderBy(*cols).collect()
-    if len(sample) < size:
+    rows = keys.count() if rows is None else rows
+    ranges = ranges or max(2 * shuffle_width(df.sparkSession), -(-rows // RANGE_ROWS))
+    size = max(ranges * SAMPLE_PER_RANGE, smallest_sample)
+    if rows < size:
         return []
-    step = len(sample) // ranges
+    limit = min(2**63 - 1, -(2**63) + (2**64 * size) // rows)
+    sample = keys.where(F.xxhash64(*cols) <= F.lit(limit)).distinct().orderBy(*cols).collect()
+    step = max(1, len(sample) // ranges)
     return [tuple(sample[i]) for i in range(step, len(sample), step)][: ranges - 1]
 
 

@@ -35,12 +35,15 @@ def cut_counts(rows: int, fractions: Sequence[float]) -> list[int]:
 def key_at(df: DataFrame, key: str, place: int, rows: int, direct_rows: int = DIRECT_ROWS):
     """The key at a 0-based place in key order. Large sets are first narrowed to one key range."""
     keys = df.select(key)
-    if rows > direct_rows:
-        spread = keys.withColumn("_range", range_of(keys, [key], range_bounds(keys, [key])))
-        counts = spread.groupBy("_range").count().orderBy("_range").collect()
+    while rows > direct_rows:
+        bounds = range_bounds(keys, [key], rows=rows)
+        placed = keys.withColumn("_range", range_of(keys, [key], bounds))
+        counts = placed.groupBy("_range").count().orderBy("_range").collect()
+        if len(counts) < 2:  # one key value, or bounds that no longer cut
+            break
         for r in counts:
             if place < r["count"]:
-                keys = spread.where(F.col("_range") == r["_range"]).select(key)
+                keys, rows = placed.where(F.col("_range") == r["_range"]).select(key), r["count"]
                 break
             place -= r["count"]
     return keys.orderBy(key).offset(place).limit(1).first()[0]
@@ -48,19 +51,19 @@ def key_at(df: DataFrame, key: str, place: int, rows: int, direct_rows: int = DI
 
 def cut_keys(df: DataFrame, date: str, key: str, fractions: Sequence[float], snap: str = "row",
              direct_rows: int = DIRECT_ROWS) -> list[tuple]:
-    """The (date, key) of the first row after each cut; key None means the start of that date, and
-    (None, None) a cut past the last row."""
+    """The (date, key) of the first row after each cut; key None means the start of that date. Rows without a
+    date come last. A cut past the last row is None."""
     require_days(df, date)
-    days = df.groupBy(date).count().orderBy(date).collect()
+    days = df.groupBy(date).count().orderBy(F.col(date).asc_nulls_last()).collect()
     rows = sum(d["count"] for d in days)
     cuts = []
     for place in cut_counts(rows, fractions):
-        seen, found = 0, (None, None)
+        seen, found = 0, None
         for d in days:
             if place < seen + d["count"]:
                 first = None
                 if snap == "row" and place > seen:
-                    first = key_at(df.where(F.col(date) == F.lit(d[date])), key, place - seen, d["count"], direct_rows)
+                    first = key_at(df.where(F.col(date).eqNullSafe(F.lit(d[date]))), key, place - seen, d["count"], direct_rows)
                 found = (d[date], first)
                 break
             seen += d["count"]
@@ -68,12 +71,14 @@ def cut_keys(df: DataFrame, date: str, key: str, fractions: Sequence[float], sna
     return cuts
 
 
-def is_before(date: str, key: str, cut: tuple) -> Column:
-    day, first = cut
-    if day is None:
+def is_before(date: str, key: str, cut: tuple | None) -> Column:
+    if cut is None:
         return F.lit(True)
-    earlier = F.col(date) < F.lit(day)
-    return earlier if first is None else earlier | ((F.col(date) == F.lit(day)) & (F.col(key) < F.lit(first)))
+    day, first = cut
+    earlier = F.col(date).isNotNull() if day is None else F.coalesce(F.col(date) < F.lit(day), F.lit(False))
+    if first is None:
+        return earlier
+    return earlier | (F.col(date).eqNullSafe(F.lit(day)) & F.coalesce(F.col(key) < F.lit(first), F.lit(True)))
 
 
 def time_split(df: DataFrame, date: str = "date", key: str = "headline_id",

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillbar.functions.numeric import ratio, uniform
 from quillbar.session import shuffle_width
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws.
-POISSON_STEPS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+# Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws, until they are 1 in double precision.
+POISSON_STEPS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:

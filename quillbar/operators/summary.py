@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillbar.functions.numeric import hash_int
 from quillbar.functions.text import entity_flags, preprocess_text, text_length, word_count
-from quillbar.session import spread
+
+HASH_RANGE = 1 << 32
 
 
 def headline_shape(df: DataFrame, text: str = "headline") -> DataFrame:
-    return spread(df).withColumns({"text_length": text_length(F.col(text)), "word_count": word_count(F.col(text))})
+    return df.withColumns({"text_length": text_length(F.col(text)), "word_count": word_count(F.col(text))})
 
 
 def preprocess(df: DataFrame, text: str, into: str | None = None, **options) -> DataFrame:
     """Add the processed text, by default as ``<text>_processed``."""
-    return spread(df).withColumn(into or f"{text}_processed", preprocess_text(F.col(text), **options))
+    return df.withColumn(into or f"{text}_processed", preprocess_text(F.col(text), **options))
 
 
 def add_entity_flags(df: DataFrame, text: str = "headline", match: str = "substring") -> DataFrame:
-    lowered = spread(df).withColumn("_lower", F.lower(F.col(text)))
+    lowered = df.withColumn("_lower", F.lower(F.col(text)))
     return lowered.withColumns(entity_flags(F.col(text), F.col("_lower"), match)).drop("_lower")
 
 
@@ -30,9 +31,16 @@ def preview(df: DataFrame, columns: list[str], order: list[str], rows: int = 10)
 def sample_rows(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     """A seeded sample of fixed size without replacement: the rows with the smallest hashes.
 
-    A distributed top-k, so nothing is gathered beyond ``rows`` rows per task.
+    A threshold on the hash that leaves about four times the rows wanted goes in front, so that the tasks send few rows
+    each; where it leaves too few, it is not used.
     """
-    return df.withColumn("_hash", hash_int(seed, F.col(key))).orderBy("_hash", key).limit(rows).drop("_hash")
+    hashed = df.withColumn("_hash", hash_int(seed, F.col(key)))
+    total = df.count()
+    if total > 8 * rows:
+        low = hashed.where(F.col("_hash") < HASH_RANGE * 4 * rows // total)
+        if low.count() >= rows:
+            hashed = low
+    return hashed.orderBy("_hash", key).limit(rows).drop("_hash")
 
 
 def label_distribution(df: DataFrame, label: str = "sentiment_label") -> DataFrame:

@@ -14,7 +14,7 @@ from quillbar.operators import (
 )
 from quillbar.operators.ordered import RowOrder
 from quillbar.plans.workflow import compare_models
-from quillbar.session import materialize, spread
+from quillbar.session import materialize
 from quillbar.sources import bars as bar_source, inputs, synth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,7 +273,7 @@ def _(s, d):
 def _text_query(name, expression):
     @query(name)
     def _(s, d):
-        rows = spread(inputs.headlines(s, d).select("headline_id", "headline"))
+        rows = inputs.headlines(s, d).select("headline_id", "headline")
         return rows.select("headline_id", expression(F.col("headline")).alias("text"))
 
 
@@ -353,13 +353,17 @@ def _(s, d):
 
 def _labelled_texts(s, d):
     labels = inputs.truth(s, d).withColumnRenamed("row_id", "headline_id")
-    return spread(inputs.headlines(s, d).select("headline_id", "headline")).join(labels, "headline_id")
+    return inputs.headlines(s, d).select("headline_id", "headline").join(labels, "headline_id")
 
 
 @query("model_logistic")
 def _(s, d):
     fitted = models.fit_logistic(_labelled_texts(s, d), "headline", "y_true")
-    return models.score_logistic(fitted, inputs.headlines(s, d).select("headline_id", "headline"), "headline_id")
+    scored = models.score_logistic(fitted, inputs.headlines(s, d).select("headline_id", "headline"), "headline_id")
+    # coefficients differ between engines; what holds for any is that every row has one distribution and its best class
+    p = [F.col(c) for c in models.PROBABILITIES]
+    return scored.select("headline_id", F.round(p[0] + p[1] + p[2], 6).alias("p_total"),
+                         (F.col("y_pred") == models.best_class(p)).alias("is_best"))
 
 
 @query("model_nb")
@@ -672,6 +676,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 
 @query("baseline_comparison")
 def _(s, d):
-    out = flagship(s, d)
+    out = compare_models(inputs.headlines(s, d), inputs.bars(s, d), inputs.lexicon(s), inputs.NEGATIONS, inputs.BOOSTERS,
+                         models=("polarity", "valence", "naive_bayes", "majority"))
     values = [*classify.MAIN_METRICS, *strategy.STRATEGY_METRICS[:1], "hit_rate"]
     return tidy_columns(out.select("model", "n", *values), values)

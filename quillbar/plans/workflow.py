@@ -15,13 +15,13 @@ from quillbar.functions.fixed_values import LABELS
 from quillbar.operators.align import join_bars
 from quillbar.operators.bars import label_bars, label_rows
 from quillbar.operators.compare import model_comparison
-from quillbar.operators.lexicon import polarity, small_enough, valence
+from quillbar.operators.lexicon import polarity, valence, with_tokens
 from quillbar.operators.models import (
     NaiveBayes, baseline_majority, baseline_random, fit_logistic, plug_in_scorer, score_logistic,
 )
 from quillbar.operators.splits import time_split
 from quillbar.operators.strategy import predictions_by_day, strategy_metrics
-from quillbar.session import materialize, spread
+from quillbar.session import materialize
 
 KEY = "headline_id"
 
@@ -46,7 +46,7 @@ def labelled_rows(headlines: DataFrame, bars: DataFrame, horizon: int = 1, thres
 
 
 def compare_models(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, negations: Sequence[str],
-                   boosters: dict[str, float], models: Sequence[str] = ("polarity", "valence", "naive_bayes", "majority"),
+                   boosters: dict[str, float], models: Sequence[str] = ("polarity", "valence", "logistic", "naive_bayes", "majority"),
                    fractions: Sequence[float] = (0.7, 0.15, 0.15), snap: str = "row", horizon: int = 1,
                    threshold: float = 0.02, label_on: str = "headline", returns_from: str = "rows",
                    scorer: Callable | None = None, **strategy) -> DataFrame:
@@ -59,17 +59,19 @@ def compare_models(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, ne
     labelled = materialize(labelled_rows(headlines, bars, horizon, threshold, label_on))
     parts = time_split(labelled, "date", KEY, fractions, snap)
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
-    texts = spread(headlines.select(KEY, "headline"))
-    # Texts stay where they are if the keys are few enough to be sent to them.
-    send = F.broadcast if small_enough(labelled) else (lambda rows: rows)
-    train_texts = texts.join(send(train.select(KEY, "sentiment_label")), KEY)
-    test_texts = texts.join(send(test.select(KEY)), KEY)
+    texts = headlines.select(KEY, "headline")
+    # Every text is cleaned and tokenized once, however many models read it.
+    tokens = with_tokens(texts, KEY, "headline").join(
+        parts.where("split <> 'val'").select(KEY, "sentiment_label", "split"), KEY)
+    tokens = materialize(tokens)
+    train_tokens, test_tokens = tokens.where("split = 'train'"), tokens.where("split = 'test'")
+    test_texts = texts.join(test.select(KEY), KEY)
 
     makers = {
-        "polarity": lambda: polarity(test_texts, KEY, "headline", lexicon),
-        "valence": lambda: valence(test_texts, KEY, "headline", lexicon, negations, boosters),
-        "naive_bayes": lambda: NaiveBayes.fit(train_texts, "headline", "sentiment_label").score(test_texts, KEY, "headline"),
-        "logistic": lambda: score_logistic(fit_logistic(train_texts, "headline", "sentiment_label"), test_texts, KEY),
+        "polarity": lambda: polarity(test_tokens, KEY, "_tokens", lexicon),
+        "valence": lambda: valence(test_tokens, KEY, "_tokens", lexicon, negations, boosters),
+        "naive_bayes": lambda: NaiveBayes.fit(train_tokens, "_tokens", "sentiment_label").score(test_tokens, KEY, "_tokens"),
+        "logistic": lambda: score_logistic(fit_logistic(train_tokens, "_tokens", "sentiment_label"), test_tokens, KEY),
         "majority": lambda: baseline_majority(train, test, KEY, "sentiment_label"),
         "random": lambda: baseline_random(test, KEY),
         "custom": lambda: plug_in_scorer(test_texts, KEY, "headline", scorer),

@@ -59,34 +59,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(width) if width.isdigit() else 200
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a table once and cut its lineage, in the shared folder of ``spark.checkpoint.dir``.
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Compute a table once and cut its lineage, in ``folder`` or else the shared folder of ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a folder of its own, and a cluster gets the table
-    back as it is: it is recomputed where used, never put on one machine's disk.
+    Without either, a local session gets a folder of its own; a cluster raises, since only its owner knows
+    which folder all executors share.
     """
     context = df.sparkSession.sparkContext
+    folder = folder or context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillbar-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="quillbar-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small table over the cores before costly row-wise work.
-
-    A table of one or two files would keep one or two cores busy. The planner's size estimate
-    decides, without running anything: a table that fills the cores with full file splits by
-    itself is left alone.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df

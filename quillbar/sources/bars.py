@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 BAR_SCHEMA = "date date, symbol string, open double, high double, low double, close double, volume long"
 FIELDS = ["open", "high", "low", "close", "volume"]
@@ -17,17 +18,30 @@ def load_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = No
     """Bars from Parquet, CSV or JSON files. Missing or unreadable input raises.
 
     ``columns`` maps the file's column names to bar columns; only those are read. Without it the
-    files have the bar schema.
+    files have the bar schema. CSV columns are found by the header, in any order; a cell that does not
+    fit its type raises, as does a file whose header differs from the others'.
     """
     reader = spark.read.options(**options).format(fmt)
     if fmt == "csv" and "header" not in options:
         reader = reader.option("header", True)
+    if columns is None and fmt == "csv" and str(options.get("header", True)).lower() == "true":
+        return filter_bars(_csv_by_header(reader, path), symbols, start, end)
     if columns is None:
         return filter_bars(reader.schema(BAR_SCHEMA).load(path), symbols, start, end)
     named = reader.load(path).select(*[F.col(c).alias(n) for c, n in columns.items()])
     return filter_bars(named, symbols, start, end).withColumn("date", F.to_date("date"))
 
 
+def _csv_by_header(reader, path: str) -> DataFrame:
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(BAR_SCHEMA)}
+    header = reader.load(path).columns
+    missing = [name for name in kinds if name not in header]
+    if missing:
+        raise ValueError(f"columns missing in the header: {', '.join(missing)}")
+    schema = StructType([StructField(name, kinds.get(name, StringType())) for name in header])
+    return reader.option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).load(path).select(*kinds)
+
+
 def filter_bars(bars: DataFrame, symbols: Sequence[str] | None = None, start: str | None = None,
                 end: str | None = None) -> DataFrame:
     """Rows of the symbols with ``start <= date < end``.

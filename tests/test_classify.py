@@ -77,3 +77,11 @@ def test_comparison_is_sorted_and_reported(spark):
     assert [r["model"] for r in out.collect()] == ["n", "m"]
     report = compare.report(out).where("model = 'n'").orderBy("position").collect()
     assert [r["metric"] for r in report] == classify.MAIN_METRICS and report[0]["value"] == 1.0
+
+
+def test_permissive_mode_ranks_the_rows_it_keeps(spark):
+    rows = [("m", "positive", "positive", 0.1, 0.2, 0.7), ("m", "neutral", "neutral", 0.2, 0.6, 0.2),
+            ("m", "negative", "negative", 0.8, 0.1, 0.1), ("m", "unheard", "positive", 0.3, 0.3, 0.4)]
+    df = spark.createDataFrame(rows, "model string, y_true string, y_pred string, p_negative double, p_neutral double, p_positive double")
+    got = classify.classification_metrics(df, mode="permissive").first()
+    assert (got["n"], got["auc_roc"], got["auc_pr"]) == (3, 1.0, 1.0)

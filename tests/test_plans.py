@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillbar.operators import bars, lexicon
-from quillbar.operators.ordered import RowOrder
+from quillbar.operators import align, bars, lexicon, summary
+from quillbar.operators.ordered import RowOrder, range_bounds
 from quillbar.session import materialize
 from quillbar.sources import inputs
 
@@ -32,7 +32,27 @@ def test_whole_table_order_has_no_single_task_window_over_rows(spark):
     order = RowOrder((), ("id",), ranges=6, smallest_sample=100)
     out = order.compound(rows, "r")
     assert plan(out).count("Exchange SinglePartition") == 1  # the table of ranges
-    assert out.agg(F.max("equity")).first()[0] - 1.001 ** 500 < 1e-9
+    assert abs(out.agg(F.max("equity")).first()[0] - 1.001 ** 500) < 1e-9
+
+
+def test_bounds_come_from_a_threshold_and_not_from_a_top_k(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id % 10 as k", "id")
+    seen = []
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: seen.append(plan(self)) or collect(self))
+    assert len(range_bounds(rows, ["k", "id"], 4, 100)) == 3
+    assert seen and not any("TakeOrdered" in text or "GlobalLimit" in text for text in seen)
+
+
+def test_interpolation_looks_ahead_without_an_open_frame(spark):
+    bars_table = spark.range(50).selectExpr("'A' as symbol", "date_add(date'2020-01-01', cast(id as int)) as date", "1.0D as close")
+    daily = bars_table.where("day(date) % 5 = 0").selectExpr("symbol", "date", "0.5D as sentiment")
+    assert "unboundedfollowing" not in plan(align.interpolate(bars_table, daily)).lower()
+
+
+def test_text_queries_move_no_text_for_its_own_sake(spark, sf_dir):
+    heads = inputs.headlines(spark, sf_dir)
+    assert "RoundRobin" not in plan(summary.add_entity_flags(summary.headline_shape(heads)))
 
 
 def test_texts_are_tokenized_once(spark, sf_dir):

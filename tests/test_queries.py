@@ -31,4 +31,4 @@ def test_query(name, spark, sf_dir, engine):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["model", "n", "accuracy"]
-    assert df.count() == 4
+    assert df.count() == 5

@@ -17,6 +17,18 @@ def small_bars(spark, symbols=("A", "B"), n=3):
     return spark.createDataFrame(rows, bars.BAR_SCHEMA)
 
 
+def test_csv_columns_are_found_by_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("symbol,date,close,open,high,low,volume,note\nA,2020-01-02,1.5,1.0,2.0,0.5,7,x\n")
+    row = bars.load_bars(spark, str(tmp_path / "a.csv"), fmt="csv").first()
+    assert (row["date"], row["symbol"], row["open"], row["close"], row["volume"]) == (DAY + dt.timedelta(days=1), "A", 1.0, 1.5, 7)
+    (tmp_path / "b.csv").write_text("symbol,date,close,open,high,low,volume\nA,2020-01-02,much,1.0,2.0,0.5,7\n")
+    with pytest.raises(Exception):
+        bars.load_bars(spark, str(tmp_path / "b.csv"), fmt="csv").collect()
+    (tmp_path / "c.csv").write_text("symbol,date\nA,2020-01-02\n")
+    with pytest.raises(ValueError):
+        bars.load_bars(spark, str(tmp_path / "c.csv"), fmt="csv")
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_write_and_load(spark, tmp_path, fmt):
     path = str(tmp_path / fmt)

@@ -29,7 +29,7 @@ def test_split_by_position(spark, n, days, fractions, direct):
 
 def test_narrowing_to_a_key_range(spark, monkeypatch):
     rows, df = dated(spark, 400, [4])
-    monkeypatch.setattr(splits, "range_bounds", lambda d, c: [(10 ** 11 * k,) for k in range(1, 9)])
+    monkeypatch.setattr(splits, "range_bounds", lambda d, c, **k: [(10 ** 11 * k,) for k in range(1, 9)])
     got = {(r["date"], r["id"]): r["split"] for r in splits.time_split(df, "date", "id", direct_rows=5).collect()}
     assert got == expected(rows, (0.7, 0.15, 0.15))
 
@@ -62,3 +62,12 @@ def test_folds_leave_gaps(spark):
     purged = splits.cv_purged(df).collect()
     train = sorted(r["id"] for r in purged if r["fold"] == 1 and r["part"] == "train")
     assert train == list(range(0, 79)) + list(range(93, 100))
+
+
+@pytest.mark.parametrize("without", [20, 80])
+def test_rows_without_a_date_come_last(spark, without):
+    rows = spark.range(100).selectExpr("id as headline_id", f"if(id < {without}, null, date_add(date'2020-01-01', cast(id % 7 as int))) as date")
+    got = {r["split"]: r["n"] for r in splits.split_sizes(splits.time_split(rows)).collect()}
+    assert got == {"train": 70, "val": 15, "test": 15}
+    late = splits.time_split(rows).where("date is null")
+    assert late.where("split = 'test'").count() == 15

@@ -84,19 +84,27 @@ def dictionaries(spark):
     return exceptions, vocabulary
 
 
-@pytest.mark.parametrize("inline", [1000, 1])
-def test_lemmas_inline_and_joined(spark, inline):
+def test_lemmas(spark):
     df = spark.createDataFrame([(1, LEMMA_ROWS[0].split()), (2, []), (3, ["unknowns"])], "id long, tokens array<string>")
-    out = lemmas.lemmatize(df, "tokens", *dictionaries(spark), ["id"], inline_entries=inline)
+    out = lemmas.lemmatize(df, "tokens", *dictionaries(spark), ["id"])
     got = {r["id"]: r["lemmas"] for r in out.collect()}
     assert got[1] == "stock bus box church woman party wolf gas a mouse glass it's".split()
     assert got[2] == [] and got[3] == ["unknowns"]
 
 
+def test_a_surface_form_listed_twice_has_its_first_lemma(spark):
+    df = spark.createDataFrame([(1, ["axes", "saw", "plain"])], "id long, tokens array<string>")
+    twice = spark.createDataFrame([("axes", "axis"), ("axes", "ax"), ("saw", "see"), ("saw", "saw")], "surface string, lemma string")
+    large = spark.range(30_000).selectExpr("concat('w', id) as surface", "concat('v', id) as lemma").union(twice)
+    vocabulary = spark.range(30_000).selectExpr("concat('v', id) as lemma")
+    for exceptions in (twice, large):
+        assert lemmas.lemmatize(df, "tokens", exceptions, vocabulary, ["id"]).first()["lemmas"] == ["ax", "saw", "plain"]
+
+
 def test_preprocess_all_steps(spark):
-    df = spark.createDataFrame([(1, "APPLE Stocks Surge! See https://example.com @trader")], "id long, headline string")
+    df = spark.createDataFrame([(1, "ACME Stocks Rally! Read https://acme.example @desk")], "id long, headline string")
     out = lemmas.preprocess_lemmas(df, "headline", *dictionaries(spark), ["id"])
-    assert out.first()["headline_processed"] == "apple stock surge ! see"
+    assert out.first()["headline_processed"] == "acme stock rally ! read"
     assert summary.preprocess(df, "headline").columns[-1] == "headline_processed"
     assert summary.preprocess(df, "headline", "x").columns[-1] == "x"
 
@@ -107,7 +115,7 @@ def flags(spark, text, match="substring"):
 
 
 def test_entity_flags(spark):
-    assert flags(spark, "Apple reports $100M revenue growth in Q4 earnings") == {
+    assert flags(spark, "Acme posts $70M profit as spring earnings arrive") == {
         "has_earnings_keywords", "has_price_target", "has_dollar_amount"}
     assert flags(spark, "The second refined deal") == {"has_merger_keywords", "has_regulatory_keywords"}
     assert flags(spark, "The second refined deal", "word") == {"has_merger_keywords"}
