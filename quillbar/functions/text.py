@@ -108,14 +108,33 @@ def remove_stopwords(tokens: Column, words: Sequence[str] | None = None,
     return F.filter(tokens, lambda t: ~t.isin(list(words))) if words else tokens
 
 
-def preprocess_tokens(text: Column, words: Sequence[str] | None = None, **cleaning) -> Column:
-    """Clean, tokenize, drop stop words."""
-    return remove_stopwords(tokenize(clean_text(text, **cleaning)), words)
+STEPS = ("clean", "tokenize", "stopwords")
 
 
-def preprocess_text(text: Column, words: Sequence[str] | None = None, **cleaning) -> Column:
+def preprocess_tokens(text: Column, words: Sequence[str] | None = None, steps: Sequence[str] = STEPS,
+                      language: str = "english", **cleaning) -> Column:
+    """Clean, tokenize, drop stop words: those of ``steps``, always in this order.
+
+    Without ``tokenize`` the text is cut at white space only. ``words`` are the stop words, by default
+    Spark's for the language, less the protected terms.
+    """
+    unknown = set(steps) - set(STEPS)
+    if unknown:
+        raise ValueError(f"unknown steps: {', '.join(sorted(unknown))}")
+    out = clean_text(text, **cleaning) if "clean" in steps else text
+    if "tokenize" in steps:
+        out = tokenize(out)
+    else:
+        out = F.coalesce(F.regexp_extract_all(out, F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
+    if "stopwords" not in steps:
+        return out
+    return remove_stopwords(out, stop_words(language) if words is None else words)
+
+
+def preprocess_text(text: Column, words: Sequence[str] | None = None, steps: Sequence[str] = STEPS,
+                    language: str = "english", **cleaning) -> Column:
     """``preprocess_tokens`` joined by spaces."""
-    return F.array_join(preprocess_tokens(text, words, **cleaning), " ")
+    return F.array_join(preprocess_tokens(text, words, steps, language, **cleaning), " ")
 
 
 def _has_any(lowered: Column, words: Sequence[str], match: str) -> Column:

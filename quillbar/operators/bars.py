@@ -81,8 +81,10 @@ def rsi(df: DataFrame, rows: int = 14, into: str = "rsi_14d", price: str = "clos
     return order.frames(df, rows, 0, lambda d, w: _with_rsi(d, w, price, rows, into))
 
 
-def add_indicators(df: DataFrame, order: RowOrder = DAILY, fill: str = "pad") -> DataFrame:
-    """All 13 indicators."""
+def add_indicators(df: DataFrame, order: RowOrder = DAILY, fill: str = "pad", rsi_scope: str = "symbol") -> DataFrame:
+    """All 13 indicators. ``rsi_scope`` is the scope of ``rsi``; all others restart at each symbol."""
+    if rsi_scope not in ("symbol", "frame"):
+        raise ValueError("rsi_scope must be 'symbol' or 'frame'")
     order = order_for(df, order)
     priced, price = _priced(df, order, "close", fill)
 
@@ -100,7 +102,8 @@ def add_indicators(df: DataFrame, order: RowOrder = DAILY, fill: str = "pad") ->
             "volatility_7d": full_window(F.stddev_samp, "price_change_1d", w, 7),
             "volatility_20d": full_window(F.stddev_samp, "price_change_1d", w, 20),
         })
-        d = _with_rsi(d, w, "close", 14, "rsi_14d")
+        if rsi_scope == "symbol":
+            d = _with_rsi(d, w, "close", 14, "rsi_14d")
         return d.withColumns({
             "volume_ratio": ratio(F.col("volume"), F.col("volume_20d_avg")),
             "price_vs_ma5": ratio(close, F.col("ma_5d")) - 1,
@@ -108,7 +111,10 @@ def add_indicators(df: DataFrame, order: RowOrder = DAILY, fill: str = "pad") ->
             "price_vs_ma50": ratio(close, F.col("ma_50d")) - 1,
         })
 
-    return order.frames(priced, 50, 0, add).select(*df.columns, *INDICATORS)
+    out = order.frames(priced, 50, 0, add)
+    if rsi_scope == "frame":
+        out = rsi(out, scope="frame", order=order)
+    return out.select(*df.columns, *INDICATORS)
 
 
 def rolling(df: DataFrame, aggregate, column: str, rows: int, into: str, order: RowOrder = DAILY) -> DataFrame:

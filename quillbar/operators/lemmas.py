@@ -30,10 +30,11 @@ def lemmatize(df: DataFrame, tokens: str, exceptions: DataFrame, vocabulary: Dat
 
 
 def preprocess_lemmas(df: DataFrame, text: str, exceptions: DataFrame, vocabulary: DataFrame, key: Sequence[str],
-                      into: str | None = None, words: Sequence[str] | None = None, join: bool = True) -> DataFrame:
-    """All steps: clean, tokenize, drop stop words, lemmatize, and join by spaces unless ``join`` is off."""
+                      into: str | None = None, words: Sequence[str] | None = None, join: bool = True, **options) -> DataFrame:
+    """All steps: clean, tokenize, drop stop words, lemmatize, and join by spaces unless ``join`` is off.
+    ``options`` are those of ``preprocess_tokens``."""
     into = into or f"{text}_processed"
-    out = lemmatize(df.withColumn("_tokens", preprocess_tokens(F.col(text), words)), "_tokens",
+    out = lemmatize(df.withColumn("_tokens", preprocess_tokens(F.col(text), words, **options)), "_tokens",
                     exceptions, vocabulary, key, into).drop("_tokens")
     return out.withColumn(into, F.array_join(into, " ")) if join else out
 

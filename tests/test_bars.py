@@ -108,3 +108,13 @@ def test_empty_and_single_row(spark):
     assert bars.add_indicators(empty).count() == 0
     one = bars.add_indicators(series(spark, [1.0])).first()
     assert all(one[c] is None for c in bars.INDICATORS)
+
+
+def test_indicators_with_the_frame_scope_of_rsi(spark):
+    rows = spark.range(60).selectExpr("if(id < 30, 'A', 'B') as symbol", "date_add(date'2020-01-01', cast(id % 30 as int)) as date",
+                                      "100 + sin(id * 7) as close", "id as volume")
+    both = bars.add_indicators(rows, rsi_scope="frame").drop("rsi_14d").exceptAll(bars.add_indicators(rows).drop("rsi_14d"))
+    assert both.count() == 0
+    want = {(r["symbol"], r["date"]): r["rsi_14d"] for r in bars.rsi(rows, scope="frame").collect()}
+    got = {(r["symbol"], r["date"]): r["rsi_14d"] for r in bars.add_indicators(rows, rsi_scope="frame").collect()}
+    assert got == want and any(v is not None for (s, d), v in got.items() if s == "B" and d.day < 10)

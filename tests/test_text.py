@@ -152,3 +152,17 @@ def test_sql_needs_no_files_of_the_spark_package(monkeypatch):
     monkeypatch.setattr(glob, "glob", lambda *a, **k: [])
     monkeypatch.setattr(zipfile, "ZipFile", None)
     assert len(oracle.statements()) > 90
+
+
+def test_steps_and_language_of_the_preprocessing(spark):
+    df = spark.createDataFrame([("Der Kurs und die Aktie steigt! https://a.example",)], "t string")
+
+    def got(**options):
+        return df.select(tx.preprocess_text(F.col("t"), **options)).first()[0]
+    assert got(language="german") == "kurs aktie steigt !"
+    assert got() == "der kurs und die aktie steigt !"
+    assert got(steps=("clean",)) == "der kurs und die aktie steigt!"
+    assert got(steps=("stopwords",), language="german") == "Der Kurs Aktie steigt! https://a.example"
+    assert got(steps=()) == "Der Kurs und die Aktie steigt! https://a.example"
+    with pytest.raises(ValueError):
+        got(steps=("stem",))
