@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillbar.functions.numeric import ratio, uniform
 from quillbar.session import shuffle_width
 
+MOST_ROWS = 1_000_000
+
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws, until they are 1 in double precision.
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
@@ -44,8 +46,11 @@ def poisson_weight(u: Column) -> Column:
 def replicate_units(units: DataFrame, unit: str, replicates: int, seed: int = 42) -> DataFrame:
     """Each unit once per replicate with its weight (0 for units not drawn).
 
-    The few units are spread over all tasks first, since each becomes ``replicates`` rows.
+    The few units are spread over all tasks first, since each becomes ``replicates`` rows. A unit that is not few
+    by nature (a row id, say) raises beyond MOST_ROWS of units.
     """
+    if units.count() > MOST_ROWS:
+        raise ValueError(f"{unit} has more than {MOST_ROWS} rows of units: take a coarser unit, such as a date")
     spread = units.repartition(shuffle_width(units.sparkSession), unit)
     copies = spread.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = copies.withColumn("_u", uniform(seed, "boot", F.col("replicate"), F.col(unit)))

@@ -72,3 +72,9 @@ def test_reality_check(spark):
     bad = stats.reality_check(df.where("model = 'bad'"), replicates=200).first()
     assert good["p_value"] < 0.05 < 0.5 < bad["p_value"]
     assert good["statistic"] == pytest.approx(math.sqrt(80) * statistics.mean(r[2] for r in rows if r[0] == "good"))
+
+
+def test_units_must_be_few(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MOST_ROWS", 10)
+    with pytest.raises(ValueError):
+        stats.replicate_units(spark.range(11).withColumnRenamed("id", "u"), "u", 5)
