@@ -4,11 +4,12 @@ A document is the set of its distinct word shingles. Two documents link when ``1
 The join is exact and goes from sets to points to pairs:
 
 1. **Cells.** Documents that link are never compared across cells. Two sets of similarity ``t`` differ in at most
-   ``D = (1 - t) / t * n`` shingles. The hash space is cut into ``M`` equal segments, ``M`` a power of two of about half the set size; a
+   ``D = (1 - t) / t * n`` shingles. The hash space is cut into ``M`` equal segments, ``M`` a power of two so that a segment has about 2 to 5 shingles; a
    set's part of a segment is one key. A differing shingle spoils one key, so linked sets have a key in common among the first
-   ``D + 1`` keys of either, in the order of key hashes. Sets of up to ``SINGLES`` shingles take single shingles as keys. A size near
+   ``D + 1`` keys of either, in any order that is the same for all sets. Rare keys come first, by a sketch of all keys of fixed size, so
+   that what many documents share (a license, a common line) ties no unrelated ones together. Sets of up to ``SINGLES`` shingles take single shingles as keys. A size near
    a power of two emits for the lower one, too. Documents with a common key, directly or through others, form a cell.
-2. **Points.** Within a cell, shingles are hashed into ``GROUPS`` groups. A set becomes the vector of its group counts, and the vectors
+2. **Points.** Within a cell, shingles are hashed into ``GROUPS`` groups, more where its sets are large. A set becomes the vector of its group counts, and the vectors
    go into an R-tree packed by size and widest coordinate. The overlap of two sets is at most the sum of the
    coordinate minima; against the upper corner of a box this bounds a whole subtree.
 3. **Pairs.** What the bound leaves is verified on the sets themselves. Pairs already joined through others are not
@@ -18,8 +19,8 @@ Equal sets are one class and are joined once. Keys are pre-aggregated by batch o
 each batch. A cell above ``CELL`` classes is cut into blocks by size, and block pairs whose sizes can link are joined in
 tasks of their own: bounded memory, and work that grows with the square of such a cell, of classes and not of copies.
 
-Shingles are compared by 64-bit hashes. That the D + 1 keys exist fails only where more than a third of the segments of a set of over
-``SINGLES`` shingles are empty (chance below 1e-9 at the smallest such set, less beyond).
+Shingles are compared by 64-bit hashes. That the D + 1 keys exist fails only where more segments of a set are empty than its size allows: for 65 shingles 21 of 32 (4 are to be expected; chance
+below 1e-9), for 400 shingles 58 of 128 (6 expected; below 1e-30).
 
 Defined cases: a null or word-less text has the empty set and links with nothing. A text with fewer words than a shingle is one shingle of all its
 words. Repeated rows are copies like any other. A null key links like any other document but is the smallest key only of a component
@@ -32,8 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quillbar.llm.components import components
 from quillbar.llm.frames import fresh, settled
@@ -42,9 +43,12 @@ from quillbar.llm.words import U64, Texts, mix, signed, slices, windows
 SHINGLE = 4
 PERCENT = 85
 SINGLES = 64
+FEW = 384
 GROUPS = 64
+MOST_GROUPS = 1024
 LEAF = 32
-CELL = 512
+CELL = 1024
+SKETCH = 20
 FAR = np.iinfo(np.int64).max
 
 
@@ -89,16 +93,15 @@ def _differ_most(size: np.ndarray, percent: int, larger_only: bool) -> np.ndarra
 
 
 def _level(size: np.ndarray) -> np.ndarray:
-    """The number of bits that name a segment; 0 for single shingles."""
-    bits = np.ceil(np.log2(np.maximum(size, 1) / 3)).astype(np.int64)
+    """The number of bits that name a segment; 0 for single shingles. It never falls with the size."""
+    bits = np.ceil(np.log2(np.maximum(size, 1) / np.select([size <= FEW, size <= 3 * FEW], [3.0, 4.5], 5.0))).astype(np.int64)
     return np.where(size <= SINGLES, 0, np.maximum(bits, 1))
 
 
-def cell_keys(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each set: key and number of the text."""
+def all_keys(sets: Sets, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The keys of each set on its own level, and on the lower one where that is another: key, number of the text, whether lower."""
     smallest = -(-sets.size * percent // 100)
     own, lower = _level(sets.size), _level(smallest)
-    out = []
     for level, wanted, larger_only in ((own, sets.size > 0, False), (lower, lower != own, True)):
         take = wanted[sets.doc]
         hashes, doc = sets.hash[take], sets.doc[take]
@@ -109,10 +112,50 @@ def cell_keys(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
-        keys = mix(np.add.reduceat(mix(hashes), at) ^ mix(part[at] + (bits[at] << U64(48)) + U64(5)))
-        doc = doc[at]
-        order = np.argsort(keys)
-        order = order[np.argsort(doc[order], kind="stable")]
+        yield mix(np.add.reduceat(mix(hashes), at) ^ mix(part[at] + (bits[at] << U64(48)) + U64(5))), doc[at], larger_only
+
+
+def _counter(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U64(64 - SKETCH)).astype(np.int64)
+
+
+def frequent_keys(docs: DataFrame, text: str, shingle: int, percent: int) -> np.ndarray:
+    """For each of ``2 ** SKETCH`` counters, how far the number of keys that hash to it is above the average, in quarters of a power of two.
+
+    All keys of all documents are counted. Tasks add up their own counters, then counters are added across tasks; what reaches the driver has that fixed size.
+    """
+    run_length = 1 << 12
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH, dtype=np.int64)
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                for keys, _, _ in all_keys(Sets(texts, shingle), percent):
+                    total += np.bincount(_counter(keys), minlength=1 << SKETCH)
+        parts = total.reshape(-1, run_length)
+        used = np.flatnonzero(parts.any(axis=1))
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(parts[used].ravel()), run_length).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), lists], names=["part", "counts"])
+
+    def add(group: tuple, table: pa.Table) -> pa.Table:
+        total = table["counts"].combine_chunks().flatten().to_numpy().reshape(-1, run_length).sum(axis=0)
+        return pa.table({"part": pa.array([group[0].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    schema = "part int, counts array<long>"
+    total = np.zeros(1 << SKETCH, dtype=np.int64)
+    found = docs.select(text).mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+    for part, counts in zip(found["part"].to_pylist(), found["counts"]):
+        total[part * run_length:(part + 1) * run_length] = counts.values.to_numpy()
+    return np.minimum(4 * np.log2(1 + total / max(total.mean(), 1.0)), 127).astype(np.uint8)
+
+
+def cell_keys(sets: Sets, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first keys of each set, rare ones first: key and number of the text."""
+    out = []
+    for keys, doc, larger_only in all_keys(sets, percent):
+        # frequency class in the top bits, then the key's own hash: one order for all sets
+        order = np.argsort((frequent[_counter(keys)].astype(U64) << U64(57)) | (mix(keys) >> U64(7)))
+        order = order[np.argsort(doc[order].astype(np.uint16) if len(sets.size) < 1 << 16 else doc[order], kind="stable")]
         keys, doc = keys[order], doc[order]
         rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(sets.size)))[doc]
         few = rank <= _differ_most(sets.size, percent, larger_only)[doc]
@@ -138,11 +181,13 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
 def cells(docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """``a, cell`` of every class that shares a key with another; ``a`` is the first class hash (classes that share it share a cell)."""
+    frequent = frequent_keys(docs, text, shingle, percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
                 sets = Sets(texts, shingle)
-                keys, doc = cell_keys(sets, percent)
+                keys, doc = cell_keys(sets, percent, frequent)
                 names = sets.identity()[0][doc]
                 order = np.lexsort((names, keys))
                 keys, names = keys[order], names[order]
@@ -162,17 +207,21 @@ def cells(docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``cell, a, b, n, set`` from documents with a cell."""
+    """The rows with the text replaced by ``a, b, n, set``: its class, and its shingle hashes."""
+    others = [c for c in docs.columns if c != text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, texts in slices(batch.column(0)):
                 sets = Sets(texts, shingle)
                 one, two = sets.identity()
                 lists = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(signed(sets.hash)))
+                rows = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(low, high - low), pa.array(signed(one)), pa.array(signed(two)), pa.array(sets.size.astype(np.int64)), lists],
-                    names=["cell", "a", "b", "n", "set"])
-    return docs.select(text, "cell").mapInArrow(run, "cell long, a long, b long, n long, set array<long>")
+                    [*rows.columns[1:], pa.array(signed(one)), pa.array(signed(two)), pa.array(sets.size.astype(np.int64)), lists],
+                    names=[*others, "a", "b", "n", "set"])
+    kinds = StructType([docs.schema[c] for c in others]).add("a", "long").add("b", "long").add("n", "long").add("set", ArrayType(LongType()))
+    return docs.select(text, *others).mapInArrow(run, kinds)
 
 
 class RTree:
@@ -205,26 +254,24 @@ class RTree:
         return self.order[boxes[boxes < len(self.order)]]
 
 
-def _root(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def groups_for(largest: int) -> int:
+    """Unrelated sets of n shingles have group counts that differ by about sqrt(n * groups) in all, and linked ones by less
+    than n / 6: larger sets need more groups to be told apart."""
+    return 1 << max(GROUPS, min(MOST_GROUPS, largest // 8)).bit_length() - 1
 
 
-def join_cell(values: np.ndarray, first: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the linked sets of a cell: as few as that takes. With ``sides`` only pairs across the two sides are looked at.
+def join_cell(values: np.ndarray, first: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a cell, one set of its component, the same for all. With ``sides`` only pairs across the two sides are looked at.
 
     ``values[first[i]:first[i + 1]]`` is set i, sorted.
     """
     sizes = np.diff(first)
     count = len(sizes)
-    points = np.zeros((count, GROUPS), dtype=np.int32)
-    np.add.at(points, (np.repeat(np.arange(count), sizes), (mix(values) & U64(GROUPS - 1)).astype(np.int64)), 1)
+    groups = groups_for(int(sizes.max(initial=0)))
+    flat = np.repeat(np.arange(count), sizes) * groups + (mix(values) & U64(groups - 1)).astype(np.int64)
+    points = np.bincount(flat, minlength=count * groups).reshape(count, groups).astype(np.int32)
     tree = RTree(points, sizes)
-    parent = np.arange(count)
     label = np.arange(count)
-    links = []
     for i in range(count):
         near = tree.near(points[i], int(sizes[i]), percent)
         near = near[(near > i) & (label[near] != label[i])]
@@ -244,12 +291,9 @@ def join_cell(values: np.ndarray, first: np.ndarray, percent: int, sides: np.nda
                 place = np.minimum(np.searchsorted(own, other), len(own) - 1)
                 shared = int((own[place] == other).sum())
                 if 100 * shared >= percent * (int(sizes[i]) + int(sizes[j]) - shared):
-                    links.append((i, j))
-                    x, y = _root(parent, i), _root(parent, j)
-                    parent[y] = x
                     label[label == label[j]] = label[i]
             near = near[label[near] != label[i]]
-    return links
+    return label
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,43 +305,45 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _link_rows(table: pa.Table, percent: int, sides: np.ndarray | None = None) -> pa.Table:
     values, first = _lists(table["set"])
-    found = np.array(join_cell(values, first, percent, sides), dtype=np.int64).reshape(-1, 2)
+    root = join_cell(values, first, percent, sides)
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    root = root[linked]
     a, b = table["a"].to_numpy(), table["b"].to_numpy()
-    return pa.table({"a": a[found[:, 0]], "b": b[found[:, 0]], "c": a[found[:, 1]], "d": b[found[:, 1]]})
+    return pa.table({"a": a[linked], "b": b[linked], "c": a[root], "d": b[root], "alone": table["alone"].take(pa.array(linked))})
 
 
-LINK = "a long, b long, c long, d long"
+LINK = "a long, b long, c long, d long, alone boolean"
 
 
-def class_links(sets: DataFrame, percent: int, cell_limit: int = CELL) -> DataFrame:
-    """Links between classes that connect what is linked. ``sets`` has a row for each class: ``cell, a, b, n, set``.
+def tasks_of(heads: DataFrame, percent: int, cell_limit: int = CELL) -> DataFrame:
+    """``key, t, cell, block, others``: where the set of each class is joined.
 
-    Cells of up to ``cell_limit`` classes are joined in one task each. Others are dealt into blocks in order of size, and each
-    block is joined with itself and with every later block of its cell whose smallest set can link with its largest.
+    A cell of up to ``cell_limit`` classes is one block. A larger one is dealt into blocks in order of size, and each
+    block is joined with itself and with every later block of its cell whose smallest set can link with its largest: ``others``
+    lists the block pairs that need the class.
     """
     in_cell = Window.partitionBy("cell")
-    placed = sets.select("cell", "a", "b", "n").withColumn("count", F.count(F.lit(1)).over(in_cell)).withColumn(
-        "block", F.floor((F.row_number().over(in_cell.orderBy("n", "a", "b")) - 1) / cell_limit).cast("int"))
+    placed = heads.withColumn("block", F.floor((F.row_number().over(in_cell.orderBy("n", "a", "b")) - 1) / cell_limit).cast("int"))
     placed = settled(placed)
-    small = sets.join(placed.where(F.col("count") <= cell_limit).select("cell", "a", "b"), ["cell", "a", "b"])
-    blocks = placed.where(F.col("count") > cell_limit).groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    later = blocks.select("cell", F.col("block").alias("other"), F.col("low").alias("other_low"))
-    tasks = blocks.join(later, "cell").where("other >= block").where(F.col("other_low") * percent <= F.col("high") * 100)
-    ends = tasks.select("cell", "block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("part"))
-    large = (
-        sets.join(placed.where(F.col("count") > cell_limit).select("cell", "a", "b", F.col("block").alias("part")), ["cell", "a", "b"])
-        .join(ends, ["cell", "part"])
-    )
+    blocks = placed.where("block is not null").groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    later = blocks.select(F.col("cell").alias("c"), F.col("block").alias("other"), F.col("low").alias("other_low"))
+    pairs = blocks.join(later, (F.col("cell") == F.col("c")) & (F.col("other") >= F.col("block")) & (F.col("other_low") * percent <= F.col("high") * 100))
+    pair = F.struct("block", "other")
+    ends = pairs.select("cell", pair.alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("part"))
+    places = ends.groupBy("cell", F.col("part").alias("block")).agg(F.collect_list("pair").alias("pairs"))
+    number = blocks.groupBy("cell").agg(F.count(F.lit(1)).alias("blocks"))
+    return placed.join(places, ["cell", "block"]).join(number, "cell").select("key", "t", "cell", "block", "blocks", "pairs")
 
-    def alone(table: pa.Table) -> pa.Table:
-        return _link_rows(table, percent)
 
-    def across(table: pa.Table) -> pa.Table:
-        sides = table["part"].to_numpy()
-        return _link_rows(table, percent, None if sides[0] == sides.min() == sides.max() else sides)
+def class_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of classes to one of their component, from ``cell, block, pairs, a, b, n, set``; ``alone`` says that their cell is
+    one block, so that these are whole components."""
+    def join_pair(table: pa.Table) -> pa.Table:
+        sides = table["block"].to_numpy()
+        return _link_rows(table, percent, sides if sides.min() < sides.max() else None)
 
-    found = small.groupBy("cell").applyInArrow(alone, LINK)
-    return found.union(large.groupBy("cell", "block", "other").applyInArrow(across, LINK))
+    dealt = sets.withColumn("alone", (F.col("blocks") == 1)).withColumn("pair", F.explode("pairs")).drop("pairs", "n", "blocks")
+    return dealt.groupBy("cell", "pair").applyInArrow(join_pair, LINK)
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
@@ -308,14 +354,17 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     classes = signed_docs.where("n > 0").groupBy("a", "b", "n").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("head"))
     found = cells(docs, text, shingle, percent)
-    heads = settled(classes.join(found, "a").select("cell", "a", "b", "n", "head.key", "head.t"))
-    key_again, t_again, cell = "_key", "_t", "cell"
-    chosen = heads.select(F.col("key").alias(key_again), F.col("t").alias(t_again), cell)
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
-    texts = texts.join(chosen, (F.col("t") == F.col(t_again)) & F.col("k").eqNullSafe(F.col(key_again)))
-    sets = settled(shingle_sets(texts, "text", shingle).groupBy("cell", "a", "b", "n").agg(F.first("set").alias("set")))
-    links = class_links(sets, percent, cell_limit)
-    linked = components(links.select(F.struct("a", "b").alias("x"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("y")), "x", "y")
+    heads = classes.join(found, "a").select("cell", "a", "b", "n", "head.key", "head.t")
+    # one row for each text that is read again; null keys get a number so that the join has plain columns
+    chosen = tasks_of(heads, percent, cell_limit).select(
+        F.coalesce("key", F.lit(FAR)).alias("k"), "t", "cell", "block", "blocks", "pairs")
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FAR)).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    again = texts.join(chosen, ["k", "t"]).groupBy("k", "t").agg(*[F.first(c).alias(c) for c in ("text", "cell", "block", "blocks", "pairs")])
+    links = settled(class_links(shingle_sets(again, "text", shingle), percent))
+    ends = links.select(F.struct("a", "b").alias("node"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("root"), "alone")
+    # cells of several blocks are put together from what their block pairs found
+    across = components(ends.where("not alone"), "node", "root")
+    linked = ends.where("alone").select("node", "root").unionByName(across)
     named = linked.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root")
     known = classes.select("a", "b", "head.key").join(named, ["a", "b"], "left").withColumn(
         "root", F.coalesce("root", F.struct("a", "b")))
