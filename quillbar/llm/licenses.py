@@ -2,7 +2,7 @@
 
 Words are lower-cased and cut at ASCII punctuation. A template is the set of its word shingles. Templates of similar size form a class; the texts are read in
 overlapping windows as long as the class's largest template plus one step, so any passage of that length lies whole in some window. A window
-and a template meet where all minimum hashes of a band agree. A window with a share of at least ``containment`` of the template's shingles has
+and a template meet where the minimum hash of a band agrees; a band has one row, as texts that share no shingle with a template never agree. A window with a share of at least ``containment`` of the template's shingles has
 
     Jaccard >= containment * smallest / (window + (1 - containment) * smallest)
 
@@ -29,7 +29,6 @@ from quillbar.llm.words import U64, Texts, mix, slices, windows
 SHINGLE = 5
 CONTAINMENT = 0.8
 FOUND = 0.999
-ROWS = 2
 MOST_TEMPLATES = 20_000
 STEPS = 8
 
@@ -66,6 +65,18 @@ def plain(texts: Texts) -> Texts:
     return Texts(_PLAIN[texts.data], texts.offsets)
 
 
+EMPTY = np.iinfo(np.uint64).max
+
+
+def sliding_min(x: np.ndarray, reach: int) -> np.ndarray:
+    """The smallest of each ``reach`` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= reach:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    return x if done == reach else np.minimum(x[:done - reach], x[reach - done:])
+
+
 class Templates:
     """One size class: its windows, and the templates by band."""
 
@@ -74,55 +85,44 @@ class Templates:
         self.span = span
         sizes = [len(s) for s in sets]
         self.step = max(1, max(sizes) // STEPS)
-        self.window = max(sizes) + self.step - 1
+        self.reach = -(-(max(sizes) + self.step - 1) // self.step)
+        self.window = self.reach * self.step
         least = min(containment * n / (self.window + (1 - containment) * n) for n in sizes)
-        least = min(least, 1 - 1e-9)
-        self.bands = max(1, math.ceil(math.log(1 - found) / math.log(1 - least ** ROWS)))
-        seeds = np.random.Generator(np.random.PCG64(41 + span)).integers(1, 2**63, self.bands * ROWS, dtype=U64)
-        self.seeds = seeds * U64(2) + U64(1)
+        self.bands = max(1, math.ceil(math.log(1 - found) / math.log(1 - min(least, 1 - 1e-9))))
+        seeds = np.random.Generator(np.random.PCG64(41 + span)).integers(1, 2**63, self.bands, dtype=U64)
+        self.seeds = seeds | U64(1)
         self.by_band: list[dict[int, list[int]]] = []
-        self.keys: list[np.ndarray] = []
-        for band in range(self.bands):
+        self.tops: list[np.ndarray] = []
+        for seed in self.seeds:
             met: dict[int, list[int]] = {}
             for number, values in self.sets.items():
-                low = [(values * self.seeds[band * ROWS + r]).min(keepdims=True) for r in range(ROWS)]
-                met.setdefault(int(self._key(low)[0]), []).append(number)
+                met.setdefault(int((values * seed).min()), []).append(number)
+            top = np.zeros(1 << 16, dtype=bool)
+            top[[key >> 48 for key in met]] = True
             self.by_band.append(met)
-            self.keys.append(np.array(sorted(met), dtype=U64))
-
-    @staticmethod
-    def _key(low: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros_like(low[0])
-        for x in low:
-            out = mix(out ^ x)
-        return out
-
-    def meet(self, shingles: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first shingle, template) of every window that meets a template. ``first`` and ``count`` bound the texts' shingles."""
-        steps = -(-count // self.step)
-        doc = np.repeat(np.arange(len(count)), steps)
-        begin = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps)) * self.step
-        last = (first + count)[doc]
-        if not len(begin):
-            return
-        reach = -(-self.window // self.step)
-        for band in range(self.bands):
-            low = []
-            for r in range(ROWS):
-                # smallest value of each step, then of the steps that a window spans, as far as they are of its text
-                small = np.minimum.reduceat(shingles * self.seeds[band * ROWS + r], begin)
-                best = small.copy()
-                for j in range(1, reach):
-                    same = np.zeros(len(begin), dtype=bool)
-                    same[:len(begin) - j] = doc[j:] == doc[:-j] if j < len(begin) else False
-                    at = np.flatnonzero(same)
-                    best[at] = np.minimum(best[at], small[at + j])
-                low.append(best)
-            key = self._key(low)
-            place = np.minimum(np.searchsorted(self.keys[band], key), len(self.keys[band]) - 1)
-            for w in np.flatnonzero(self.keys[band][place] == key).tolist():
-                for number in self.by_band[band][int(key[w])]:
-                    yield int(begin[w]), int(min(begin[w] + reach * self.step, last[w])), number
+            self.tops.append(top)
+
+    def meet(self, shingles: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first shingle, shingle after the last, template) of every window that meets a template. ``first`` and ``count`` bound the texts' shingles."""
+        # every text begins at a full step and is followed by a window of nothing, so that no window holds two texts
+        room = (-(-count // self.step) + self.reach) * self.step
+        base = np.cumsum(room) - room
+        place = np.arange(len(shingles)) + np.repeat(base - first, count)
+        padded = np.empty(int(room.sum()) + self.window, dtype=U64)
+        for seed, met, top in zip(self.seeds, self.by_band, self.tops):
+            padded.fill(EMPTY)
+            padded[place] = shingles * seed
+            small = padded if self.step == 1 else padded[:len(padded) // self.step * self.step].reshape(-1, self.step).min(axis=1)
+            low = sliding_min(small, self.reach)
+            for w in np.flatnonzero(top[(low >> U64(48)).astype(np.int64)]).tolist():
+                numbers = met.get(int(low[w]))
+                if numbers:
+                    at = w * self.step
+                    doc = int(np.searchsorted(base, at, side="right")) - 1
+                    begin = at - int(base[doc])
+                    if begin < count[doc]:
+                        for number in numbers:
+                            yield int(first[doc]) + begin, int(first[doc]) + min(begin + self.window, int(count[doc])), number
 
 
 def _shingles(texts: Texts, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
