@@ -11,7 +11,7 @@ No document travels to a block that cannot hold a match. Every window of ``width
 
 1. each block lists its distinct seeds; a window function over the seeds finds those of two or more blocks;
 2. each block lists its distinct windows at those seeds, with the smallest document key, and a window function
-   over the window hashes (128 bits) gives each block the sources that lie in other blocks;
+   over the window hashes (128 bits) gives each block the sources that lie in other blocks, by the windows' place in its list;
 3. each block parses its documents against its own index and these sources.
 
 What is shuffled is the text (once, read three times), a row for each distinct seed of a block, and a row for each
@@ -98,27 +98,21 @@ def _list_seeds(key: str, text: str, width: int, seed: int):
 def _list_windows(key: str, text: str, width: int, seed: int):
     def run(group: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
         index = _Index(table, key, text, width, seed)
-        live = np.isin(signed(index.seed), shared["seed"].to_numpy())
-        one, first, at = _first_of(index.one[live], index.key[live])
-        two = index.two[live][at]
-        number = group[0].as_py()
-        return pa.table({"one": signed(one), "two": signed(two), "key": first, "block": pa.array(np.full(len(one), number, dtype=np.int32))})
+        one, first, at = _first_of(index.one, index.key)
+        live = np.flatnonzero(np.isin(signed(index.seed[at]), shared["seed"].to_numpy()))
+        return pa.table({
+            "one": signed(one[live]), "two": signed(index.two[at[live]]), "key": first[live],
+            "block": pa.array(np.full(len(live), group[0].as_py(), dtype=np.int32)), "place": pa.array(live.astype(np.int32))})
     return run
 
 
 def _sources(index: _Index, shared: pa.Table) -> np.ndarray:
     """The smallest key of a document that holds the window, here or in another block."""
-    hashes, first, _ = _first_of(index.one, index.key)
-    where = np.searchsorted(hashes, index.one)
-    source = first[where]
-    one = shared["one"].to_numpy().view(np.uint64)
-    order = np.argsort(one)
-    one, two, other = one[order], shared["two"].to_numpy().view(np.uint64)[order], shared["source"].to_numpy()[order]
-    if len(one):
-        place = np.minimum(np.searchsorted(one, index.one), len(one) - 1)
-        same = (one[place] == index.one) & (two[place] == index.two)
-        source = np.where(same, np.minimum(source, other[place]), source)
-    return source
+    hashes, source, _ = _first_of(index.one, index.key)
+    place, other = shared["place"].to_numpy(), shared["source"].to_numpy()
+    best = source.copy()
+    best[place] = np.minimum(source[place], other)
+    return best[np.searchsorted(hashes, index.one)]
 
 
 def factors(rows: np.ndarray, words: np.ndarray, sources: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -138,7 +132,7 @@ def factors(rows: np.ndarray, words: np.ndarray, sources: np.ndarray, width: int
 
 def _parsed(table: pa.Table, shared: pa.Table, key: str, text: str, width: int):
     """Yield for each slice of the block: first row, row after the last, texts, and the factors in it."""
-    index = _Index(table, key, text, width, 0)
+    index = _Index(table, key, text, width, 0, second=False)
     source = _sources(index, shared)
     repeated = source < index.key
     done = 0
@@ -199,10 +193,10 @@ def _exchange(docs: DataFrame, key: str, text: str, width: int, seed: int, block
         seeds.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("n > 1").select("seed", "block")
     )
     listed = dealt.groupBy(block).cogroup(shared.groupBy("block")).applyInArrow(
-        _list_windows(key, text, width, seed), "one long, two long, key long, block int")
+        _list_windows(key, text, width, seed), "one long, two long, key long, block int, place int")
     sources = (
         listed.withColumn("source", F.min("key").over(Window.partitionBy("one", "two")))
-        .where("source < key").select("one", "two", "source", "block")
+        .where("source < key").select("place", "source", "block")
     )
     return dealt, dealt.groupBy(block).cogroup(sources.groupBy("block"))
 
