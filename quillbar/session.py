@@ -68,7 +68,7 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     context = df.sparkSession.sparkContext
     folder = folder or context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local["):
+        if context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillbar-checkpoint-")
     if context.getCheckpointDir() is None:
