@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 """Texts are scanned in slices of about this many bytes (more where one text is longer), so that
 memory follows the slice and not the record batch."""
 
