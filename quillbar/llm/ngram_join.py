@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles. Two documents link when ``1
 The join is exact and goes from sets to points to pairs:
 
 1. **Cells.** Documents that link are never compared across cells. Two sets of similarity ``t`` differ in at most
-   ``D = (1 - t) / t * n`` shingles. The hash space is cut into ``M`` equal segments, ``M`` a power of two so that a segment has about 2 to 5 shingles; a
+   ``D = (1 - t) / t * n`` shingles. The hash space is cut into ``M`` equal segments, ``M`` a power of two so that a segment has about 2 to 5 shingles (fewer for a lower ``percent``); a
    set's part of a segment is one key. A differing shingle spoils one key, so linked sets have a key in common among the first
    ``D + 1`` keys of either, in any order that is the same for all sets. Rare keys come first, by a sketch of all keys of fixed size, so
    that what many documents share (a license, a common line) ties no unrelated ones together. Sets of up to ``SINGLES`` shingles take single shingles as keys. A size near
@@ -20,7 +20,8 @@ each batch. A cell above ``CELL`` classes is cut into blocks by size, and block
 tasks of their own: bounded memory, and work that grows with the square of such a cell, of classes and not of copies.
 
 Shingles are compared by 64-bit hashes. That the D + 1 keys exist fails only where more segments of a set are empty than its size allows: for 65 shingles 21 of 32 (4 are to be expected; chance
-below 1e-9), for 400 shingles 58 of 128 (6 expected; below 1e-30).
+below 1e-9), for 400 shingles 58 of 128 (6 expected; below 1e-30). At 80 percent segments are smaller: for 120 shingles 34 of 64 (10 expected), for 878
+shingles 37 of 256 (8 expected).
 
 Defined cases: a null or word-less text has the empty set and links with nothing. A text with fewer words than a shingle is one shingle of all its
 words. Repeated rows are copies like any other. A null key links like any other document but is the smallest key only of a component
@@ -43,7 +44,8 @@ from quillbar.llm.words import U64, Texts, mix, signed, slices, windows
 SHINGLE = 4
 PERCENT = 85
 SINGLES = 64
-FEW = 384
+LOADS = np.append(np.full(7, 3.0), [4.5, 5.0])
+"""The most shingles a segment has on average, by the number of bits that name it (the last for all above), at 85 percent."""
 GROUPS = 64
 MOST_GROUPS = 1024
 LEAF = 32
@@ -92,16 +94,26 @@ def _differ_most(size: np.ndarray, percent: int, larger_only: bool) -> np.ndarra
     return 2 * size * (100 - percent) // (100 + percent) if larger_only else size * (100 - percent) // percent
 
 
-def _level(size: np.ndarray) -> np.ndarray:
+def _largest(percent: int) -> np.ndarray:
+    """The largest set of each level, so that its filled segments outnumber the shingles that linked sets may differ in as they do at 85 percent."""
+    bits = np.arange(48)
+    load = LOADS[np.minimum(bits, len(LOADS) - 1)]
+    tried = np.arange(1, 801) / 100
+    filled = lambda x: -np.expm1(-x) / x
+    need = filled(load) * (85 / 15) * ((100 - percent) / percent)
+    load = tried[np.maximum((filled(tried) >= need[:, None] - 1e-9).sum(axis=1) - 1, 0)]
+    return np.floor(load * 2.0 ** bits + 1e-6).astype(np.int64)
+
+
+def _level(size: np.ndarray, percent: int) -> np.ndarray:
     """The number of bits that name a segment; 0 for single shingles. It never falls with the size."""
-    bits = np.ceil(np.log2(np.maximum(size, 1) / np.select([size <= FEW, size <= 3 * FEW], [3.0, 4.5], 5.0))).astype(np.int64)
-    return np.where(size <= SINGLES, 0, np.maximum(bits, 1))
+    return np.where(size <= SINGLES, 0, np.maximum(np.searchsorted(_largest(percent), size), 1))
 
 
 def all_keys(sets: Sets, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """The keys of each set on its own level, and on the lower one where that is another: key, number of the text, whether lower."""
     smallest = -(-sets.size * percent // 100)
-    own, lower = _level(sets.size), _level(smallest)
+    own, lower = _level(sets.size, percent), _level(smallest, percent)
     for level, wanted, larger_only in ((own, sets.size > 0, False), (lower, lower != own, True)):
         take = wanted[sets.doc]
         hashes, doc = sets.hash[take], sets.doc[take]

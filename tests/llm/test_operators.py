@@ -122,6 +122,20 @@ def test_linked_sets_share_a_key_whatever_their_sizes():
                 assert set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist()), (size, grow)
 
 
+def test_enough_segments_are_filled_at_any_similarity():
+    rng = np.random.default_rng(3)
+    old = lambda n: np.ceil(np.log2(n / np.select([n <= 384, n <= 1152], [3.0, 4.5], 5.0))).astype(int)
+    sizes = np.arange(65, 30_000)
+    assert (ngram_join._level(sizes, 85) == old(sizes)).all()
+    for percent in (80, 85, 90):
+        level = ngram_join._level(sizes, percent)
+        assert (np.diff(level) >= 0).all() and (level - ngram_join._level(-(-sizes * percent // 100), percent) <= 1)[sizes * percent > 6400].all()
+        for n in [65, *(sizes[:-1][np.diff(level) > 0]).tolist()]:
+            bits = int(ngram_join._level(np.array([n]), percent)[0])
+            for _ in range(50):
+                assert len(np.unique(rng.integers(0, 1 << bits, n))) > n * (100 - percent) // percent, (n, percent)
+
+
 def test_one_of_each(odd, clashing, none):
     kept = [r["doc_id"] for r in ngram_join.one_of_each(clashing).collect()]
     want = {c for d, n, c in brute.jaccard_components(KEYED_TEXTS) if n} | {d for d, n, _ in brute.jaccard_components(KEYED_TEXTS) if not n}

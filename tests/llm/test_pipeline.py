@@ -50,3 +50,19 @@ def test_pipeline_against_brute_force(spark, sf_dir):
 def test_nothing_is_lost_that_has_no_copy(odd):
     assert len(ODD) == quality_rules.judged(odd).count() == substring_dedup.remove_duplicates(odd).count()
     assert ngram_join.joined(odd).count() == len(ODD)
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark, sf_dir):
+    rows = []
+    for base, size in enumerate([30, 60, 64, 80, 130, 300, 400, 880, 1200, 3000]):
+        words = [f"w{base}x{i}" for i in range(size)]
+        # more text at the end (similarity about 0.83 and 0.78), and scattered edits of about 2 and 3 % of the words
+        for more in ([], [f"more{base}x{i}" for i in range(size // 5)], [f"other{base}x{i}" for i in range(size * 2 // 7)]):
+            rows.append((len(rows), " ".join(words + more)))
+        for step in (48, 30):
+            rows.append((len(rows), " ".join(f"new{step}" if i % step == step // 2 else w for i, w in enumerate(words))))
+    want = {c for _, _, c in brute.jaccard_components(rows, 5, 80)}
+    assert want != {c for _, _, c in brute.jaccard_components(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(want)
