@@ -358,9 +358,8 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cell", "pair").applyInArrow(join_pair, LINK)
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-           cell_limit: int = CELL) -> DataFrame:
-    """``key, t, a, b, n_shingles, component_id``, a row for each document (``t`` is a hash of its text)."""
+def rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int, cell_limit: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all documents, and ``a, b, head, root`` of every class: its first row (``none, key, t``) and one class of its component."""
     signed_docs = settled(signatures(docs, key, text, shingle))
     # equal sets are one class; its smallest key, and the document of that key whose text is read again
     classes = signed_docs.where("n > 0").groupBy("a", "b", "n").agg(
@@ -378,8 +377,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     across = components(ends.where("not alone"), "node", "root")
     linked = ends.where("alone").select("node", "root").unionByName(across)
     named = linked.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root")
-    known = classes.select("a", "b", "head.key").join(named, ["a", "b"], "left").withColumn(
+    known = classes.select("a", "b", "head").join(named, ["a", "b"], "left").withColumn(
         "root", F.coalesce("root", F.struct("a", "b")))
+    return signed_docs, known
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
+           cell_limit: int = CELL) -> DataFrame:
+    """``key, t, a, b, n_shingles, component_id``, a row for each document (``t`` is a hash of its text)."""
+    signed_docs, known = rooted(docs, key, text, shingle, percent, cell_limit)
+    known = known.select("a", "b", "head.key", "root")
     labels = known.groupBy("root").agg(F.min("key").alias("component_id"))
     by_class = known.join(labels, "root").select("a", "b", "component_id")
     out = signed_docs.join(by_class, ["a", "b"], "left")
@@ -389,12 +396,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that keep their text: of each component the one with the smallest key (and, among rows of that key,
-    the smallest text hash). Texts without a word, which link with nothing, all stay; so does a null key's row if nothing else is in its component."""
-    found = joined(docs, key, text, shingle, percent)
-    keep = found.where("n_shingles > 0 and key <=> component_id").groupBy("component_id").agg(F.min("t").alias("t"))
+    the smallest text hash). Texts without a word, which link with nothing, all stay; so does a null key's row if nothing else is in its component.
+    Components are told apart by their root and not by the smallest key, which several may share."""
+    signed_docs, known = rooted(docs, key, text, shingle, percent)
+    keep = known.groupBy("root").agg(F.min("head").alias("head"))
     mark, hashed, row = fresh(docs, "keeper", "text_hash", "row_number")
-    picked = keep.select(F.col("component_id").alias(mark), F.col("t").alias(hashed))
-    loose = found.where("n_shingles = 0").select(F.col("key").alias(mark), F.col("t").alias(hashed)).distinct()
+    picked = keep.select(F.col("head.key").alias(mark), F.col("head.t").alias(hashed))
+    loose = signed_docs.where("n = 0").select(F.col("key").alias(mark), F.col("t").alias(hashed)).distinct()
     named = docs.withColumn(hashed + "0", F.xxhash64(text))
     same = F.col(key).cast("long").eqNullSafe(F.col(mark)) & (F.col(hashed + "0") == F.col(hashed))
     kept = named.join(picked, same, "left_semi")

@@ -144,6 +144,15 @@ def test_one_of_each(odd, clashing, none):
     assert ngram_join.joined(none).count() == ngram_join.one_of_each(none).count() == 0
 
 
+def test_rows_of_one_key_in_several_components_all_stay(spark, odd):
+    """Null keys and a repeated key, on texts that nothing links."""
+    kept = [r["text"] for r in ngram_join.one_of_each(odd).collect() if r["doc_id"] is None]
+    assert sorted(kept) == sorted(t for i, t in TEXTS if i is None) and len(kept) == 2
+    rows = [(k, " ".join(f"{name}{i}" for i in range(40))) for k, name in [(None, "p"), (None, "q"), (None, "r"), (7, "x"), (7, "y"), (8, "y"), (None, "y"), (None, "r")]]
+    found = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in found) == Counter(rows[:5])
+
+
 def test_tree_leaves_out_no_partner():
     rng = np.random.default_rng(0)
     points = rng.poisson(5, (300, 64)).astype(np.int32)
