@@ -3,16 +3,18 @@
 Words fall into ``CLASSES`` classes: the end of a text, the most frequent words each by itself, and the rest by a hash of their last
 letters. The probability of a word after its history is
 
-    P(class | history) * P(word | class)
+    P(class | history) * P(share | class, history) * P(word | class, share)
 
 The first factor is a softmax whose features are hashed: the word before (n-gram), the classes of the two words before (n-gram), and the classes of the words
-two and three back (skip). Its weights are trained by gradient updates where the texts lie: every task runs
-AdaGrad mini-batches over its training texts from the common weights, and the tasks' updates are averaged, weighted by how often each
-feature was seen. The second factor is a smoothed unigram within the class. Both are proper distributions, an unseen word of a class having one share.
+two and three back (skip). The second is a softmax over the ``SHARES`` shares into which a hash deals the words of an ending, with hashed features of its own,
+each together with the class: the word before, the classes of the two words before (n-grams), and the word two back (skip). Weights are trained by gradient
+updates where the texts lie: every task runs AdaGrad mini-batches over its training texts from the common weights, and the tasks' updates are averaged, weighted
+by how often each feature was seen. The third factor is a smoothed unigram within the share. All are proper distributions, an unseen word of a share having one part.
 
 Counts cover the whole corpus. Documents are dealt into blocks by key; a block lists its distinct words with their training counts, a window function over
-the word hashes adds up, and each block gets back the counts of its own words by place in its list. The vocabulary is never in one place. What the driver holds is of fixed size: weights
-(``FEATURES x CLASSES``), class totals and the frequent words.
+the word hashes adds up, and each block gets back the counts of its own words by place in its list. The vocabulary is never in one place. What the driver holds: weights
+(``CLASSES`` for each row of a feature; the rows of the word feature grow with the root of the training tokens, as a vocabulary does), class totals and the frequent
+words.
 
 Defined cases: a null text is empty and has its end only. A null key counts as the text ''. With no training document every word is unknown; the class model is then uniform. Repeated rows
 count and are scored each by itself. An empty table gives an empty table. Other columns are not looked at.
@@ -30,12 +32,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillbar.llm.frames import BLOCK_BYTES, block_of, blocks_for, settled
 from quillbar.llm.words import U64, Texts, mix, signed, slices
 
-CLASSES = 32
-FREQUENT = 11
+CLASSES = 64
+FREQUENT = 31
 ENDINGS = CLASSES - 1 - FREQUENT
+SHARES = CLASSES
+KINDS = FREQUENT + 1 + ENDINGS * SHARES
+PAIRS = CLASSES * CLASSES
 BUCKETS = 4096
-FEATURES = 3 * BUCKETS
-BATCH = 16384
+FEATURES = 2 * PAIRS + BUCKETS
+BATCH = 8192
 RATE = 0.3
 ROUNDS = 1
 SMOOTH = 0.1
@@ -43,10 +48,20 @@ CANDIDATES = 256
 RUN = 8192
 
 
+def buckets_for(tokens: float) -> int:
+    """The rows of the word feature: as many as the root of the training tokens, as a vocabulary grows, and a power of two."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(max(tokens, 1)) / 2))
+
+
 def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def share_of(hashes: np.ndarray) -> np.ndarray:
+    """A number below SHARES for each word."""
+    return (mix(hashes ^ U64(0x2545F4914F6CDD1D)) % U64(SHARES)).astype(np.int64)
+
+
 class Stream:
     """The tokens of consecutive texts: their words and an end after each."""
 
@@ -64,6 +79,11 @@ class Stream:
         self.hash[~self.is_end] = hashes
         self.cls = np.zeros(len(self.is_end), dtype=np.int64)
         self.cls[~self.is_end] = words
+        self.share = np.zeros(len(self.is_end), dtype=np.int64)
+        self.share[~self.is_end] = share_of(hashes)
+        # the end and the frequent words are the whole of their class
+        self.shared = self.cls > FREQUENT
+        self.kind = np.where(self.shared, FREQUENT + 1 + (self.cls - FREQUENT - 1) * SHARES + self.share, self.cls)
         self.count = texts.count + 1
         self.first = np.append(0, np.cumsum(self.count))
         self.doc = np.repeat(np.arange(n), self.count)
@@ -76,10 +96,21 @@ class Stream:
         out[self.at < steps] = 0
         return out
 
-    def features(self) -> np.ndarray:
+    def features(self, buckets: int = BUCKETS) -> np.ndarray:
         one, two, three = (self.back(self.cls, k) for k in (1, 2, 3))
-        word = (mix(self.back(self.hash, 1) ^ U64(0x5DEECE66D)) >> U64(52)).astype(np.int64)
-        return np.stack([word, BUCKETS + one * CLASSES + two, 2 * BUCKETS + two * CLASSES + three]).astype(np.int32)
+        word = (mix(self.back(self.hash, 1) ^ U64(0x5DEECE66D)) >> U64(65 - buckets.bit_length())).astype(np.int64)
+        return np.stack([2 * PAIRS + word, one * CLASSES + two, PAIRS + two * CLASSES + three]).astype(np.int32)
+
+    def share_features(self, buckets: int, take: np.ndarray) -> np.ndarray:
+        """The features of the share of the tokens ``take``, all of them of an ending."""
+        own = self.cls[take] - FREQUENT - 1
+        one, two = (self.back(self.cls, k)[take] for k in (1, 2))
+        base = 2 * PAIRS + buckets
+        out = [base + own]
+        for k, past in enumerate((self.back(self.hash, 1)[take], (one * CLASSES + two).astype(U64), self.back(self.hash, 2)[take])):
+            place = mix(mix(past ^ U64(0x5DEECE66D + k)) + own.astype(U64)) >> U64(65 - buckets.bit_length())
+            out.append(base + ENDINGS + k * buckets + place.astype(np.int64))
+        return np.stack(out).astype(np.int32)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.diff(np.append(0, np.cumsum(values))[self.first])
@@ -99,8 +130,8 @@ def endings(texts: Texts) -> np.ndarray:
 
 def probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     logits = weights[features[0]]
-    logits += weights[features[1]]
-    logits += weights[features[2]]
+    for f in features[1:]:
+        logits += weights[f]
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
@@ -121,36 +152,37 @@ class Trainer:
         error = probabilities(self.weights, features)
         error[np.arange(n), cls] -= 1
         flat, across = error.ravel(), np.arange(CLASSES)
-        for kind, f in enumerate(features):
-            rows = slice(kind * BUCKETS, (kind + 1) * BUCKETS)
-            own = f - kind * BUCKETS
-            step = np.bincount((own[:, None] * CLASSES + across).ravel(), weights=flat, minlength=BUCKETS * CLASSES)
-            step = step.reshape(BUCKETS, CLASSES).astype(np.float32)
-            count = np.bincount(own, minlength=BUCKETS).astype(np.float32)
+        for f in features:
+            rows, own = np.unique(f, return_inverse=True)
+            step = np.bincount((own[:, None] * CLASSES + across).ravel(), weights=flat, minlength=len(rows) * CLASSES)
+            step = step.reshape(len(rows), CLASSES).astype(np.float32)
+            count = np.bincount(own).astype(np.float32)
             # sums of a batch grow with the feature's tokens; their noise with the root
-            step /= np.sqrt(np.maximum(count, 1))[:, None]
-            self.squares[rows] += step * step
-            self.weights[rows] -= RATE * step / np.sqrt(self.squares[rows])
+            step /= np.sqrt(count)[:, None]
+            squares = self.squares[rows] + step * step
+            self.squares[rows] = squares
+            self.weights[rows] -= RATE * step / np.sqrt(squares)
             self.seen[rows] += count
 
 
-def overview(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent words (hashes, sorted) and the training tokens of each class, from one pass over the texts.
+def overview(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent words (hashes, sorted) and the training tokens of each class and of each share of an ending, from one pass over the texts.
 
     Tasks send their most frequent words only, which may miss a word that no task finds frequent: it stays in the class of its ending, and all scores stay exact.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.zeros(ENDINGS + 1, dtype=np.int64)
+        tokens = np.zeros(ENDINGS * SHARES + 1, dtype=np.int64)
         best: dict[int, tuple[int, int]] = {}
         for batch in batches:
             trains = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for low, high, texts in slices(batch.column(0)):
                 use = trains[low:high]
                 take = use[texts.doc]
-                kind = endings(texts)[take]
+                hashes = texts.hashes(lower=True)[take]
+                kind = endings(texts)[take] * SHARES + share_of(hashes)
                 tokens[0] += int(use.sum())
-                tokens[1:] += np.bincount(kind, minlength=ENDINGS)
-                words, sample, counts = np.unique(texts.hashes(lower=True)[take], return_index=True, return_counts=True)
+                tokens[1:] += np.bincount(kind, minlength=ENDINGS * SHARES)
+                words, sample, counts = np.unique(hashes, return_index=True, return_counts=True)
                 top = np.argsort(-counts, kind="stable")[:4 * CANDIDATES]
                 for h, c, k in zip(words[top].tolist(), counts[top].tolist(), kind[sample[top]].tolist()):
                     best[h] = (best.get(h, (0, 0))[0] + c, k)
@@ -167,21 +199,39 @@ def overview(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarr
     totals = rows.groupBy("word", "kind").agg(F.sum("n").alias("n"))
     words = totals.where("word is not null").orderBy(F.desc("n"), "word").limit(FREQUENT)
     found = totals.where("word is null").unionByName(words).collect()
-    tokens = np.zeros(CLASSES)
+    tokens, shares = np.zeros(CLASSES), np.zeros(ENDINGS * SHARES)
     chosen = sorted((r for r in found if r["word"] is not None and r["n"] > 0), key=lambda r: r["word"] % 2**64)
     for r in found:
-        if r["word"] is None:
-            tokens[0 if r["kind"] < 0 else FREQUENT + 1 + r["kind"]] += r["n"]
+        if r["word"] is None and r["kind"] < 0:
+            tokens[0] += r["n"]
+        elif r["word"] is None:
+            shares[r["kind"]] += r["n"]
     for i, r in enumerate(chosen):
         tokens[i + 1] = r["n"]
-        tokens[FREQUENT + 1 + r["kind"]] -= r["n"]
-    return np.array([r["word"] % 2**64 for r in chosen], dtype=U64), np.maximum(tokens, 0)
+        shares[r["kind"]] -= r["n"]
+    shares = np.maximum(shares, 0).reshape(ENDINGS, SHARES)
+    tokens[FREQUENT + 1:] = shares.sum(axis=1)
+    return np.array([r["word"] % 2**64 for r in chosen], dtype=U64), tokens, shares
+
+
+def start(tokens: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Weights that give each class and each share of a class as often as it is seen at all."""
+    buckets = buckets_for(tokens.sum())
+    weights = np.zeros((2 * PAIRS + ENDINGS + 4 * buckets, CLASSES), dtype=np.float32)
+    weights[2 * PAIRS:2 * PAIRS + buckets] = np.log((tokens + 1) / (tokens + 1).sum())
+    weights[2 * PAIRS + buckets:][:ENDINGS] = np.log((shares + 1) / (shares + 1).sum(axis=1, keepdims=True))
+    return weights
+
+
+def buckets_of(weights: np.ndarray) -> int:
+    return (len(weights) - 2 * PAIRS - ENDINGS) // 4
 
 
 def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The weights after one pass of gradient updates over all training texts."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(weights)
+    buckets = buckets_of(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value)
@@ -190,17 +240,25 @@ def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights:
             for low, high, texts in slices(batch.column(0)):
                 stream = Stream(texts, frequent)
                 take = np.flatnonzero(trains[low:high][stream.doc])
-                features = stream.features()
+                features = stream.features(buckets)
                 for at in range(0, len(take), BATCH):
                     part = take[at:at + BATCH]
                     trainer.learn(features[:, part], stream.cls[part])
+                take = take[stream.shared[take]]
+                features = stream.share_features(buckets, take)
+                for at in range(0, len(take), BATCH):
+                    trainer.learn(features[:, at:at + BATCH], stream.share[take[at:at + BATCH]])
         if trainer.seen.any():
             moved = (trainer.weights - trainer.start) * trainer.seen[:, None]
             flat = np.concatenate([trainer.seen, moved.ravel()])
             padded = np.zeros(-(-len(flat) // RUN) * RUN, dtype=np.float32)
             padded[:len(flat)] = flat
-            parts = pa.FixedSizeListArray.from_arrays(pa.array(padded), RUN).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), parts], names=["part", "v"])
+            padded = padded.reshape(-1, RUN)
+            used = np.flatnonzero(padded.any(axis=1))
+            # a few at a time: what is summed up is read in small batches, too
+            for some in np.split(used, range(64, len(used), 64)):
+                parts = pa.FixedSizeListArray.from_arrays(pa.array(padded[some].ravel()), RUN).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), parts], names=["part", "v"])
 
     def add(table: pa.Table) -> pa.Table:
         total = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, RUN).sum(axis=0, dtype=np.float64)
@@ -210,126 +268,100 @@ def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights:
     updates = docs.select(F.col(text), held_out(key).alias("held")).mapInArrow(run, schema)
     # two levels, so that many tasks' updates are added up in many places first
     partly = updates.withColumn("salt", F.spark_partition_id() % 32).groupBy("part", "salt").applyInArrow(add, schema)
-    size = FEATURES + weights.size
+    size = len(weights) + weights.size
     flat = np.zeros(-(-size // RUN) * RUN, dtype=np.float32)
     found = partly.groupBy("part").applyInArrow(add, schema).toArrow()
     for part, values in zip(found["part"].to_pylist(), found["v"]):
         flat[part * RUN:(part + 1) * RUN] = values.values.to_numpy()
     shared.unpersist()
-    seen, moved = flat[:FEATURES], flat[FEATURES:size].reshape(weights.shape)
+    seen, moved = flat[:len(weights)], flat[len(weights):size].reshape(weights.shape)
     return weights + moved / np.maximum(seen, 1)[:, None]
 
 
 def _distinct(table: pa.Table, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of a block in order of hash, their training counts and classes."""
-    hashes, cls, train = [], [], []
+    """The distinct words of a block in order of hash, their training counts and kinds (class, and share of an ending)."""
+    hashes, kinds, train = [], [], []
     held = table["held"].to_numpy(zero_copy_only=False).astype(bool)
     for low, high, texts in slices(table["text"]):
         stream = Stream(texts, frequent)
         words = ~stream.is_end
         named, sample, inverse = np.unique(stream.hash[words], return_index=True, return_inverse=True)
         hashes.append(named)
-        cls.append(stream.cls[words][sample])
+        kinds.append(stream.kind[words][sample])
         train.append(np.bincount(inverse, weights=~held[low:high][stream.doc[words]], minlength=len(named)).astype(np.int64))
     if not hashes:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     all_hashes = np.concatenate(hashes)
     named, sample, inverse = np.unique(all_hashes, return_index=True, return_inverse=True)
     counts = np.bincount(inverse, weights=np.concatenate(train), minlength=len(named)).astype(np.int64)
-    return named, counts, np.concatenate(cls)[sample]
+    return named, counts, np.concatenate(kinds)[sample]
 
 
-def partial_scores(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights: np.ndarray, block_bytes: int) -> DataFrame:
-    """For each document the sums that need its words' counts, and, in rows without document, the words and tokens of each class."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``, logarithms to base 10."""
+    frequent, tokens, shares = overview(docs, key, text)
+    weights = start(tokens, shares)
+    if tokens.sum():
+        for _ in range(rounds):
+            weights = trained(docs, key, text, frequent, weights).astype(np.float32)
 
     def listed(group: tuple, table: pa.Table) -> pa.Table:
-        hashes, counts, cls = _distinct(table, frequent)
+        hashes, counts, kinds = _distinct(table, frequent)
         return pa.table({"word": signed(hashes), "block": pa.array(np.full(len(hashes), group[0].as_py(), dtype=np.int32)),
-                         "place": np.arange(len(hashes)) * CLASSES + cls, "n": counts})
+                         "place": np.arange(len(hashes)) * KINDS + kinds, "n": counts})
 
-    def score(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        hashes, counts, _ = _distinct(table, frequent)
-        counts[replies["place"].to_numpy() // CLASSES] = replies["total"].to_numpy()
-        model = shared.value
-        out = {name: [] for name in ("n_tokens", "known", "ends", "logs", "own", "classes", "by_class")}
-        for _, _, texts in slices(table["text"]):
-            stream = Stream(texts, frequent)
-            c = np.zeros(len(stream.hash), dtype=np.int64)
-            words = ~stream.is_end
-            c[words] = counts[np.searchsorted(hashes, stream.hash[words])]
-            logs = np.zeros(len(c))
-            logs[words] = np.log10(c[words] + SMOOTH)
-            # the end and the frequent words are the whole of their class
-            shares = stream.cls > FREQUENT
-            features = stream.features()
-            chance = np.empty(len(c), dtype=np.float32)
-            for at in range(0, len(c), BATCH):
-                part = slice(at, at + BATCH)
-                chance[part] = probabilities(model, features[:, part])[np.arange(len(c[part])), stream.cls[part]]
-            out["n_tokens"].append(stream.count)
-            out["known"].append(stream.sums(c > 0))
-            out["logs"].append(stream.sums(logs))
-            out["own"].append(stream.sums(np.where(shares, logs, 0.0)))
-            out["classes"].append(stream.sums(np.log10(np.maximum(chance, 1e-30).astype(np.float64))))
-            n = len(stream.count)
-            per = np.bincount(stream.doc[shares] * ENDINGS + stream.cls[shares] - FREQUENT - 1, minlength=n * ENDINGS)
-            out["by_class"].append(per.reshape(n, ENDINGS))
-        if not out["logs"]:
-            return empty
-        flat = np.concatenate(out["by_class"])
-        return pa.table({
-            "key": table["key"], "held": table["held"], "n_tokens": np.concatenate(out["n_tokens"]), "known": np.concatenate(out["known"]).astype(np.int64),
-            "logs": np.concatenate(out["logs"]), "own": np.concatenate(out["own"]), "classes": np.concatenate(out["classes"]),
-            "by_class": pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel().astype(np.int32)), ENDINGS).cast(pa.list_(pa.int32())),
-            "cls": pa.nulls(len(flat), pa.int32())})
-
-    schema = ("key long, held boolean, n_tokens long, known long, logs double, own double, classes double, by_class array<int>, cls int")
-    empty = pa.table({
-        "key": pa.array([], pa.int64()), "held": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "known": pa.array([], pa.int64()),
-        "logs": pa.array([], pa.float64()), "own": pa.array([], pa.float64()), "classes": pa.array([], pa.float64()),
-        "by_class": pa.array([], pa.list_(pa.int32())), "cls": pa.array([], pa.int32())})
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), held_out(key).alias("held"))
     dealt = rows.withColumn("block", block_of(blocks_for(rows, "text", block_bytes), "key", "text"))
     by_word = Window.partitionBy("word")
-    counted = dealt.groupBy("block").applyInArrow(listed, "word long, block int, place long, n long").withColumns(
-        {"total": F.sum("n").over(by_word), "head": F.min("block").over(by_word)})
-    replies = counted.where("total > n").select("block", "place", "total")
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
-    # of each class: distinct training words and their tokens
-    cls = (F.col("place") % CLASSES).cast("int")
-    totals = counted.where("block = head and total > 0").groupBy(cls.alias("cls")).agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.sum("total").alias("known"))
-    fields = [f for f in scored.schema.fields]
-    totals = totals.select(*[F.col(f.name) if f.name in ("cls", "n_tokens", "known") else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    return scored.unionByName(totals)
-
-
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``, logarithms to base 10."""
-    frequent, tokens = overview(docs, key, text)
-    weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
-    # the word feature starts from how often each class is seen at all
-    weights[:BUCKETS] = np.log((tokens + 1) / (tokens + 1).sum())
-    if tokens.sum():
-        for _ in range(rounds):
-            weights = trained(docs, key, text, frequent, weights).astype(np.float32)
-    parts = settled(partial_scores(docs, key, text, frequent, weights, block_bytes))
-    found = parts.where("cls is not null").select("cls", F.col("n_tokens").alias("words"), F.col("known").alias("tokens")).collect()
+    counted = settled(dealt.groupBy("block").applyInArrow(listed, "word long, block int, place long, n long").withColumns(
+        {"total": F.sum("n").over(by_word), "head": F.min("block").over(by_word)}).select(
+        "block", "place", "total", (F.col("total") > F.col("n")).alias("elsewhere"), (F.col("block") == F.col("head")).alias("first")))
+    # of each kind: distinct training words and their tokens
+    found = counted.where("first and total > 0").groupBy((F.col("place") % KINDS).alias("kind")).agg(
+        F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect()
     texts = int(tokens[0])
     train_tokens = texts + sum(r["tokens"] for r in found)
     distinct = (texts > 0) + sum(r["words"] for r in found)
-    by_class = {r["cls"]: r for r in found}
-    per_class = []
-    for cls in range(FREQUENT + 1, CLASSES):
-        words, own = (by_class[cls]["words"], by_class[cls]["tokens"]) if cls in by_class else (0, 0)
-        per_class.append(math.log10(own + SMOOTH * (words + 1)))
     whole = math.log10(train_tokens + SMOOTH * (distinct + 1))
-    shares = F.array(*[F.lit(x) for x in per_class])
-    off = F.aggregate(F.zip_with("by_class", shares, lambda n, x: n * x), F.lit(0.0), lambda s, x: s + x)
     end = math.log10(texts + SMOOTH)
-    return parts.where("cls is null").select(
-        "key", F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.lit(int(texts > 0))).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("classes") + F.col("own") - off).alias("score"))
+    sizes = np.full(KINDS, SMOOTH)
+    for r in found:
+        sizes[r["kind"]] = r["tokens"] + SMOOTH * (r["words"] + 1)
+    off = np.log10(sizes)
+    known_end = int(texts > 0)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def chances(model: np.ndarray, features: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        out = np.empty(len(wanted), dtype=np.float32)
+        for at in range(0, len(out), BATCH):
+            part = slice(at, at + BATCH)
+            out[part] = probabilities(model, features[:, part])[np.arange(len(out[part])), wanted[part]]
+        return np.log10(np.maximum(out, 1e-30).astype(np.float64))
+
+    def score(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        hashes, counts, _ = _distinct(table, frequent)
+        counts[replies["place"].to_numpy() // KINDS] = replies["total"].to_numpy()
+        model = shared.value
+        buckets = buckets_of(model)
+        out = {name: [np.zeros(0, kind)] for name, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
+        for _, _, part in slices(table["text"]):
+            stream = Stream(part, frequent)
+            c = np.zeros(len(stream.hash), dtype=np.int64)
+            words = ~stream.is_end
+            c[words] = counts[np.searchsorted(hashes, stream.hash[words])]
+            logs = np.full(len(c), end)
+            logs[words] = np.log10(c[words] + SMOOTH)
+            model_logs = chances(model, stream.features(buckets), stream.cls)
+            take = np.flatnonzero(stream.shared)
+            model_logs[take] += chances(model, stream.share_features(buckets, take), stream.share[take]) + logs[take] - off[stream.kind[take]]
+            out["n_tokens"].append(stream.count)
+            out["n_known"].append(stream.sums(c > 0).astype(np.int64) + known_end)
+            out["base_score"].append(stream.sums(logs) - stream.count * whole)
+            out["score"].append(stream.sums(model_logs))
+        done = {name: np.concatenate(parts) for name, parts in out.items()}
+        return pa.table({"key": table["key"], "held_out": table["held"], "n_tokens": done["n_tokens"], "n_known": done["n_known"],
+                         "train_tokens": np.full(len(table), train_tokens, dtype=np.int64), "base_score": done["base_score"], "score": done["score"]})
+
+    schema = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    replies = counted.where("elsewhere").select("block", "place", "total")
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)

@@ -446,6 +446,36 @@ def test_the_model_predicts_held_out_text_better_than_its_word_counts(spark, sf_
     assert sum(r["score"] for r in rows) > 0.985 * sum(r["base_score"] for r in rows)
 
 
+def test_a_rare_word_is_predicted_by_the_word_before(spark):
+    """Endings and counts are the same for all followers, so that only the history tells them apart."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        pairs = rng.integers(0, 200, 20)
+        rows.append((i, " ".join(f"head{p} tail{p}xyz" for p in pairs)))
+    other = [(i, " ".join(f"head{a} tail{b}xyz" for a, b in rng.integers(0, 200, (20, 2)))) for i in range(3000, 3200)
+             if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = {r["key"]: r for r in maxent.scores(spark.createDataFrame(rows + other, "doc_id long, text string").coalesce(1)).collect()}
+    seen = [r["score"] for k, r in got.items() if k < 3000 and r["held_out"]]
+    mixed = [got[i]["score"] for i, _ in other]
+    # 20 followers a text, each of them more probable after its own head
+    assert np.mean(seen) > np.mean(mixed) + 20 * 0.3
+
+
+def test_word_rows_grow_with_the_corpus(spark):
+    sizes = [maxent.buckets_for(n) for n in (0, 1e6, 1e8, 5e9)]
+    assert sizes[0] == maxent.BUCKETS and sizes == sorted(sizes) and sizes[-1] >= 5e9 ** 0.5
+    assert all(n & (n - 1) == 0 for n in sizes)
+    _, _, part = next(slices(pa.array([LONG])))
+    stream = maxent.Stream(part, np.zeros(0, np.uint64))
+    used = [len(np.unique(stream.features(n)[0])) for n in (maxent.BUCKETS, 1 << 17)]
+    assert used[1] > 2 * used[0] and stream.features(1 << 17).max() < 2 * maxent.PAIRS + (1 << 17)
+    # words of falling frequency: each of the first 31 is a class by itself
+    rows = [(i, " ".join(f"often{k}" for k in range(40) if i % (k + 1) == 0)) for i in range(400)]
+    frequent, tokens, _ = maxent.overview(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert len(frequent) == 31 and len(tokens) == 64
+
+
 def test_probabilities_sum_to_one():
     _, _, part = next(slices(pa.array(["a b c d", "x", None])))
     stream = maxent.Stream(part, np.zeros(0, np.uint64))
