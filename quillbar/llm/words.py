@@ -160,3 +160,19 @@ def count_points(data: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def byte_runs(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of consecutive texts of about ``limit`` bytes: first row, row after the last, bytes, bounds."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, places, buffer = column.buffers()
+    count = len(column)
+    if not count:
+        return
+    bounds = np.frombuffer(places, dtype=kind)[column.offset:column.offset + count + 1].astype(np.int64)
+    data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.zeros(0, dtype=np.uint8)
+    row = 0
+    while row < count:
+        to = min(max(int(np.searchsorted(bounds, bounds[row] + limit, side="right")) - 1, row + 1), count)
+        yield row, to, data[bounds[row]:bounds[to]], bounds[row:to + 1] - bounds[row]
+        row = to

@@ -12,7 +12,7 @@ from quillbar.llm import ngram_join, quality_rules, queries, substring_dedup
 def test_stages_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "ngram_jaccard_join", "substring_dedup", "source_mixing", "best_fit_packing"]
-    assert [n for n in queries.REGISTRY] and {int(n[2:].split("_")[0]) for n in queries.REGISTRY} == set(range(1, 11))
+    assert [n for n in queries.REGISTRY] and {int(n[2:].split("_")[0]) for n in queries.REGISTRY} == set(range(1, 14))
 
 
 def test_each_stage_keeps_the_columns_and_takes_effect(spark, odd, clashing, none, sf_dir):
