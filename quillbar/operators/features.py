@@ -23,12 +23,11 @@ def feature_table(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, neg
                   model_scores: DataFrame | None = None) -> DataFrame:
     """One row per headline that has a bar. ``model_scores`` (``key, model_sentiment``) may add the
     score of a caller's own model."""
-    shaped = add_entity_flags(headline_shape(headlines, text), text).select(
-        key, "date", "symbol", *[c for c in TEXT_FEATURES if not c.startswith("sentiment_")])
-    scores = all_scores(headlines, key, text, lexicon, negations, boosters).select(
-        key, F.col("polarity").alias("sentiment_polarity"), F.col("subjectivity").alias("sentiment_subjectivity"),
-        F.col("compound").alias("sentiment_valence"))
-    out = shaped.join(scores, key)
+    known = ["date", "symbol", *[c for c in TEXT_FEATURES if not c.startswith("sentiment_")]]
+    shaped = add_entity_flags(headline_shape(headlines, text), text)
+    # shape and flags are computed beside the tokens and go through the sums with the key: one scan of the texts
+    out = all_scores(shaped, key, text, lexicon, negations, boosters, carry=known).withColumnsRenamed({
+        "polarity": "sentiment_polarity", "subjectivity": "sentiment_subjectivity", "compound": "sentiment_valence"})
     if model_scores is not None:
         out = out.join(model_scores.select(key, "model_sentiment"), key, "left")
     priced = add_indicators(bars).select("symbol", "date", *PRICE_FEATURES)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillbar.functions.fixed_values import NOUN_ENDINGS
 from quillbar.functions.text import preprocess_tokens
+from quillbar.operators.lexicon import lookup
+from quillbar.session import materialize
 
 
 def lemmatize(df: DataFrame, tokens: str, exceptions: DataFrame, vocabulary: DataFrame, key: Sequence[str],
@@ -15,18 +17,25 @@ def lemmatize(df: DataFrame, tokens: str, exceptions: DataFrame, vocabulary: Dat
     """Add noun lemmas of the token column.
 
     ``exceptions`` has ``surface, lemma``; ``vocabulary`` has ``lemma``. Dictionaries of any size are joined with the
-    distinct tokens of the table, and only words that change travel back to the rows. A surface form listed more
-    than once has the alphabetically first of its lemmas. ``key`` identifies a row.
+    distinct tokens of the table, and only words that change travel back to the rows: by broadcast if they are few, else by
+    shuffle. A surface form listed more than once has the alphabetically first of its lemmas. ``key`` identifies a row.
     """
     key = list(key)
-    pairs = df.select(*key, F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null")
-    changes = changed_words(pairs.select("token").distinct(), exceptions, vocabulary)
+    # three branches read the tokens: made once, written once, without the texts
+    settled = materialize(df.select(*key, F.col(tokens).alias("_words")))
+    pairs = settled.select(*key, F.explode(F.array_distinct("_words")).alias("token"))
+    changes = materialize(changed_words(pairs.select("token").distinct(), exceptions, vocabulary))
+    table, small = lookup(changes)
     per_row = (
-        pairs.join(changes, "token")
+        pairs.join(F.broadcast(table) if small else table, "token")
         .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
     )
-    return df.join(per_row, key, "left").withColumn(
-        into, F.transform(tokens, lambda t: F.coalesce(F.element_at("_changes", t), t))).drop("_changes")
+    lemmas = settled.join(per_row, key, "left").withColumn(
+        into, F.transform("_words", lambda t: F.coalesce(F.element_at("_changes", t), t))).drop("_changes")
+    if set(df.columns) <= {*key, tokens}:
+        return lemmas.withColumnRenamed("_words", tokens)
+    rows = lemmas.select(F.struct(*key).alias("_row"), into)
+    return df.withColumn("_row", F.struct(*key)).join(rows, "_row", "left").drop("_row")
 
 
 def preprocess_lemmas(df: DataFrame, text: str, exceptions: DataFrame, vocabulary: DataFrame, key: Sequence[str],
@@ -34,9 +43,10 @@ def preprocess_lemmas(df: DataFrame, text: str, exceptions: DataFrame, vocabular
     """All steps: clean, tokenize, drop stop words, lemmatize, and join by spaces unless ``join`` is off.
     ``options`` are those of ``preprocess_tokens``."""
     into = into or f"{text}_processed"
-    out = lemmatize(df.withColumn("_tokens", preprocess_tokens(F.col(text), words, **options)), "_tokens",
-                    exceptions, vocabulary, key, into).drop("_tokens")
-    return out.withColumn(into, F.array_join(into, " ")) if join else out
+    tokens = df.select(*key, preprocess_tokens(F.col(text), words, **options).alias("_tokens"))
+    out = lemmatize(tokens, "_tokens", exceptions, vocabulary, key, into)
+    rows = out.select(F.struct(*key).alias("_row"), F.array_join(into, " ").alias(into) if join else into)
+    return df.withColumn("_row", F.struct(*key)).join(rows, "_row", "left").drop("_row")
 
 
 def changed_words(words: DataFrame, exceptions: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -15,20 +15,38 @@ from quillbar.functions.numeric import ratio
 from quillbar.functions.text import clean_text, tokenize
 
 
-def join_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Look words up. The planner broadcasts the lexicon if its bytes are below the session's threshold;
-    otherwise it shuffles, and adaptive execution splits frequent words."""
-    return words.join(lexicon, "token", "left")
+LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 8 << 20
 
 
-def with_tokens(df: DataFrame, key: str, text: str, into: str = "_tokens") -> DataFrame:
-    """``key`` and the tokens of the cleaned text; a column that holds tokens already is taken as it is.
+def lookup(table: DataFrame, most_rows: int = LOOKUP_ROWS, most_bytes: int = LOOKUP_BYTES) -> tuple[DataFrame, bool]:
+    """The table, and whether it is small. A small one comes back as local rows.
+
+    The planner does not know the size of rows that came from Python or from a shuffle, and would move every token of every
+    text to meet them. So a table of up to ``most_rows`` rows and ``most_bytes`` bytes is fetched (never more than one row beyond
+    the limit) and given back with its size known; a larger one stays where it is.
+    """
+    found = table.limit(most_rows + 1).toArrow()
+    if found.num_rows > most_rows or found.nbytes > most_bytes:
+        return table, False
+    return table.sparkSession.createDataFrame(found, table.schema), True
+
+
+def join_words(words: DataFrame, lexicon: DataFrame, most_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Look words up. A lexicon of checked size is broadcast, so that no word moves; with a larger one words meet by shuffle, and adaptive
+    execution splits the frequent ones."""
+    table, small = lookup(lexicon, most_rows)
+    return words.join(F.broadcast(table) if small else table, "token", "left")
+
+
+def with_tokens(df: DataFrame, key: str, text: str, into: str = "_tokens", carry: Sequence[str] = ()) -> DataFrame:
+    """``key``, the columns to carry, and the tokens of the cleaned text; a column that holds tokens already is taken as it is.
 
     Explode the tokens with ``explode_outer``: a plain ``explode`` makes the planner test each
     array for being empty before that, which tokenizes every text twice.
     """
     ready = df.schema[text].dataType.typeName() == "array"
-    return df.select(key, (F.col(text) if ready else tokenize(clean_text(F.col(text)))).alias(into))
+    return df.select(key, *carry, (F.col(text) if ready else tokenize(clean_text(F.col(text)))).alias(into))
 
 
 def label_by_cut(score: Column, cut: float = fixed.VALENCE_CUT) -> Column:
@@ -42,13 +60,13 @@ def _word_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame, columns:
 
 
 def _word_hits_in_context(df: DataFrame, key: str, text: str, lexicon: DataFrame, columns: Sequence[str],
-                          negations: Sequence[str], boosters: dict[str, float]) -> DataFrame:
+                          negations: Sequence[str], boosters: dict[str, float], carry: Sequence[str] = ()) -> DataFrame:
     """``_word_hits`` with ``_v``, the word's valence after boosters and negations before it.
 
     The three tokens before are taken from the row's own array: no window, no shuffle.
     """
     tokens = F.col("_tokens")
-    placed = with_tokens(df, key, text).select(key, F.inline_outer(F.transform(
+    placed = with_tokens(df, key, text, carry=carry).select(key, *carry, F.inline_outer(F.transform(
         tokens, lambda t, i: F.struct(
             t.alias("token"),
             F.when(i >= 1, F.get(tokens, i - 1)).alias("b1"),
@@ -123,7 +141,7 @@ def valence(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: S
 
 
 def all_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str],
-               boosters: dict[str, float]) -> DataFrame:
-    """Polarity, subjectivity and valence from one pass over the texts."""
-    hits = _word_hits_in_context(df, key, text, lexicon, ["polarity", "subjectivity", "valence"], negations, boosters)
-    return _with_compound(hits.groupBy(key).agg(*_polarity_sums(), *_valence_sums()))
+               boosters: dict[str, float], carry: Sequence[str] = ()) -> DataFrame:
+    """Polarity, subjectivity and valence from one pass over the texts; columns to carry hang on the key."""
+    hits = _word_hits_in_context(df, key, text, lexicon, ["polarity", "subjectivity", "valence"], negations, boosters, carry)
+    return _with_compound(hits.groupBy(key, *carry).agg(*_polarity_sums(), *_valence_sums()))

@@ -56,8 +56,8 @@ def range_bounds(df: DataFrame, cols: Sequence[str], ranges: int | None = None,
         return []
     limit = min(2**63 - 1, -(2**63) + (2**64 * size) // rows)
     sample = keys.where(F.xxhash64(*cols) <= F.lit(limit)).distinct().orderBy(*cols).collect()
-    step = max(1, len(sample) // ranges)
-    return [tuple(sample[i]) for i in range(step, len(sample), step)][: ranges - 1]
+    cuts = {i * len(sample) // ranges for i in range(1, ranges)} - {0}
+    return [tuple(sample[i]) for i in sorted(cuts)]
 
 
 def bound_arrays(df: DataFrame, cols: Sequence[str], bounds: Sequence[tuple]) -> list[Column]:

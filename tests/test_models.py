@@ -33,12 +33,12 @@ def test_polarity(spark, words):
     assert got[3]["y_pred"] == "negative" and got[3]["subjectivity"] == pytest.approx(0.8)
 
 
-def test_large_lexicon_is_not_broadcast(spark, words):
+def test_small_lexicon_is_broadcast_and_a_large_one_is_not(spark, words):
     tokens = spark.createDataFrame([("good",), ("x",)], "token string")
-    plan = lexicon.join_words(tokens, words, broadcast_rows=3)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan
-    plan = lexicon.join_words(tokens, words)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan
+    small, large = lexicon.join_words(tokens, words), lexicon.join_words(tokens, words, most_rows=3)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (small, large)]
+    assert "BroadcastHashJoin" in plans[0] and "Exchange hashpartitioning" not in plans[0] and "BroadcastHashJoin" not in plans[1]
+    assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 2
 
 
 def valence(spark, words, *values):
