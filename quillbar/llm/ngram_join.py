@@ -16,8 +16,9 @@ The join is exact and goes from sets to points to pairs:
    verified again, so a cell of near copies costs about one verification for each document.
 
 Equal sets are one class and are joined once. Keys are pre-aggregated by batch of documents, so a key of a third of all documents is a row for
-each batch. A cell above ``CELL`` classes is cut into blocks by size, and block pairs whose sizes can link are joined in
-tasks of their own: bounded memory, and work that grows with the square of such a cell, of classes and not of copies.
+each batch. A cell above ``CELL`` classes or ``VALUES`` shingles is cut into blocks by size, and block pairs whose sizes can link are joined in
+tasks of their own, first on points alone, which cuts the cell into smaller ones, then on the sets: bounded memory, and work on points that grows
+with the square of such a cell, of classes and not of copies.
 
 Shingles are compared by 64-bit hashes. That the D + 1 keys exist fails only where more segments of a set are empty than its size allows: for 65 shingles 21 of 32 (4 are to be expected; chance
 below 1e-9), for 400 shingles 58 of 128 (6 expected; below 1e-30). At 80 percent segments are smaller: for 120 shingles 34 of 64 (10 expected), for 878
@@ -38,8 +39,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quillbar.llm.components import components
-from quillbar.llm.frames import fresh, settled
+from quillbar.llm.frames import fresh, meet, settled
 from quillbar.llm.words import U64, Texts, mix, signed, slices, windows
+from quillbar.operators.ordered import RowOrder
 
 SHINGLE = 4
 PERCENT = 85
@@ -50,6 +52,8 @@ GROUPS = 64
 MOST_GROUPS = 1024
 LEAF = 32
 CELL = 1024
+VALUES = 1 << 21
+"""A block holds at most ``CELL`` sets and about this many shingles (one larger set is a block of its own)."""
 SKETCH = 20
 FAR = np.iinfo(np.int64).max
 
@@ -272,6 +276,52 @@ def groups_for(largest: int) -> int:
     return 1 << max(GROUPS, min(MOST_GROUPS, largest // 8)).bit_length() - 1
 
 
+def _groups_of(sizes: np.ndarray) -> np.ndarray:
+    """``groups_for`` of each set."""
+    return 1 << np.floor(np.log2(np.clip(sizes // 8, GROUPS, MOST_GROUPS))).astype(np.int64)
+
+
+def points(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``a, b, point``: the group counts of every class as 32-bit numbers, in ``groups_for`` of its size groups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                sets = Sets(texts, shingle)
+                one, two = sets.identity()
+                groups = np.where(sets.size > 0, _groups_of(sets.size), 0)
+                first = np.append(0, np.cumsum(groups))
+                flat = first[sets.doc] + (mix(sets.hash) & (groups[sets.doc] - 1).astype(U64)).astype(np.int64)
+                counts = np.bincount(flat, minlength=first[-1]).astype("<u4")
+                column = pa.Array.from_buffers(pa.binary(), len(groups), [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(counts.tobytes())])
+                some = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
+                some = some[sets.size[some] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(one[some])), pa.array(signed(two[some])), column.take(pa.array(some))], names=["a", "b", "point"])
+    return docs.select(text).mapInArrow(run, "a long, b long, point binary").groupBy("a", "b").agg(F.first("point").alias("point"))
+
+
+def _folded(column: pa.ChunkedArray) -> np.ndarray:
+    """Group counts of all rows, in as many groups as the row with the fewest: groups are low bits of a hash, so halves are added."""
+    rows = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in column]
+    groups = min(len(r) for r in rows)
+    return np.stack([r.reshape(-1, groups).sum(axis=0) for r in rows]).astype(np.int32)
+
+
+def near_points(counts: np.ndarray, sizes: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each point one point of its component, where points tie when the bound on their sets' overlap allows a link."""
+    tree = RTree(counts, sizes)
+    label = np.arange(len(sizes))
+    for i in range(len(sizes)):
+        near = tree.near(counts[i], int(sizes[i]), percent)
+        near = near[label[near] != label[i]]
+        if sides is not None:
+            near = near[sides[near] != sides[i]]
+        bound = np.minimum(counts[near], counts[i]).sum(axis=1)
+        fits = ((100 + percent) * bound >= percent * (sizes[near] + sizes[i])) & (100 * sizes[near] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[near])
+        for other in np.unique(label[near[fits]]).tolist():
+            label[label == other] = label[i]
+    return label
+
+
 def join_cell(values: np.ndarray, first: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
     """For each set of a cell, one set of its component, the same for all. With ``sides`` only pairs across the two sides are looked at.
 
@@ -315,9 +365,12 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy().view(U64), first
 
 
-def _link_rows(table: pa.Table, percent: int, sides: np.ndarray | None = None) -> pa.Table:
-    values, first = _lists(table["set"])
-    root = join_cell(values, first, percent, sides)
+def _sides(table: pa.Table) -> np.ndarray | None:
+    sides = table["block"].to_numpy()
+    return sides if sides.min() < sides.max() else None
+
+
+def _stars(table: pa.Table, root: np.ndarray) -> pa.Table:
     linked = np.flatnonzero(root != np.arange(len(root)))
     root = root[linked]
     a, b = table["a"].to_numpy(), table["b"].to_numpy()
@@ -327,38 +380,68 @@ def _link_rows(table: pa.Table, percent: int, sides: np.ndarray | None = None) -
 LINK = "a long, b long, c long, d long, alone boolean"
 
 
-def tasks_of(heads: DataFrame, percent: int, cell_limit: int = CELL) -> DataFrame:
-    """``key, t, cell, block, others``: where the set of each class is joined.
+def tasks_of(heads: DataFrame, percent: int, cell_limit: int = CELL, values: int = VALUES) -> DataFrame:
+    """The rows (``cell, a, b, n`` and others) with ``block, blocks, pairs``: where each class is joined.
 
-    A cell of up to ``cell_limit`` classes is one block. A larger one is dealt into blocks in order of size, and each
-    block is joined with itself and with every later block of its cell whose smallest set can link with its largest: ``others``
-    lists the block pairs that need the class.
+    The classes of a cell are dealt into blocks in order of size: at most ``cell_limit`` classes, and so few of each power of two of the
+    size that they have ``values`` shingles at most. Positions are counted in ranges of the whole table, so no task holds a cell. Each
+    block is joined with itself and with every later block of its cell whose smallest set can link with its largest: ``pairs`` lists the
+    block pairs that need the class.
     """
-    in_cell = Window.partitionBy("cell")
-    placed = heads.withColumn("block", F.floor((F.row_number().over(in_cell.orderBy("n", "a", "b")) - 1) / cell_limit).cast("int"))
-    placed = settled(placed)
-    blocks = placed.where("block is not null").groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sized = settled(heads.withColumn("octave", F.length(F.bin("n")).cast("long") - 1))
+    limit = F.greatest(F.lit(1), F.least(F.lit(cell_limit), F.expr(f"{values}L div shiftleft(1L, cast(octave as int) + 1)")))
+    placed = RowOrder(("cell", "octave"), ("n", "a", "b")).positions(sized, "place").withColumn("limit", limit)
+    placed = settled(placed.withColumn("block", F.expr("shiftleft(octave, 40) + place div limit")).drop("octave", "place", "limit"))
+    blocks = placed.groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     later = blocks.select(F.col("cell").alias("c"), F.col("block").alias("other"), F.col("low").alias("other_low"))
     pairs = blocks.join(later, (F.col("cell") == F.col("c")) & (F.col("other") >= F.col("block")) & (F.col("other_low") * percent <= F.col("high") * 100))
     pair = F.struct("block", "other")
     ends = pairs.select("cell", pair.alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("part"))
     places = ends.groupBy("cell", F.col("part").alias("block")).agg(F.collect_list("pair").alias("pairs"))
     number = blocks.groupBy("cell").agg(F.count(F.lit(1)).alias("blocks"))
-    return placed.join(places, ["cell", "block"]).join(number, "cell").select("key", "t", "cell", "block", "blocks", "pairs")
+    return placed.join(places, ["cell", "block"]).join(number, "cell")
+
+
+def _by_pair(rows: DataFrame) -> DataFrame:
+    """A row for each block pair that needs the class; ``alone`` says that the cell is one block, so that links found are whole components."""
+    dealt = rows.withColumn("alone", F.col("blocks") == 1).withColumn("pair", F.explode("pairs")).drop("pairs", "blocks")
+    return dealt.groupBy("cell", "pair")
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes to one of their component, from ``cell, block, pairs, a, b, n, set``; ``alone`` says that their cell is
-    one block, so that these are whole components."""
+    """Links of classes to one of their component, from ``cell, block, blocks, pairs, a, b, set``."""
     def join_pair(table: pa.Table) -> pa.Table:
-        sides = table["block"].to_numpy()
-        return _link_rows(table, percent, sides if sides.min() < sides.max() else None)
+        return _stars(table, join_cell(*_lists(table["set"]), percent, _sides(table)))
+
+    return _by_pair(sets).applyInArrow(join_pair, LINK)
+
+
+def smaller_cells(heads: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int, cell_limit: int = CELL, values: int = VALUES) -> DataFrame:
+    """The classes with cells of more than one block cut into smaller ones, before any set is moved.
+
+    Keys tie documents that share little, and such ties add up to cells of very many classes. Their points, a sixteenth of the sets, are joined
+    first: block pair by block pair, by the R-tree's bound alone. Classes that the bound cannot tell apart, directly or through others,
+    are the new cells; a class alone in its cell links with nothing.
+    """
+    heads = settled(heads)
+    sizes = settled(heads.groupBy("cell").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")))
+    large = (F.col("classes") > cell_limit) | (F.col("shingles") > values)
+    if sizes.where(large).isEmpty():
+        return heads
+    known = meet(heads, sizes, ["cell"], "classes")
+    again = settled(known.where(large).drop("classes", "shingles"))
+
+    def tie(table: pa.Table) -> pa.Table:
+        return _stars(table, near_points(_folded(table["point"]), table["n"].to_numpy(), percent, _sides(table)))
 
-    dealt = sets.withColumn("alone", (F.col("blocks") == 1)).withColumn("pair", F.explode("pairs")).drop("pairs", "n", "blocks")
-    return dealt.groupBy("cell", "pair").applyInArrow(join_pair, LINK)
+    tasks = tasks_of(again.select("cell", "a", "b", "n"), percent, cell_limit, 16 * values)
+    links = settled(_by_pair(tasks.join(points(docs, text, shingle), ["a", "b"])).applyInArrow(tie, LINK))
+    ends = links.select(F.struct("a", "b").alias("node"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("root"))
+    found = components(ends, "node", "root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root.a").alias("cell"))
+    return known.where(~large).drop("classes", "shingles").unionByName(again.drop("cell").join(found, ["a", "b"]))
 
 
-def rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int, cell_limit: int = CELL) -> tuple[DataFrame, DataFrame]:
+def rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int, cell_limit: int = CELL, values: int = VALUES) -> tuple[DataFrame, DataFrame]:
     """The signatures of all documents, and ``a, b, head, root`` of every class: its first row (``none, key, t``) and one class of its component."""
     signed_docs = settled(signatures(docs, key, text, shingle))
     # equal sets are one class; its smallest key, and the document of that key whose text is read again
@@ -366,8 +449,9 @@ def rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int, cel
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("head"))
     found = cells(docs, text, shingle, percent)
     heads = classes.join(found, "a").select("cell", "a", "b", "n", "head.key", "head.t")
+    heads = smaller_cells(heads, docs, text, shingle, percent, cell_limit, values)
     # one row for each text that is read again; null keys get a number so that the join has plain columns
-    chosen = tasks_of(heads, percent, cell_limit).select(
+    chosen = tasks_of(heads, percent, cell_limit, values).select(
         F.coalesce("key", F.lit(FAR)).alias("k"), "t", "cell", "block", "blocks", "pairs")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FAR)).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     again = texts.join(chosen, ["k", "t"]).groupBy("k", "t").agg(*[F.first(c).alias(c) for c in ("text", "cell", "block", "blocks", "pairs")])
@@ -383,9 +467,9 @@ def rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int, cel
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-           cell_limit: int = CELL) -> DataFrame:
+           cell_limit: int = CELL, values: int = VALUES) -> DataFrame:
     """``key, t, a, b, n_shingles, component_id``, a row for each document (``t`` is a hash of its text)."""
-    signed_docs, known = rooted(docs, key, text, shingle, percent, cell_limit)
+    signed_docs, known = rooted(docs, key, text, shingle, percent, cell_limit, values)
     known = known.select("a", "b", "head.key", "root")
     labels = known.groupBy("root").agg(F.min("key").alias("component_id"))
     by_class = known.join(labels, "root").select("a", "b", "component_id")

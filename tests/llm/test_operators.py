@@ -99,8 +99,40 @@ def test_jaccard_join_of_many_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = set(brute.jaccard_components(rows))
     assert sum(c != d for d, _, c in want) > 20
-    for cell in (1024, 4):
-        assert {(r["key"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(df, cell_limit=cell).collect()} == want
+    for cell, values in ((1024, 1 << 21), (4, 1 << 21), (1024, 600)):
+        assert {(r["key"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(df, cell_limit=cell, values=values).collect()} == want
+
+
+def test_points_never_part_linked_sets():
+    """The bound on points is at least the overlap, whatever number of groups each set's point has."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(1, 2**62, 900, dtype=np.uint64)
+    texts = [base[:n] for n in (900, 880, 800, 760)] + [rng.integers(1, 2**62, 850, dtype=np.uint64), base[:40]]
+    sizes = np.array([len(np.unique(t)) for t in texts])
+    groups = ngram_join._groups_of(sizes)
+    assert groups.tolist() == [ngram_join.groups_for(n) for n in sizes.tolist()] and len(set(groups.tolist())) == 1
+    wide = [np.bincount((ngram_join.mix(np.unique(t)) & np.uint64(k - 1)).astype(np.int64), minlength=k).astype("<u4") for t, k in zip(texts, (64, 128, 256, 64, 64, 512))]
+    counts = ngram_join._folded(pa.chunked_array([pa.array([w.tobytes() for w in wide], pa.binary())]))
+    assert counts.shape == (6, 64) and counts.sum(axis=1).tolist() == sizes.tolist()
+    label = ngram_join.near_points(counts, sizes, 85)
+    assert len(set(label[:4].tolist())) == 1 and label[5] == 5
+
+
+def test_blocks_are_bounded_by_sets_and_shingles(spark):
+    heads = spark.range(400).selectExpr("id % 2 as cell", "id as a", "id as b", "if(id < 390, 10 + id % 7, 5000 + id) as n")
+    rows = ngram_join.tasks_of(heads, 85, 50, 20_000).collect()
+    blocks = defaultdict(list)
+    for r in rows:
+        blocks[r["cell"], r["block"]].append(r["n"])
+    assert len(rows) == 400 and max(map(len, blocks.values())) <= 50 and max(map(sum, blocks.values())) <= 20_000
+    for r in rows:
+        pairs = [tuple(p) for p in r["pairs"]]
+        assert all(r["block"] in p for p in pairs) and (r["block"], r["block"]) in pairs
+    met = {(x["cell"], tuple(p)) for x in rows for p in x["pairs"]}
+    for x in rows:
+        for y in rows:
+            if x["cell"] == y["cell"] and x["n"] <= y["n"] and 100 * x["n"] >= 85 * y["n"]:
+                assert (x["cell"], (min(x["block"], y["block"]), max(x["block"], y["block"]))) in met
 
 
 def test_linked_sets_share_a_key_whatever_their_sizes():

@@ -28,7 +28,7 @@ def test_each_stage_keeps_the_columns_and_takes_effect(spark, odd, clashing, non
 def test_pipeline_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r["doc_id"]: r["text"] for r in quality_rules.judged(docs).collect() if r["kept"]}
-    first = {c for _, _, c in brute.jaccard_components(sorted(kept.items()))}
+    first = {c for _, _, c in brute.jaccard_components(sorted(kept.items()), 5, 80)}
     texts = {i: t for i, t in kept.items() if i in first}
     cut = {i: (n - gone, digest) for i, n, gone, digest in brute.substring(sorted(texts.items()))}
     stage = dict(corpus_pipeline.STAGES)
