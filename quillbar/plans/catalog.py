@@ -10,7 +10,7 @@ from quillbar.functions import text as tx
 from quillbar.functions.fixed_values import LABELS
 from quillbar.functions.numeric import tidy, tidy_columns
 from quillbar.operators import (
-    align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, splits, stats, strategy, summary,
+    align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, scoring, splits, stats, strategy, summary,
 )
 from quillbar.operators.ordered import RowOrder
 from quillbar.plans.workflow import compare_models
@@ -400,6 +400,17 @@ def _(s, d):
     return tidy_columns(out, models.PROBABILITIES)
 
 
+def _exported(s, d):
+    """A trained model as arrays: naive Bayes of the labelled texts."""
+    return scoring.LinearModel.of_naive_bayes(models.NaiveBayes.fit(_labelled_texts(s, d), "headline", "y_true"))
+
+
+@query("model_scores")
+def _(s, d):
+    out = scoring.score_model(inputs.headlines(s, d), "headline_id", "headline", _exported(s, d))
+    return tidy_columns(out, models.PROBABILITIES, 4)
+
+
 # ---- classification metrics ----------------------------------------------------------------
 
 def _counted(s, d):
@@ -663,8 +674,12 @@ def _(s, d):
 
 @query("feature_table")
 def _(s, d):
-    out = features.feature_table(inputs.headlines(s, d), inputs.bars(s, d), inputs.lexicon(s), inputs.NEGATIONS, inputs.BOOSTERS)
-    return tidy_columns(out, [*[c for c in features.TEXT_FEATURES if c.startswith("sentiment_")], *features.PRICE_FEATURES])
+    heads = inputs.headlines(s, d)
+    scored = scoring.score_model(heads, "headline_id", "headline", _exported(s, d)).select(
+        "headline_id", (F.col("p_positive") - F.col("p_negative")).alias("model_sentiment"))
+    out = features.feature_table(heads, inputs.bars(s, d), inputs.lexicon(s), inputs.NEGATIONS, inputs.BOOSTERS, model_scores=scored)
+    out = tidy_columns(out, [*[c for c in features.TEXT_FEATURES if c.startswith("sentiment_")], *features.PRICE_FEATURES])
+    return tidy_columns(out, ["model_sentiment"], 4)
 
 
 # ---- end to end ----------------------------------------------------------------------------

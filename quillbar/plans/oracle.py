@@ -640,6 +640,9 @@ coalesce({joined.format('|')}, '') as tokens from headlines h left join stopped
     sql["model_nb"] = f"""with {TOKENS}, {TRUTH}, nb_train as (select row_id as headline_id, y_true as label from truth), {nb('nb_train', 'headlines')}
 select headline_id, {tidied(scores, 4)}, y_pred, {', '.join(
         f"{tidy(f'exp({s} - top) / ({total})', 4)} as {p}" for s, p in zip(scores, probabilities))} from nb"""
+    exported = f"{TRUTH}, nb_train as (select row_id as headline_id, y_true as label from truth), {nb('nb_train', 'headlines')}"
+    sql["model_scores"] = f"""with {TOKENS}, {exported} select headline_id, y_pred, {', '.join(
+        f"{tidy(f'exp({s} - top) / ({total})', 4)} as {p}" for s, p in zip(scores, probabilities))} from nb"""
     winner = """case when {0} >= {1} and {0} >= {2} then 'negative' when {1} >= {2} then 'neutral' else 'positive' end"""
     votes = f"""{PREDICTIONS}, votes as (select row_id, {', '.join(f"count(*) filter (y_pred = '{c}') as n_{c}" for c in fixed.LABELS)}
   from predictions group by 1)"""
@@ -748,13 +751,14 @@ replicates as (select model, replicate, sum(w * d) / nullif(sum(w), 0) as m from
 best as (select replicate, max(sqrt(t) * (m - mean)) as v from replicates join points using (model) group by 1),
 observed as (select max(sqrt(t) * mean) as statistic from points)
 select {tidy('max(statistic)')} as statistic, {tidy('avg(case when v >= statistic then 1e0 else 0e0 end)')} as p_value from best, observed"""
-    sql["feature_table"] = f"""with {POLARITY}, {VALENCE.replace(TOKENS + ', ' + LEXICON + ', ', '', 1)}, {FLAGS}, {INDICATORS}
+    sql["feature_table"] = f"""with {POLARITY}, {VALENCE.replace(TOKENS + ', ' + LEXICON + ', ', '', 1)}, {exported}, {FLAGS}, {INDICATORS}
 select headline_id, f.date, f.symbol, {tidy('polarity')} as sentiment_polarity, {tidy('subjectivity')} as sentiment_subjectivity,
   {tidy('compound')} as sentiment_valence, cast(length(headline) as int) as text_length,
   cast(len(list_filter(regexp_split_to_array(headline, '\\s+'), lambda x: x <> '')) as int) as word_count,
   has_earnings_keywords, has_merger_keywords, has_regulatory_keywords,
+  {tidy(f'(exp(score_positive - top) - exp(score_negative - top)) / ({total})', 4)} as model_sentiment,
   {tidied(['price_change_1d', 'price_change_7d', 'volume_ratio', 'volatility_7d', 'rsi_14d'])}
-from flagged f join polarity using (headline_id) join valence using (headline_id)
+from flagged f join polarity using (headline_id) join valence using (headline_id) join nb using (headline_id)
 join indicators i on i.symbol = f.symbol and i.date = f.date"""
     sql["baseline_comparison"] = "with " + comparison_end_to_end()
     return sql
