@@ -54,6 +54,8 @@ LEAF = 32
 CELL = 1024
 VALUES = 1 << 21
 """A block holds at most ``CELL`` sets and about this many shingles (one larger set is a block of its own)."""
+WINDOW_ROWS = 1 << 20
+"""Classes of a cell are numbered by a plain window up to so many rows (about 60 MB) in all, in ranges beyond."""
 SKETCH = 20
 FAR = np.iinfo(np.int64).max
 
@@ -384,13 +386,13 @@ def tasks_of(heads: DataFrame, percent: int, cell_limit: int = CELL, values: int
     """The rows (``cell, a, b, n`` and others) with ``block, blocks, pairs``: where each class is joined.
 
     The classes of a cell are dealt into blocks in order of size: at most ``cell_limit`` classes, and so few of each power of two of the
-    size that they have ``values`` shingles at most. Positions are counted in ranges of the whole table, so no task holds a cell. Each
+    size that they have ``values`` shingles at most. Positions are counted in ranges of the whole table, so no task holds a large cell. Each
     block is joined with itself and with every later block of its cell whose smallest set can link with its largest: ``pairs`` lists the
     block pairs that need the class.
     """
     sized = settled(heads.withColumn("octave", F.length(F.bin("n")).cast("long") - 1))
     limit = F.greatest(F.lit(1), F.least(F.lit(cell_limit), F.expr(f"{values}L div shiftleft(1L, cast(octave as int) + 1)")))
-    placed = RowOrder(("cell", "octave"), ("n", "a", "b")).positions(sized, "place").withColumn("limit", limit)
+    placed = RowOrder(("cell", "octave"), ("n", "a", "b"), smallest_sample=WINDOW_ROWS).positions(sized, "place").withColumn("limit", limit)
     placed = settled(placed.withColumn("block", F.expr("shiftleft(octave, 40) + place div limit")).drop("octave", "place", "limit"))
     blocks = placed.groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     later = blocks.select(F.col("cell").alias("c"), F.col("block").alias("other"), F.col("low").alias("other_low"))
