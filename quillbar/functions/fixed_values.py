@@ -115,6 +115,33 @@ NOUN_ENDINGS = [
 NEGATION_FACTOR = -0.74
 BOOST_STEP = 0.293
 VALENCE_ALPHA = 15.0
+CAPITALS_STEP = 0.733
+EXCLAMATION_STEP = 0.292
+MOST_EXCLAMATIONS = 4
+QUESTION_STEP = 0.18
+QUESTION_MOST = 0.96
+BEFORE_BUT = 0.5
+AFTER_BUT = 1.5
+NEVER_SO_FACTOR = 1.25
+NEGATION_WORDS = [
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent", "isnt",
+    "mightnt", "mustnt", "neednt", "neither", "never", "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "rarely",
+    "seldom", "shant", "shouldnt", "uhuh", "wasnt", "werent", "without", "wont", "wouldnt", "despite",
+]
+BOOSTER_WORDS = {
+    **dict.fromkeys([
+        "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply", "enormously", "entirely",
+        "especially", "exceptionally", "extremely", "fabulously", "fully", "greatly", "highly", "hugely", "incredibly", "intensely",
+        "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably", "so", "substantially", "thoroughly",
+        "totally", "tremendously", "uber", "unbelievably", "unusually", "utterly", "very"], BOOST_STEP),
+    **dict.fromkeys([
+        "almost", "barely", "hardly", "just enough", "kind of", "kinda", "less", "little", "marginally", "occasionally",
+        "partly", "scarcely", "slightly", "somewhat", "sort of", "sorta"], -BOOST_STEP),
+}
+IDIOMS = {
+    "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0,
+    "hand to mouth": -2.0, "upper hand": 1.0, "cut the mustard": 2.0, "back handed": -2.0,
+}
 VALENCE_CUT = 0.05
 
 # Yearly risk-free rate and days per year in the strategy metrics.

@@ -10,7 +10,7 @@ from quillbar.functions import text as tx
 from quillbar.functions.fixed_values import LABELS
 from quillbar.functions.numeric import tidy, tidy_columns
 from quillbar.operators import (
-    align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, scoring, splits, stats, strategy, summary,
+    align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, scoring, splits, stats, strategy, summary, valence,
 )
 from quillbar.operators.ordered import RowOrder
 from quillbar.plans.workflow import compare_models
@@ -351,6 +351,12 @@ def _(s, d):
     return tidy_columns(out, ["compound", *models.PROBABILITIES])
 
 
+@query("valence_rules")
+def _(s, d):
+    out = valence.valence_rules(inputs.remarks(s, d), "headline_id", "headline", inputs.rule_lexicon(s))
+    return tidy_columns(out, ["compound", *models.PROBABILITIES])
+
+
 def _labelled_texts(s, d):
     labels = inputs.truth(s, d).withColumnRenamed("row_id", "headline_id")
     return inputs.headlines(s, d).select("headline_id", "headline").join(labels, "headline_id")

@@ -69,6 +69,8 @@ EVALUATED = f"""{PREDICTIONS}, {HEADLINES}, {BARS}, evaluated as (
   from predictions p join headlines h on p.row_id = h.headline_id join bars b on b.symbol = h.symbol and b.date = h.date)"""
 
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 # ---- text ----------------------------------------------------------------------------------
 
 W = r"[\p{L}\p{N}_]"
@@ -141,6 +143,69 @@ valence as (
   from valence_sums)"""
 
 
+def valence_rules() -> str:
+    """The full valence rules over ``remarks``, word by word from lists."""
+    lexicon = ", ".join(f"({text(t)}, {v}::double)" for t, v in inputs.RULE_LEXICON.items())
+    single = {w: v for w, v in fixed.BOOSTER_WORDS.items() if " " not in w}
+    up, down = ([w for w, v in single.items() if v * side > 0] for side in (1, -1))
+    stages = []
+    for k, weight in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        word = f"(case when i > {k} then l[i - {k}] end)"
+        loud = f"loud and upper(w[i - {k}]) = w[i - {k}] and lower(w[i - {k}]) <> w[i - {k}]"
+        step = f"case when {word} in ({strings(up)}) then {fixed.BOOST_STEP} when {word} in ({strings(down)}) then -{fixed.BOOST_STEP} else 0 end::double"
+        step = f"({step} + case when {word} in ({strings(single)}) and {loud} then {fixed.CAPITALS_STEP} else 0 end::double) * {weight}"
+        factor = f"when {word} in ({strings(fixed.NEGATION_WORDS)}) or contains({word}, 'n''t') then {fixed.NEGATION_FACTOR} else 1 end::double"
+        if k > 1:
+            so = " or ".join(f"l[i - {j}] in ('so', 'this')" for j in range(1, k))
+            doubt = " or ".join(f"l[i - {j}] = 'doubt'" for j in range(1, k))
+            factor = f"when {word} = 'never' and ({so}) then {fixed.NEVER_SO_FACTOR} when {word} = 'without' and ({doubt}) then 1 {factor}"
+        stages.append(f"""v{k} as (select * exclude (v), case when i > {k} and l[i - {k}] not in (select token from lex)
+    then (v + sign(v) * {step}) * case {factor} else v end as v from {'v0' if k == 1 else f'v{k - 1}'})""")
+    spans = ["l[i-3:i-2]", "l[i-3:i-1]", "l[i-2:i-1]", "l[i-2:i]", "l[i-1:i]", "l[i-1:i+1]", "l[i:i+1]", "l[i:i+2]"]
+    idiom = "coalesce(" + ", ".join(
+        "case " + f"array_to_string({s}, ' ')" + " " + " ".join(f"when {text(p)} then {v}::double" for p, v in fixed.IDIOMS.items()) + " end" for s in reversed(spans)) + ", v)"
+    several = " + ".join("case " + f"array_to_string({s}, ' ')" + " " + " ".join(
+        f"when {text(p)} then {v}::double" for p, v in fixed.BOOSTER_WORDS.items() if " " in p) + " else 0 end" for s in spans[:3])
+    shape = "upper(x) = x and lower(x) <> x"
+    return f"""with {HEADLINES}, remarks as (
+  select headline_id, case when headline_id % 40 = 7 then upper(headline || r) else headline || r end as t
+  from (select headline_id, headline, ([{strings(inputs.REMARKS)}])[headline_id % 12 + 1] as r from headlines)),
+lex(token, valence) as (values {lexicon}),
+split as (
+  select headline_id, t, [case when length(trim(x, {text(PUNCTUATION)})) > 2 then trim(x, {text(PUNCTUATION)}) else x end
+    for x in regexp_extract_all(t, '\\S+')] as w from remarks),
+rows_of as (
+  select headline_id, w, [lower(x) for x in w] as l, len([x for x in w if {shape}]) between 1 and len(w) - 1 as loud,
+    least(length(t) - length(replace(t, '!', '')), {fixed.MOST_EXCLAMATIONS}) * {fixed.EXCLAMATION_STEP}::double
+      + case when length(t) - length(replace(t, '?', '')) < 2 then 0 when length(t) - length(replace(t, '?', '')) <= 3
+             then (length(t) - length(replace(t, '?', ''))) * {fixed.QUESTION_STEP} else {fixed.QUESTION_MOST} end::double as emph
+  from split),
+placed as (select *, coalesce(list_position(l, 'but'), 0) as b, unnest(generate_series(1, len(w))) as i from rows_of),
+hits as (select p.*, x.valence from placed p join lex x on x.token = l[i]),
+v0 as (
+  select *, u + sign(u) * case when loud and upper(w[i]) = w[i] and lower(w[i]) <> w[i] then {fixed.CAPITALS_STEP} else 0 end::double as v from (
+    select *, case when (i > 1 and l[i - 1] = 'no') or (i > 2 and l[i - 2] = 'no') or (i > 3 and l[i - 3] = 'no' and l[i - 1] in ('or', 'nor'))
+      then valence * {fixed.NEGATION_FACTOR}::double when l[i] = 'no' and l[i + 1] in (select token from lex) then 0e0 else valence end as u from hits)),
+{', '.join(stages)},
+phrased as (select * exclude (v), case when i > 3 and l[i - 3] not in (select token from lex) then {idiom} + {several} else v end as v from v3),
+done as (
+  select headline_id, emph, case when l[i] in ({strings(single)}) or (l[i] = 'kind' and l[i + 1] = 'of') then 0 else
+    v * case when i > 1 and l[i - 1] = 'least' and not (i > 2 and l[i - 2] in ('at', 'very')) then {fixed.NEGATION_FACTOR}::double else 1 end
+      * case when b = 0 or i = b then 1 when i < b then {fixed.BEFORE_BUT}::double else {fixed.AFTER_BUT}::double end end as v
+  from phrased),
+sums as (
+  select r.headline_id, any_value(r.emph) as emph, any_value(len(r.w)) as n, coalesce(sum(v), 0e0) as s, coalesce(sum(v + 1) filter (v > 0), 0e0) as up,
+    coalesce(sum(1 - v) filter (v < 0), 0e0) as down, count(*) filter (v <> 0) as felt
+  from rows_of r left join done d using (headline_id) group by 1),
+total as (
+  select headline_id, s + sign(s) * emph as s, up + case when up > down then emph else 0 end as up,
+    down + case when down > up then emph else 0 end as down, (n - felt)::double as flat from sums),
+scored as (
+  select headline_id, s / sqrt(s * s + {fixed.VALENCE_ALPHA}) as compound, coalesce(down / nullif(up + down + flat, 0), 0e0) as p_negative,
+    coalesce(flat / nullif(up + down + flat, 0), 1e0) as p_neutral, coalesce(up / nullif(up + down + flat, 0), 0e0) as p_positive from total)
+select headline_id, {tidied(['compound', 'p_negative', 'p_neutral', 'p_positive'])}, {cut_label('compound')} as y_pred from scored"""
+
+
 def nb(train: str, test: str) -> str:
     """Naive Bayes CTEs: ``train(headline_id, label)``, ``test(headline_id)`` over ``tokens``."""
     cols = fixed.LABELS
@@ -635,6 +700,7 @@ coalesce({joined.format('|')}, '') as tokens from headlines h left join stopped
     probabilities = ["p_negative", "p_neutral", "p_positive"]
     sql["valence_compound"] = f"""with {VALENCE} select headline_id, {tidied(['compound', *probabilities])},
 {cut_label('compound')} as y_pred from valence"""
+    sql["valence_rules"] = valence_rules()
     scores = [f"score_{c}" for c in fixed.LABELS]
     total = " + ".join(f"exp({s} - top)" for s in scores)
     sql["model_nb"] = f"""with {TOKENS}, {TRUTH}, nb_train as (select row_id as headline_id, y_true as label from truth), {nb('nb_train', 'headlines')}

@@ -119,6 +119,13 @@ LEXICON = [
 ]
 NEGATIONS = ["not", "never", "no", "n't"]
 BOOSTERS = {"very": 0.293, "most": 0.293, "slightly": -0.293}
+REMARKS = [
+    " It was a VERY good deal!!", " At least it isn't a loss, but a risk", " never so good, without doubt a growth", " Not bad... kind of a crash??",
+    " the LEAST good profit", " no growth, no profit or good deal", " a deal to die for???? ", " GOOD! but NOT a breakthrough!!!!!",
+    " somewhat bullish and EXTREMELY good :)", " the crash never was this bad", " slightly less of a decline", "",
+]
+# The lexicon of the full rules: that of above and some more words.
+RULE_LEXICON = {**{t: v for t, _, _, v in LEXICON}, "bad": -2.5, "no": -1.2, ":)": 2.0, "die": -2.9}
 # Irregular nouns: surface form, lemma.
 LEMMA_EXCEPTIONS = [("children", "child"), ("feet", "foot"), ("mice", "mouse"), ("women", "woman")]
 POSITIVE_WORDS = ["surge", "rally", "bullish", "growth", "profit"]
@@ -129,6 +136,17 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "token string, polarity double, subjectivity double, valence double")
 
 
+def rule_lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULE_LEXICON.items()), "token string, valence double")
+
+
+def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines, some in capitals, each with a remark at its end."""
+    key = F.col("headline_id")
+    text = F.concat("headline", _ring(REMARKS, key % 12))
+    return headlines(spark, sf_dir).select("headline_id", F.when(key % 40 == 7, F.upper(text)).otherwise(text).alias("headline"))
+
+
 def lemma_exceptions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEMMA_EXCEPTIONS, "surface string, lemma string")
 
