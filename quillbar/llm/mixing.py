@@ -10,8 +10,8 @@ The pairs form a reduction tree: a source's documents are dealt into blocks of a
 document with a fraction, and these are the rows of the next level, ``FAN`` blocks to one, until a source has one left, which is rounded to the nearer side.
 A source with a third of all documents is so many more blocks. Random numbers are hashes of the document, so reruns and retries agree.
 
-Defined cases: a null text has size 0; documents of size 0 are taken 0 words. A null source is a source of its own, last in order. Rows alike in key and
-text are one item of their common size and get the same number of copies. An empty table gives an empty table; sources without words have target 0.
+Defined cases: a null text has size 0; documents of size 0 are taken 0 words. A null source is a source of its own, last in order. Rows alike in key,
+text and source are one item in the rounding: as many of them as the item's rounded number are taken once more. An empty table gives an empty table; sources without words have target 0.
 Other columns pass through ``mixed``.
 """
 
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillbar.llm.frames import fresh, settled
+from quillbar.llm.frames import fresh, repeated, settled
 from quillbar.llm.words import U64, mix, slices
+from quillbar.operators.ordered import RowOrder
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -119,32 +120,67 @@ def rounded(items: DataFrame, blocks: int, fan: int = FAN) -> DataFrame:
         rows = rows.where("open").withColumns({"block": F.floor(F.col("block") / fan), "level": F.lit(level)})
 
 
-def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``key, t, source, size, source_size, target, copies`` for every document."""
-    rows = settled(sizes(docs, key, text, source))
-    by_source = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    items = rows.where("size > 0").groupBy("key", "t", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
-    items = settled(items)
-    blocks = items.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    plan = settled(by_source.join(blocks, by_source["source"].eqNullSafe(blocks["source"])).select(
-        by_source["source"].alias("of"), "blocks", (F.col("target") / F.col("source_size")).alias("wanted")))
-    most = plan.agg(F.max("blocks")).first()[0] or 1
-    wanted = items.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    cut = wanted.select(
-        "key", "t", "source", (F.col("size") * F.col("rows")).alias("mass"), (F.col("wanted") - F.floor("wanted")).alias("chance"),
+def plan(docs: DataFrame, key: str, text: str, source: str, block_rows: int) -> DataFrame:
+    """``key, t, source, size, source_size, target, rows, base, extra``: of the ``rows`` rows alike in key, text and source each is taken ``base``
+    times, and ``extra`` of them once more."""
+    rows = sizes(docs, key, text, source)
+    items = settled(rows.groupBy("key", "t", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
+    by_source = items.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("rows")).alias("source_size"),
+        F.greatest(F.ceil(F.count_if(F.col("size") > 0) / block_rows), F.lit(1)).alias("blocks"))
+    by_source = settled(by_source)
+    share = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0))
+    wanted = targets(by_source).withColumn("wanted", share).withColumnsRenamed({"source": "of", "source_size": "total"})
+    wanted = settled(by_source.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select("of", "source_size", "target", "wanted", "blocks"))
+    most = wanted.agg(F.max("blocks")).first()[0] or 1
+    # rows alike want a whole number of extra copies and a fraction, which is that of one row
+    over = F.col("rows") * (F.col("wanted") - F.floor("wanted"))
+    placed = items.join(wanted, F.col("source").eqNullSafe(F.col("of"))).withColumn("over", F.when(F.col("size") > 0, over).otherwise(0.0))
+    cut = placed.where("size > 0").select(
+        "key", "t", "source", F.col("size").alias("mass"), (F.col("over") - F.floor("over")).alias("chance"),
         F.pmod(F.xxhash64("key", "t"), F.col("blocks")).alias("block"))
     found = rounded(cut, int(most)).select(F.col("key").alias("k"), F.col("t").alias("u"), "chance")
-    out = rows.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    out = out.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")), "left")
-    share = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0))
-    return out.select("key", "t", "source", "size", "source_size", "target",
-                      (F.floor(share) + F.coalesce("chance", F.lit(0))).cast("int").alias("copies"))
+    out = placed.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")), "left")
+    base = F.when(F.col("size") > 0, F.floor("wanted")).otherwise(0)
+    return out.select("key", "t", "source", "size", "source_size", "target", "rows", base.cast("int").alias("base"),
+                      (F.floor("over") + F.coalesce("chance", F.lit(0))).cast("long").alias("extra"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each document as many times as it is taken (documents without words: not at all)."""
-    named, hashed, copies, number = fresh(docs, "k", "t", "copies", "number")
-    found = taken(docs, key, text, source).where("size > 0 and copies > 0").select(
-        F.col("key").alias(named), F.col("t").alias(hashed), F.col("copies").alias(copies)).distinct()
-    same = F.col(key).cast("long").eqNullSafe(F.col(named)) & (F.xxhash64(text, source) == F.col(hashed))
-    return docs.join(found, same).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``key, t, source, size, source_size, target, copies`` for every document."""
+    rows = repeated(plan(docs, key, text, source, block_rows), "rows", "number")
+    return rows.select("key", "t", "source", "size", "source_size", "target",
+                       (F.col("base") + (F.col("number") <= F.col("extra")).cast("int")).alias("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The mix itself: each document as many times as it is taken (documents without words: not at all).
+
+    Of rows alike in key, text and source the extra copies go to the first by a hash of all columns.
+    """
+    named, hashed, of, like, base, extra, row, rows, last, times, number = fresh(
+        docs, "named", "hashed", "of", "like", "base", "extra", "row", "rows", "last", "times", "number")
+    found = settled(plan(docs, key, text, source, block_rows).where("size > 0"))
+    own = docs.withColumns({named: F.col(key).cast("long"), hashed: F.xxhash64(text, source)})
+    split = (F.col("extra") > 0) & (F.col("extra") < F.col("rows"))
+
+    def met(groups: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        """The documents with columns of their item, and only documents that have one."""
+        groups = groups.select(F.col("key").alias(of), F.col("t").alias(like), *[c.alias(name) for name, c in columns.items()])
+        return own.join(groups, F.col(named).eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(like)))
+
+    whole = met(found.where(~split), {times: F.col("base") + (F.col("extra") > 0).cast("int")}).where(F.col(times) > 0)
+    out = whole.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    some = found.where(split)
+    if some.isEmpty():
+        return out
+    # rows alike of which some are taken once more: rows equal in all columns are one, with their number, and have places by their hash
+    parts = met(some, {base: F.col("base"), extra: F.col("extra")}).withColumn(row, F.xxhash64(*docs.columns))
+    counts = settled(parts.groupBy(named, hashed, row, base, extra).agg(F.count(F.lit(1)).alias(rows)))
+    counts = RowOrder((named, hashed), (row,)).running_sum(counts, {rows: last})
+    more = F.least(F.greatest(F.col(extra) - (F.col(last) - F.col(rows)), F.lit(0)), F.col(rows))
+    counts = counts.withColumn(times, F.col(base) * F.col(rows) + more).where(F.col(times) > 0)
+    counts = counts.select(F.col(named).alias(of), F.col(hashed).alias(like), F.col(row).alias(number), times)
+    same = F.col(named).eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(like)) & (F.col(row) == F.col(number))
+    rest = parts.drop(of, like).dropDuplicates([named, hashed, row]).join(counts, same).select(*docs.columns, times)
+    return out.unionByName(repeated(rest, times, number).select(*docs.columns))
