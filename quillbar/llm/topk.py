@@ -14,7 +14,7 @@ at most k rows a query. Queries come in blocks of ``QUERY_BLOCK``; every candida
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate. An empty vector, and one of another length than the query's, is no candidate for it.
 A query with fewer than k candidates returns all. Rows that repeat a vec_id are candidates of their own, but not of a query of the same vec_id. A repeated query row is one query, and query rows of one vec_id with different vectors are
-answered together. Null ids are never queries, and rank after others in a tie. Components whose products could leave 63 bits raise.
+answered together. Null ids are never queries, and rank after others in a tie. Scaled components and scores beyond the limits of a long are at the limit, and tie there.
 An empty table gives an empty table; other columns are not looked at.
 """
 
@@ -34,7 +34,7 @@ BUCKET = 8192
 QUERY_BLOCK = 2048
 CLASSES_PER_DOUBLING = 4
 BY_COORDINATE = 0.5
-LARGEST = 2**62
+LARGEST = 2.0**62
 LAST = np.iinfo(np.int64).max
 
 
@@ -50,24 +50,29 @@ def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: int = SCALE)
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    """The vectors as doubles, in which products below 2**53 are exact, or else as longs."""
-    flat = column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    return flat
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
 
 
-def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    most = dim_bound(queries, rows)
-    if most < 2**53:
+def _products(queries: np.ndarray, rows: np.ndarray, reach: float) -> np.ndarray:
+    """Exact inner products; ``reach`` bounds a query's length times a row's, and so every partial sum."""
+    if reach < 2**53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    if most >= LARGEST:
-        raise OverflowError("inner products leave 63 bits")
     return queries @ rows.T
 
 
-def dim_bound(queries: np.ndarray, rows: np.ndarray) -> int:
-    """An upper bound of all inner products, without overflow."""
-    top = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (queries, rows)]
-    return top[0] * top[1] * queries.shape[1]
+def _long_products(query: np.ndarray, rows: np.ndarray, reach: float, k: int) -> np.ndarray:
+    """Inner products of any size, those beyond a long's limits at the limit. Only what may be among the k best is exact; the rest has a score below those."""
+    near = rows.astype(np.float64) @ query.astype(np.float64)
+    error = reach * (len(query) + 4) * 2.0**-52
+    least = -np.inf if len(near) <= k else np.partition(near, len(near) - k)[len(near) - k] - 2 * error
+    # scores at a limit are ties
+    least = min(least, float(LAST) - error)
+    wanted = np.flatnonzero(near >= least) if least > -float(LAST) + error else np.arange(len(near))
+    out = np.full(len(near), -LAST)
+    own = query.astype(object)
+    for j in wanted.tolist():
+        out[j] = max(-LAST, min(LAST, int(own @ rows[j].astype(object))))
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -95,6 +100,11 @@ def search_bucket(queries: dict, rows: dict, k: int) -> list[tuple[int, int, int
     plain = []
     for q in np.flatnonzero(alive).tolist():
         floor, length = float(queries["floor"][q]), float(queries["norm"][q])
+        if length * longest >= LARGEST:
+            some = np.flatnonzero(ids != queries["id"][q])
+            scores = _long_products(queries["v"][q], vectors[some], length * longest, k)
+            out += [(q, int(order[some[j]]), int(scores[j])) for j in _best(scores, ids[some], k) if scores[j] >= queries["floor"][q]]
+            continue
         local = floor / (length * longest) if floor > 0 and length * longest > 0 else 0.0
         if local < BY_COORDINATE:
             plain.append(q)
@@ -106,7 +116,7 @@ def search_bucket(queries: dict, rows: dict, k: int) -> list[tuple[int, int, int
         some = np.flatnonzero((unit[:, f] >= local * own[f] - room) if own[f] > 0 else (unit[:, f] <= local * own[f] + room))
         some = some[(length * norm[some] * (1 + slack) >= floor) & (ids[some] != queries["id"][q])]
         if len(some):
-            scores = _products(queries["v"][q:q + 1], vectors[some])[0]
+            scores = _products(queries["v"][q:q + 1], vectors[some], length * longest)[0]
             some, scores = some[scores >= floor], scores[scores >= floor]
             out += [(q, int(order[some[j]]), int(scores[j])) for j in _best(scores, ids[some], k)]
     for at in range(0, len(plain), 256):
@@ -114,7 +124,7 @@ def search_bucket(queries: dict, rows: dict, k: int) -> list[tuple[int, int, int
         floor = queries["floor"][part].astype(float)
         need = np.where((floor > 0) & (queries["norm"][part] > 0), floor / np.maximum(queries["norm"][part], 1e-300), 0.0)
         stop = int(np.searchsorted(-norm, -need.min() * (1 - slack), side="right"))
-        scores = _products(queries["v"][part], vectors[:stop])
+        scores = _products(queries["v"][part], vectors[:stop], float(queries["norm"][part].max()) * longest)
         for row, q in enumerate(part.tolist()):
             some = np.flatnonzero((scores[row] >= queries["floor"][q]) & (ids[:stop] != queries["id"][q]))
             out += [(q, int(order[some[j]]), int(scores[row][some[j]])) for j in _best(scores[row][some], ids[some], k)]

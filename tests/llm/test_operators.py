@@ -271,6 +271,25 @@ def test_top_k(spark, bucket, block):
     assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Products of any size: exact within a long, at its limit beyond."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(600, 5)) * 10.0 ** rng.integers(0, 16, size=(600, 1))
+    m[0], m[1], m[2], m[100] = 300_000, 1e300, -1e300, 1e13
+    m[200:240] = m[300]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    top = 2**63 - 1
+    exact = {i: [max(-top - 1, min(top, math.floor(1024 * x) if abs(x) < 1e290 else int(math.copysign(top + 1, x)))) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 600, 100):
+        scores = sorted((-max(-top, min(top, sum(a * b for a, b in zip(exact[q], w)))), i) for i, w in exact.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for bucket in (8192, 40):
+        got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0, bucket=bucket).collect())
+        assert got == want
+
+
 # ---- 5 and 10 ------------------------------------------------------------------------------
 
 def test_checksums():
