@@ -147,3 +147,9 @@ VALENCE_CUT = 0.05
 # Yearly risk-free rate and days per year in the strategy metrics.
 RISK_FREE_RATE = 0.02
 DAYS_PER_YEAR = 365.25
+
+# Abbreviations (Kiss and Strunk, 2006): how often a period comes with one, and the least score.
+ABBREVIATION_PERIOD_RATE = 0.99
+ABBREVIATION_CUT = 0.3
+# Words that Treebank tokens part after the third letter.
+SPLIT_WORDS = ("cannot", "gimme", "gonna", "gotta", "lemme", "wanna")

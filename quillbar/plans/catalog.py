@@ -10,7 +10,7 @@ from quillbar.functions import text as tx
 from quillbar.functions.fixed_values import LABELS
 from quillbar.functions.numeric import tidy, tidy_columns
 from quillbar.operators import (
-    align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, scoring, splits, stats, strategy, summary, valence,
+    align, bars as bar_ops, classify, compare, features, lemmas, lexicon, models, risk, scoring, sentences, splits, stats, strategy, summary, valence,
 )
 from quillbar.operators.ordered import RowOrder
 from quillbar.plans.workflow import compare_models
@@ -143,6 +143,12 @@ def _(s, d):
     return tidy_columns(align.asof(_closes(s, d), _daily(s, d)), ["sentiment"])
 
 
+@query("asof_ticks")
+def _(s, d):
+    found = align.asof_ticks(inputs.timed_ticks(s, d), inputs.timed_points(s, d))
+    return found.select("row_id", "symbol", "value", "age_seconds")
+
+
 @query("sentiment_price_overlay")
 def _(s, d):
     return tidy_columns(align.overlay(_closes(s, d), _daily(s, d)), ["sentiment"])
@@ -287,6 +293,13 @@ _text_query("tokenize", lambda t: F.array_join(tx.tokenize(tx.clean_text(t)), "|
 _text_query("remove_stopwords", lambda t: F.array_join(tx.preprocess_tokens(t), "|"))
 
 
+@query("tokenize_sentences")
+def _(s, d):
+    found = sentences.tokenize_sentences(inputs.headlines(s, d), "headline", ["headline_id"])
+    lines = F.array_join(F.transform("sentences", lambda x: F.array_join(x, "|")), "\n")
+    return found.select("headline_id", F.size("sentences").alias("n_sentences"), lines.alias("text"))
+
+
 @query("lemmatize")
 def _(s, d):
     tokens = lexicon.with_tokens(inputs.headlines(s, d), "headline_id", "headline", "tokens")

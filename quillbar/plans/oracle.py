@@ -143,6 +143,46 @@ valence as (
   from valence_sums)"""
 
 
+def sentence_tokens() -> str:
+    """Sentences and tokens word by word, with windows over the words of a text."""
+    rate = "(select sum(dotted) / sum(n) from types)"
+
+    def likelihood(p):
+        return f"(dotted * ln(greatest({p}, 1e-9)) + (n - dotted) * ln(greatest(1 - {p}, 1e-9)))"
+
+    score = f"""2 * ({likelihood(fixed.ABBREVIATION_PERIOD_RATE)} - {likelihood(rate)}) * exp(-length(replace(base, '.', '')))
+      * (length(base) - length(replace(base, '.', '')) + 1) * pow(length(replace(base, '.', ''))::double, (dotted - n)::double)"""
+    at = "strpos(w, core)"
+    return f"""with {HEADLINES}, split as (select headline_id, regexp_extract_all(headline, '\\S+') as l from headlines),
+words as (select headline_id, len(l) as size, unnest(l) as w, generate_subscripts(l, 1) as i from split),
+cores as (select *, regexp_replace(w, '^["''(\\[{{]+|["'')\\]}}]+$', '', 'g') as core from words),
+dots as (select *, core like '%.' and core not like '%..' as dotted from cores),
+parts as (
+  select *, lower(case when dotted then substr(core, 1, length(core) - 1) else core end) as base, regexp_matches(core, '^\\p{{Lu}}') as cap,
+    regexp_matches(core, '^\\p{{Ll}}') as small, right(core, 1) in ('.', '!', '?') as stop,
+    regexp_matches(core, '^\\p{{Lu}}\\.$') or core like '%..' as sure from dots),
+near as (
+  select *, lag(stop, 1, true) over w1 as after_stop, lead(base) over w1 as next, lead(cap) over w1 as next_cap
+  from parts window w1 as (partition by headline_id order by i)),
+types as (
+  select base, count(*)::double as n, count(*) filter (dotted)::double as dotted, count(*) filter (small) as small,
+    count(*) filter (cap and not after_stop) as inside from near group by 1),
+short as (select base from types where dotted > 0 and regexp_matches(base, '\\p{{L}}') and {score} >= {fixed.ABBREVIATION_CUT}),
+starters as (select base from types where small > 0 and inside = 0),
+ended as (
+  select *, i = size or (stop and not ((sure or (dotted and base in (select base from short)))
+    and not (next_cap and next in (select base from starters)))) as is_end from near),
+numbered as (select *, coalesce(sum(is_end::int) over (partition by headline_id order by i rows between unbounded preceding and 1 preceding), 0) as k from ended),
+pieces as (
+  select *, case when dotted and not is_end
+    then list_concat(list_concat(regexp_extract_all(substr(w, 1, {at} - 1), '.'), [core]), regexp_extract_all(substr(w, {at} + length(core)), '.'))
+    else flatten([case when lower(t) in ({strings(fixed.SPLIT_WORDS)}) then [substr(t, 1, 3), substr(t, 4)] else [t] end for t in {tokens('w')}]) end as toks
+  from numbered),
+lines as (select headline_id, k, string_agg(array_to_string(toks, '|'), '|' order by i) as line from pieces group by 1, 2),
+texts as (select headline_id, count(*) as n, string_agg(line, chr(10) order by k) as text from lines group by 1)
+select headline_id, cast(coalesce(n, 0) as int) as n_sentences, coalesce(text, '') as text from headlines left join texts using (headline_id)"""
+
+
 def valence_rules() -> str:
     """The full valence rules over ``remarks``, word by word from lists."""
     lexicon = ", ".join(f"({text(t)}, {v}::double)" for t, v in inputs.RULE_LEXICON.items())
@@ -607,6 +647,14 @@ from headlines h join bars b on h.date = b.date and h.symbol = b.symbol"""
   select symbol, date, avg(polarity) as sentiment from headlines join polarity using (headline_id) group by 1, 2)"""
     sql["sentiment_price_overlay"] = f"""with {daily} select b.symbol, b.date, close, {tidy('sentiment')} as sentiment
 from bars b left join daily d on d.symbol = b.symbol and d.date = b.date"""
+    moment = "date_diff('day', date '1970-01-01', cast({} as date)) * 86400 + ({}) % 86400"
+    sql["asof_ticks"] = f"""with t as (
+  select o_orderkey as row_id, o_orderpriority as symbol, {moment.format('o_orderdate', 'o_orderkey')} as at from orders),
+p as (
+  select case when l_suppkey % 3 = 0 then {text(inputs.TICKERS[0])} else ([{strings(inputs.TICKERS)}])[l_suppkey % 5 + 1] end as symbol,
+    {moment.format('l_shipdate', 'l_orderkey * 131 + l_linenumber * 7')} as at, max_by(l_discount, l_orderkey * 10 + l_linenumber) as value
+  from lineitem group by 1, 2)
+select row_id, t.symbol, value, (t.at - p.at)::double as age_seconds from t asof left join p on t.symbol = p.symbol and t.at >= p.at"""
     sql["sentiment_asof"] = f"""with {daily} select b.symbol, b.date, close, {tidy('sentiment')} as sentiment
 from bars b asof left join daily d on d.symbol = b.symbol and d.date <= b.date"""
     sql["sentiment_interpolate"] = f"""with {daily}, sides as (
@@ -701,6 +749,7 @@ coalesce({joined.format('|')}, '') as tokens from headlines h left join stopped
     sql["valence_compound"] = f"""with {VALENCE} select headline_id, {tidied(['compound', *probabilities])},
 {cut_label('compound')} as y_pred from valence"""
     sql["valence_rules"] = valence_rules()
+    sql["tokenize_sentences"] = sentence_tokens()
     scores = [f"score_{c}" for c in fixed.LABELS]
     total = " + ".join(f"exp({s} - top)" for s in scores)
     sql["model_nb"] = f"""with {TOKENS}, {TRUTH}, nb_train as (select row_id as headline_id, y_true as label from truth), {nb('nb_train', 'headlines')}

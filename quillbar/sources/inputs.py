@@ -192,6 +192,26 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("symbol"), F.round(100 + F.col("o_totalprice") / 50000, 2).alias("close"))
 
 
+def _moment(day, second):
+    """A time stamp: a day and a second of it."""
+    days = F.datediff(F.col(day).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return F.timestamp_seconds(days * 86400 + second % 86400)
+
+
+def timed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: ``row_id, symbol, ts``."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("symbol"), _moment("o_orderdate", F.col("o_orderkey")).alias("ts"))
+
+
+def timed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value per order line: ``point_id, symbol, ts, value``; a third and more are of the first symbol."""
+    supplier, order, line = F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        (order * 10 + line).alias("point_id"), F.when(supplier % 3 == 0, TICKERS[0]).otherwise(_ring(TICKERS, supplier % 5)).alias("symbol"),
+        _moment("l_shipdate", order * 131 + line * 7).alias("ts"), F.col("l_discount").alias("value"))
+
+
 def tick_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions for every order, with probabilities that follow its price."""
     row, price = F.col("o_orderkey"), F.col("o_totalprice")
