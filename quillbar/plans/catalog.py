@@ -591,6 +591,37 @@ def _(s, d):
     return tidy_columns(curve.select("row_id", "symbol", "equity", "drawdown"), ["equity", "drawdown"])
 
 
+def _swing_rows(s, d):
+    """Strategy rows on every order, with a signal that lasts for 13 weeks: positions of very many rows."""
+    phase = (F.datediff("date", F.lit("1992-01-01").cast("date")) / 91).cast("int") % 3
+    preds = F.get(F.array(*[F.lit(c) for c in LABELS]), phase)
+    rows = inputs.ticks(s, d).withColumns({"model": F.lit("all"), "y_pred": preds})
+    return materialize(strategy.strategy_rows(rows, keep_empty=True))
+
+
+SWINGS = RowOrder(("model", "symbol"), ("date", "row_id"))
+
+
+@query("stops_ticks")
+def _(s, d):
+    out = risk.stops(_swing_rows(s, d), stop_loss=0.0333, take_profit=0.0477, order=SWINGS)
+    return tidy_columns(out.select("row_id", "symbol", "stopped_returns"), ["stopped_returns"])
+
+
+@query("drawdown_limit_ticks")
+def _(s, d):
+    rows = _tick_rows(s, d).drop("model").withColumn("model", F.col("symbol"))
+    rows = materialize(strategy.strategy_rows(rows, keep_empty=True).withColumn("strategy", F.coalesce("strategy_returns", F.lit(0.0))))
+    out = risk.drawdown_limit(rows, limit=0.005, order=RowOrder(("model",), ("date", "row_id")))
+    return tidy_columns(out.select("row_id", "symbol", "strategy", "limited_returns"), ["strategy", "limited_returns"])
+
+
+@query("backtest_costs_ticks")
+def _(s, d):
+    rows = _swing_rows(s, d).withColumn("weight", 0.001 * F.col("signal"))
+    return tidy_columns(risk.backtest_costs(rows, order=SWINGS), ["gross", "cost", "capital"])
+
+
 # ---- declared measures ---------------------------------------------------------------------
 
 def _bar_rows(s, d):

@@ -703,6 +703,28 @@ select row_id, symbol, {tidied(INDICATOR_NAMES)} from indicators"""
 {curve('strat', 'model, symbol', 'date, row_id')}, {summary('model, symbol', *ROW_TRADES)} select model, symbol, {shown} from metrics"""
     sql["equity_curve_ticks"] = f"""with {tick_rows}, {strategy_rows('tick_rows', 'model', 'date, row_id')},
 {curve('strat', 'model', 'date, row_id')} select row_id, symbol, {tidied(['equity', 'drawdown'])} from curve"""
+    swings = f"""{ticks}, swings as (
+  select 'all' as model, row_id, date, symbol, close, ([{strings(fixed.LABELS)}])[1 + (date_diff('day', date '1992-01-01', date) // 91) % 3] as y_pred
+  from ticks), {strategy_rows('swings', 'model', 'date, row_id')}"""
+    by_symbol = "partition by symbol order by date, row_id"
+    sql["stops_ticks"] = f"""with {swings},
+moves as (select *, coalesce(held, 0) as h, coalesce(held * returns, 0e0) as r, coalesce(held, 0) <> coalesce(lag(held) over ({by_symbol}), 0) as turned from all_rows),
+trades as (select *, sum(cast(turned as int)) over ({by_symbol}) as trade from moves),
+gains as (select *, product(1 + r) over (partition by symbol, trade order by date, row_id rows between unbounded preceding and current row) - 1 as gain from trades),
+ends as (select *, max(case when gain <= -0.0333e0 or gain >= 0.0477e0 then 1 else 0 end) over (
+  partition by symbol, trade order by date, row_id rows between unbounded preceding and 1 preceding) as done from gains)
+select row_id, symbol, {tidy('case when done = 1 then 0e0 else r end')} as stopped_returns from ends"""
+    sql["drawdown_limit_ticks"] = f"""with {tick_rows}, {strategy_rows('tick_rows', 'model', 'date, row_id')},
+filled as (select symbol, date, row_id, coalesce(strategy_returns, 0e0) as strategy from all_rows),
+{curve('filled', 'symbol', 'date, row_id', 'strategy')},
+done as (select *, max(case when drawdown <= -0.005e0 then 1 else 0 end) over (
+  {by_symbol} rows between unbounded preceding and 1 preceding) as over_limit from curve)
+select row_id, symbol, {tidy('strategy')} as strategy, {tidy('case when over_limit = 1 then 0e0 else strategy end')} as limited_returns from done"""
+    sql["backtest_costs_ticks"] = f"""with {swings}, weighted as (select *, 0.001e0 * signal as weight from all_rows),
+moved as (select *, coalesce(lag(weight) over ({by_symbol}), 0) as before_w from weighted),
+flows as (select date, sum(coalesce(before_w * returns, 0)) as gross, sum(abs(weight - before_w) * 0.0015e0) as cost from moved group by 1),
+account as (select *, 100000 * product(1 + gross - cost) over (order by date rows between unbounded preceding and current row) as capital from flows)
+select 'all' as model, date, {tidied(['gross', 'cost', 'capital'])} from account"""
     price = "o_totalprice"
     classes = f"([{strings(fixed.LABELS)}])"
     sql["rank_metrics_ticks"] = f"""with weighed as (

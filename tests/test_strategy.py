@@ -6,6 +6,7 @@ import statistics
 import pytest
 
 from quillbar.operators import risk, strategy
+from quillbar.operators.ordered import RowOrder
 
 DAY = dt.date(2020, 1, 1)
 SCHEMA = "model string, row_id long, date date, symbol string, close double, y_pred string"
@@ -172,3 +173,51 @@ def test_information_ratio_alpha_beta(spark):
     assert (got["alpha"], got["beta"]) == (pytest.approx(0.01), pytest.approx(2))
     a = [b + 0.01 for b in (0.01, -0.02, 0.03)]
     assert risk.information_ratio(df).first()[1] == pytest.approx(statistics.mean(a) / statistics.stdev(a) * math.sqrt(252))
+
+
+def walked(returns, signals, low, high):
+    """Stopped returns of one symbol, row by row."""
+    out, held, growth, closed = [], 0, 1.0, False
+    for r, signal in zip(returns, signals):
+        own = held * (r or 0.0)
+        out.append(0.0 if closed else own)
+        growth *= 1 + own
+        closed = closed or growth - 1 <= -low or growth - 1 >= high
+        if signal != held:
+            held, growth, closed = signal, 1.0, False
+    return out
+
+
+@pytest.mark.parametrize("hold", [3, 40, 400, 5000])
+def test_stops_by_ranges(spark, hold):
+    rng = random.Random(hold)
+    items, want = [], {}
+    for symbol, n in (("A", 900), ("B", 300), ("C", 1)):
+        returns = [None] + [rng.gauss(0, 0.02) for _ in range(n - 1)]
+        signals = [(i // hold + 1) % 3 - 1 for i in range(n)]
+        if hold == 400:
+            returns[50:53] = [1.5] * min(3, n)
+            returns, signals = returns[:n], [-1] * n
+        items += [("m", symbol, i, r, s) for i, (r, s) in enumerate(zip(returns, signals))]
+        want |= {(symbol, i): v for i, v in enumerate(walked(returns, signals, 0.05, 0.15))}
+    rng.shuffle(items)
+    df = spark.createDataFrame(items, "model string, symbol string, n long, returns double, signal int")
+    for order in (None, RowOrder(("model", "symbol"), ("n",), ranges=37, smallest_sample=50)):
+        out = risk.stops(df, date="n", order=order).collect()
+        assert {(r["symbol"], r["n"]): r["stopped_returns"] for r in out} == pytest.approx(want)
+        assert len(out) == len(items)
+
+
+def test_limit_and_costs_by_ranges(spark):
+    rng = random.Random(5)
+    items = [("m", s, i, rng.gauss(0, 0.01), rng.random()) for s in "AB" for i in range(500)]
+    df = spark.createDataFrame(items, "model string, symbol string, n long, returns double, weight double")
+    small = RowOrder(("model", "symbol"), ("n",), ranges=29, smallest_sample=50)
+    plain = risk.backtest_costs(df, date="n").orderBy("n").collect()
+    ranged = risk.backtest_costs(df, date="n", order=small).orderBy("n").collect()
+    assert [r["capital"] for r in ranged] == pytest.approx([r["capital"] for r in plain]) and len(plain) == 500
+    account = df.withColumn("model", df["symbol"])
+    plain, ranged = (risk.drawdown_limit(account, date="n", returns="returns", limit=0.1, order=o).orderBy("symbol", "n").collect()
+                     for o in (None, RowOrder(("model",), ("n",), ranges=29, smallest_sample=50)))
+    assert [r["limited_returns"] for r in ranged] == [r["limited_returns"] for r in plain]
+    assert 0 < sum(r["limited_returns"] == 0 for r in plain) < 1000
