@@ -8,13 +8,15 @@ letters. The probability of a word after its history is
 The first factor is a softmax whose features are hashed: the word before (n-gram), the classes of the two words before (n-gram), and the classes of the words
 two and three back (skip). The second is a softmax over the ``SHARES`` shares into which a hash deals the words of an ending, with hashed features of its own,
 each together with the class: the word before, the classes of the two words before (n-grams), and the word two back (skip). Weights are trained by gradient
-updates where the texts lie: every task runs AdaGrad mini-batches over its training texts from the common weights, and the tasks' updates are averaged, weighted
-by how often each feature was seen. The third factor is a smoothed unigram within the share. All are proper distributions, an unseen word of a share having one part.
+updates: training texts are dealt by key and text to trainers, each of which runs AdaGrad mini-batches over its texts, in order of key, from the common weights. The
+trainers' updates are averaged by a tree, weighted by how often each feature was seen. A trainer gets ``TRAINER_SHARE`` bytes of text for each byte of the weights, so
+that what all of them send grows with the text, and neither files nor partitions of the input change a score. The third factor is a smoothed unigram within the
+share. All are proper distributions, an unseen word of a share having one part.
 
-Counts cover the whole corpus. Documents are dealt into blocks by key; a block lists its distinct words with their training counts, a window function over
-the word hashes adds up, and each block gets back the counts of its own words by place in its list. The vocabulary is never in one place. What the driver holds: weights
-(``CLASSES`` for each row of a feature; the rows of the word feature grow with the root of the training tokens, as a vocabulary does), class totals and the frequent
-words.
+Counts cover the whole corpus. Documents are dealt into blocks by key and text; a block lists its distinct words with their training counts, a window function over
+the word hashes adds up, and each block gets back the counts of its own words by place in its list. The frequent words are those of the largest exact counts. The
+vocabulary is never in one place. What the driver holds: weights (``CLASSES`` for each row of a feature; the rows of the word feature grow with the root of the
+training tokens, as a vocabulary does), class totals and the frequent words. Rows alike in key and text share a block and a trainer.
 
 Defined cases: a null text is empty and has its end only. A null key counts as the text ''. With no training document every word is unknown; the class model is then uniform. Repeated rows
 count and are scored each by itself. An empty table gives an empty table. Other columns are not looked at.
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillbar.llm.frames import BLOCK_BYTES, block_of, blocks_for, settled
+from quillbar.llm.frames import BLOCK_BYTES, settled, width
 from quillbar.llm.words import U64, Texts, mix, signed, slices
 
 CLASSES = 64
@@ -37,6 +39,7 @@ FREQUENT = 31
 ENDINGS = CLASSES - 1 - FREQUENT
 SHARES = CLASSES
 KINDS = FREQUENT + 1 + ENDINGS * SHARES
+WORD_KINDS = ENDINGS * SHARES
 PAIRS = CLASSES * CLASSES
 BUCKETS = 4096
 FEATURES = 2 * PAIRS + BUCKETS
@@ -44,8 +47,9 @@ BATCH = 8192
 RATE = 0.3
 ROUNDS = 1
 SMOOTH = 0.1
-CANDIDATES = 256
 RUN = 8192
+TRAINER_SHARE = 4
+FAN = 8
 
 
 def buckets_for(tokens: float) -> int:
@@ -113,7 +117,8 @@ class Stream:
         return np.stack(out).astype(np.int32)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(values))[self.first])
+        """Sums by text, each over its own tokens alone: every text has its end."""
+        return np.add.reduceat(values.astype(float), self.first[:-1]) if len(self.doc) else np.zeros(0)
 
 
 def endings(texts: Texts) -> np.ndarray:
@@ -165,53 +170,22 @@ class Trainer:
             self.seen[rows] += count
 
 
-def overview(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The frequent words (hashes, sorted) and the training tokens of each class and of each share of an ending, from one pass over the texts.
-
-    Tasks send their most frequent words only, which may miss a word that no task finds frequent: it stays in the class of its ending, and all scores stay exact.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.zeros(ENDINGS * SHARES + 1, dtype=np.int64)
-        best: dict[int, tuple[int, int]] = {}
-        for batch in batches:
-            trains = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for low, high, texts in slices(batch.column(0)):
-                use = trains[low:high]
-                take = use[texts.doc]
-                hashes = texts.hashes(lower=True)[take]
-                kind = endings(texts)[take] * SHARES + share_of(hashes)
-                tokens[0] += int(use.sum())
-                tokens[1:] += np.bincount(kind, minlength=ENDINGS * SHARES)
-                words, sample, counts = np.unique(hashes, return_index=True, return_counts=True)
-                top = np.argsort(-counts, kind="stable")[:4 * CANDIDATES]
-                for h, c, k in zip(words[top].tolist(), counts[top].tolist(), kind[sample[top]].tolist()):
-                    best[h] = (best.get(h, (0, 0))[0] + c, k)
-                if len(best) > 64 * CANDIDATES:
-                    best = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:16 * CANDIDATES])
-        words = sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:CANDIDATES]
-        yield pa.RecordBatch.from_pydict({
-            "word": signed(np.array([h for h, _ in words], dtype=U64)) if words else pa.array([], pa.int64()),
-            "kind": pa.array([k for _, (_, k) in words], pa.int32()), "n": pa.array([c for _, (c, _) in words], pa.int64())})
-        yield pa.RecordBatch.from_pydict({
-            "word": pa.nulls(len(tokens), pa.int64()), "kind": pa.array(np.arange(len(tokens)) - 1, pa.int32()), "n": pa.array(tokens)})
-
-    rows = docs.select(F.col(text), held_out(key).alias("held")).mapInArrow(run, "word long, kind int, n long")
-    totals = rows.groupBy("word", "kind").agg(F.sum("n").alias("n"))
-    words = totals.where("word is not null").orderBy(F.desc("n"), "word").limit(FREQUENT)
-    found = totals.where("word is null").unionByName(words).collect()
-    tokens, shares = np.zeros(CLASSES), np.zeros(ENDINGS * SHARES)
-    chosen = sorted((r for r in found if r["word"] is not None and r["n"] > 0), key=lambda r: r["word"] % 2**64)
-    for r in found:
-        if r["word"] is None and r["kind"] < 0:
-            tokens[0] += r["n"]
-        elif r["word"] is None:
-            shares[r["kind"]] += r["n"]
+def totals_of(counted: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent words (hashes, sorted), the training tokens of each class and of each share of an ending, and the distinct training words of
+    each share, the frequent ones left out of their shares."""
+    once = counted.where((F.col("role") % 2 == 1) & (F.col("total") > 0)).withColumn("kind", F.col("place") % WORD_KINDS)
+    top = once.orderBy(F.desc("total"), "word").select("word", "total", "kind").limit(FREQUENT).collect()
+    chosen = sorted(top, key=lambda r: r["word"] % 2**64)
+    tokens, shares, words = np.zeros(CLASSES), np.zeros(WORD_KINDS), np.zeros(WORD_KINDS)
+    for r in once.groupBy("kind").agg(F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect():
+        shares[r["kind"]], words[r["kind"]] = r["tokens"], r["words"]
+    tokens[0] = texts
     for i, r in enumerate(chosen):
-        tokens[i + 1] = r["n"]
-        shares[r["kind"]] -= r["n"]
-    shares = np.maximum(shares, 0).reshape(ENDINGS, SHARES)
-    tokens[FREQUENT + 1:] = shares.sum(axis=1)
-    return np.array([r["word"] % 2**64 for r in chosen], dtype=U64), tokens, shares
+        tokens[i + 1] = r["total"]
+        shares[r["kind"]] -= r["total"]
+        words[r["kind"]] -= 1
+    tokens[FREQUENT + 1:] = shares.reshape(ENDINGS, SHARES).sum(axis=1)
+    return np.array([r["word"] % 2**64 for r in chosen], dtype=U64), tokens, shares.reshape(ENDINGS, SHARES), words
 
 
 def start(tokens: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -227,24 +201,24 @@ def buckets_of(weights: np.ndarray) -> int:
     return (len(weights) - 2 * PAIRS - ENDINGS) // 4
 
 
-def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The weights after one pass of gradient updates over all training texts."""
-    context = docs.sparkSession.sparkContext
+def trained(rows: DataFrame, text_bytes: int, frequent: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights after one pass of gradient updates over all training texts of ``rows`` (``key, text, held``)."""
+    context = rows.sparkSession.sparkContext
     shared = context.broadcast(weights)
     buckets = buckets_of(weights)
+    trainers = max(1, math.ceil(text_bytes / (TRAINER_SHARE * weights.nbytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         trainer = Trainer(shared.value)
         for batch in batches:
-            trains = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for low, high, texts in slices(batch.column(0)):
+            number = batch.column(1)[0].as_py() if len(batch) else number
+            for _, _, texts in slices(batch.column(0)):
                 stream = Stream(texts, frequent)
-                take = np.flatnonzero(trains[low:high][stream.doc])
                 features = stream.features(buckets)
-                for at in range(0, len(take), BATCH):
-                    part = take[at:at + BATCH]
-                    trainer.learn(features[:, part], stream.cls[part])
-                take = take[stream.shared[take]]
+                for at in range(0, len(stream.cls), BATCH):
+                    trainer.learn(features[:, at:at + BATCH], stream.cls[at:at + BATCH])
+                take = np.flatnonzero(stream.shared)
                 features = stream.share_features(buckets, take)
                 for at in range(0, len(take), BATCH):
                     trainer.learn(features[:, at:at + BATCH], stream.share[take[at:at + BATCH]])
@@ -258,19 +232,25 @@ def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights:
             # a few at a time: what is summed up is read in small batches, too
             for some in np.split(used, range(64, len(used), 64)):
                 parts = pa.FixedSizeListArray.from_arrays(pa.array(padded[some].ravel()), RUN).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), parts], names=["part", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number, dtype=np.int32)), parts],
+                                                 names=["part", "trainer", "v"])
 
     def add(table: pa.Table) -> pa.Table:
+        # in the order of the trainers, so that sums repeat to the last bit
+        table = table.sort_by("trainer")
         total = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, RUN).sum(axis=0, dtype=np.float64)
-        return pa.table({"part": table["part"][:1], "v": pa.array([total.astype(np.float32)], pa.list_(pa.float32()))})
-
-    schema = "part int, v array<float>"
-    updates = docs.select(F.col(text), held_out(key).alias("held")).mapInArrow(run, schema)
-    # two levels, so that many tasks' updates are added up in many places first
-    partly = updates.withColumn("salt", F.spark_partition_id() % 32).groupBy("part", "salt").applyInArrow(add, schema)
+        return pa.table({"part": table["part"][:1], "trainer": table["trainer"][:1], "v": pa.array([total.astype(np.float32)], pa.list_(pa.float32()))})
+
+    schema = "part int, trainer int, v array<float>"
+    trainer = F.pmod(F.xxhash64(F.lit("trainer"), "key", "text"), F.lit(trainers)).cast("int")
+    dealt = rows.where("not held").select("key", "text", trainer.alias("trainer")).repartitionById(trainers, "trainer")
+    updates = dealt.sortWithinPartitions("key", "text").select("text", "trainer").mapInArrow(run, schema)
+    while trainers > FAN:
+        trainers = math.ceil(trainers / FAN)
+        updates = updates.withColumn("trainer", F.floor(F.col("trainer") / FAN).cast("int")).groupBy("part", "trainer").applyInArrow(add, schema)
     size = len(weights) + weights.size
     flat = np.zeros(-(-size // RUN) * RUN, dtype=np.float32)
-    found = partly.groupBy("part").applyInArrow(add, schema).toArrow()
+    found = updates.groupBy("part").applyInArrow(add, schema).toArrow()
     for part, values in zip(found["part"].to_pylist(), found["v"]):
         flat[part * RUN:(part + 1) * RUN] = values.values.to_numpy()
     shared.unpersist()
@@ -278,17 +258,15 @@ def trained(docs: DataFrame, key: str, text: str, frequent: np.ndarray, weights:
     return weights + moved / np.maximum(seen, 1)[:, None]
 
 
-def _distinct(table: pa.Table, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of a block in order of hash, their training counts and kinds (class, and share of an ending)."""
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a block in order of hash, their training counts and kinds (ending, and share of it)."""
     hashes, kinds, train = [], [], []
     held = table["held"].to_numpy(zero_copy_only=False).astype(bool)
     for low, high, texts in slices(table["text"]):
-        stream = Stream(texts, frequent)
-        words = ~stream.is_end
-        named, sample, inverse = np.unique(stream.hash[words], return_index=True, return_inverse=True)
+        named, sample, inverse = np.unique(texts.hashes(lower=True), return_index=True, return_inverse=True)
         hashes.append(named)
-        kinds.append(stream.kind[words][sample])
-        train.append(np.bincount(inverse, weights=~held[low:high][stream.doc[words]], minlength=len(named)).astype(np.int64))
+        kinds.append(endings(texts)[sample] * SHARES + share_of(named))
+        train.append(np.bincount(inverse, weights=~held[low:high][texts.doc], minlength=len(named)).astype(np.int64))
     if not hashes:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     all_hashes = np.concatenate(hashes)
@@ -299,35 +277,34 @@ def _distinct(table: pa.Table, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``, logarithms to base 10."""
-    frequent, tokens, shares = overview(docs, key, text)
-    weights = start(tokens, shares)
-    if tokens.sum():
-        for _ in range(rounds):
-            weights = trained(docs, key, text, frequent, weights).astype(np.float32)
-
     def listed(group: tuple, table: pa.Table) -> pa.Table:
-        hashes, counts, kinds = _distinct(table, frequent)
+        hashes, counts, kinds = _distinct(table)
         return pa.table({"word": signed(hashes), "block": pa.array(np.full(len(hashes), group[0].as_py(), dtype=np.int32)),
-                         "place": np.arange(len(hashes)) * KINDS + kinds, "n": counts})
+                         "place": np.arange(len(hashes)) * WORD_KINDS + kinds, "n": counts})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), held_out(key).alias("held"))
-    dealt = rows.withColumn("block", block_of(blocks_for(rows, "text", block_bytes), "key", "text"))
+    trains = (~F.col("held")).cast("long")
+    size = rows.agg(F.coalesce(F.sum(trains), F.lit(0)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"),
+                    F.coalesce(F.sum(trains * F.octet_length("text")), F.lit(0)).alias("train_bytes")).first()
+    blocks = max(math.ceil(size["bytes"] / block_bytes), width(docs.sparkSession))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int"))
     by_word = Window.partitionBy("word")
+    # role: 1 for the first block that lists the word, and 2 more where other blocks have it in training texts, too
+    role = (F.col("block") == F.col("head")).cast("int") + 2 * (F.col("total") > F.col("n")).cast("int")
     counted = settled(dealt.groupBy("block").applyInArrow(listed, "word long, block int, place long, n long").withColumns(
-        {"total": F.sum("n").over(by_word), "head": F.min("block").over(by_word)}).select(
-        "block", "place", "total", (F.col("total") > F.col("n")).alias("elsewhere"), (F.col("block") == F.col("head")).alias("first")))
-    # of each kind: distinct training words and their tokens
-    found = counted.where("first and total > 0").groupBy((F.col("place") % KINDS).alias("kind")).agg(
-        F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens")).collect()
-    texts = int(tokens[0])
-    train_tokens = texts + sum(r["tokens"] for r in found)
-    distinct = (texts > 0) + sum(r["words"] for r in found)
+        {"total": F.sum("n").over(by_word), "head": F.min("block").over(by_word)}).select("word", "block", "place", "total", role.alias("role")))
+    texts = int(size["texts"])
+    frequent, tokens, shares, words = totals_of(counted, texts)
+    weights = start(tokens, shares)
+    if texts:
+        for _ in range(rounds):
+            weights = trained(rows, size["train_bytes"], frequent, weights).astype(np.float32)
+    train_tokens = int(tokens.sum())
+    distinct = (texts > 0) + len(frequent) + int(words.sum())
     whole = math.log10(train_tokens + SMOOTH * (distinct + 1))
     end = math.log10(texts + SMOOTH)
-    sizes = np.full(KINDS, SMOOTH)
-    for r in found:
-        sizes[r["kind"]] = r["tokens"] + SMOOTH * (r["words"] + 1)
-    off = np.log10(sizes)
+    off = np.zeros(KINDS)
+    off[FREQUENT + 1:] = np.log10(shares.ravel() + SMOOTH * (words + 1))
     known_end = int(texts > 0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -339,8 +316,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         return np.log10(np.maximum(out, 1e-30).astype(np.float64))
 
     def score(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        hashes, counts, _ = _distinct(table, frequent)
-        counts[replies["place"].to_numpy() // KINDS] = replies["total"].to_numpy()
+        hashes, counts, _ = _distinct(table)
+        counts[replies["place"].to_numpy() // WORD_KINDS] = replies["total"].to_numpy()
         model = shared.value
         buckets = buckets_of(model)
         out = {name: [np.zeros(0, kind)] for name, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
@@ -363,5 +340,5 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
                          "train_tokens": np.full(len(table), train_tokens, dtype=np.int64), "base_score": done["base_score"], "score": done["score"]})
 
     schema = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = counted.where("elsewhere").select("block", "place", "total")
+    replies = counted.where("role >= 2").select("block", "place", "total")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)

@@ -547,10 +547,32 @@ def test_word_rows_grow_with_the_corpus(spark):
     stream = maxent.Stream(part, np.zeros(0, np.uint64))
     used = [len(np.unique(stream.features(n)[0])) for n in (maxent.BUCKETS, 1 << 17)]
     assert used[1] > 2 * used[0] and stream.features(1 << 17).max() < 2 * maxent.PAIRS + (1 << 17)
-    # words of falling frequency: each of the first 31 is a class by itself
-    rows = [(i, " ".join(f"often{k}" for k in range(40) if i % (k + 1) == 0)) for i in range(400)]
-    frequent, tokens, _ = maxent.overview(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    assert len(frequent) == 31 and len(tokens) == 64
+
+
+def test_frequent_words_are_those_of_the_largest_counts(spark, monkeypatch):
+    """Thousands of words that are frequent in one place each do not hide one that is met a little everywhere."""
+    seen = []
+    start = maxent.start
+    monkeypatch.setattr(maxent, "start", lambda tokens, shares: seen.append((tokens, shares)) or start(tokens, shares))
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(50)] * 3 + ["rare"] * 2 + [f"often{k}" for k in range(40) if i % (k + 1) == 0])) for i in range(400)]
+    maxent.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), block_bytes=1 << 12)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in t.split())
+    tokens, shares = seen[0]
+    assert sorted(tokens[1:32]) == sorted(c for _, c in counts.most_common(31))
+    assert tokens[0] == len(train) and tokens.sum() == len(train) + sum(counts.values()) and shares.min() >= 0
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    twice = docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] % 3))
+    one = sorted(tuple(r) for r in maxent.scores(twice.coalesce(1)).collect())
+    assert sorted(tuple(r) for r in maxent.scores(twice.repartition(8)).collect()) == one
+    # many trainers, added up by a tree of several levels
+    monkeypatch.setattr(maxent, "TRAINER_SHARE", 5e-4)
+    many = sorted(tuple(r) for r in maxent.scores(twice.repartition(5)).collect())
+    assert many == sorted(tuple(r) for r in maxent.scores(twice.coalesce(1)).collect())
+    assert [r[:6] for r in many] == [r[:6] for r in one] and [r[6] for r in many] != [r[6] for r in one]
 
 
 def test_probabilities_sum_to_one():
