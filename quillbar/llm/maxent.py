@@ -134,9 +134,11 @@ def endings(texts: Texts) -> np.ndarray:
 
 
 def probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[0]]
+    # places are in range; 'clip' only spares a checked copy
+    logits = weights.take(features[0], axis=0, mode="clip")
+    part = np.empty_like(logits)
     for f in features[1:]:
-        logits += weights[f]
+        logits += weights.take(f, axis=0, mode="clip", out=part)
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
@@ -158,15 +160,23 @@ class Trainer:
         error[np.arange(n), cls] -= 1
         flat, across = error.ravel(), np.arange(CLASSES)
         for f in features:
-            rows, own = np.unique(f, return_inverse=True)
-            step = np.bincount((own[:, None] * CLASSES + across).ravel(), weights=flat, minlength=len(rows) * CLASSES)
+            low = f.min()
+            counts = np.bincount(f - low)
+            rows = np.flatnonzero(counts)
+            count = counts[rows].astype(np.float32)
+            place = np.zeros(len(counts), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            step = np.bincount((place[f - low][:, None] * CLASSES + across).ravel(), weights=flat, minlength=len(rows) * CLASSES)
             step = step.reshape(len(rows), CLASSES).astype(np.float32)
-            count = np.bincount(own).astype(np.float32)
+            rows += low
             # sums of a batch grow with the feature's tokens; their noise with the root
             step /= np.sqrt(count)[:, None]
-            squares = self.squares[rows] + step * step
+            squares = self.squares.take(rows, axis=0, mode="clip")
+            squares += step * step
             self.squares[rows] = squares
-            self.weights[rows] -= RATE * step / np.sqrt(squares)
+            step /= np.sqrt(squares, out=squares)
+            step *= RATE
+            self.weights[rows] -= step
             self.seen[rows] += count
 
 
@@ -258,27 +268,29 @@ def trained(rows: DataFrame, text_bytes: int, frequent: np.ndarray, weights: np.
     return weights + moved / np.maximum(seen, 1)[:, None]
 
 
-def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of a block in order of hash, their training counts and kinds (ending, and share of it)."""
-    hashes, kinds, train = [], [], []
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct words of a block in order of hash, their training counts and kinds (ending, and share of it), and for each slice of the texts
+    the place of every word in the list."""
+    hashes, kinds, train, places = [], [], [], []
     held = table["held"].to_numpy(zero_copy_only=False).astype(bool)
     for low, high, texts in slices(table["text"]):
         named, sample, inverse = np.unique(texts.hashes(lower=True), return_index=True, return_inverse=True)
         hashes.append(named)
         kinds.append(endings(texts)[sample] * SHARES + share_of(named))
         train.append(np.bincount(inverse, weights=~held[low:high][texts.doc], minlength=len(named)).astype(np.int64))
+        places.append(inverse.astype(np.int32))
     if not hashes:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    all_hashes = np.concatenate(hashes)
-    named, sample, inverse = np.unique(all_hashes, return_index=True, return_inverse=True)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    named, sample, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     counts = np.bincount(inverse, weights=np.concatenate(train), minlength=len(named)).astype(np.int64)
-    return named, counts, np.concatenate(kinds)[sample]
+    own = np.split(inverse, np.cumsum([len(h) for h in hashes])[:-1])
+    return named, counts, np.concatenate(kinds)[sample], [to[place] for to, place in zip(own, places)]
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``, logarithms to base 10."""
     def listed(group: tuple, table: pa.Table) -> pa.Table:
-        hashes, counts, kinds = _distinct(table)
+        hashes, counts, kinds, _ = _distinct(table)
         return pa.table({"word": signed(hashes), "block": pa.array(np.full(len(hashes), group[0].as_py(), dtype=np.int32)),
                          "place": np.arange(len(hashes)) * WORD_KINDS + kinds, "n": counts})
 
@@ -316,16 +328,16 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         return np.log10(np.maximum(out, 1e-30).astype(np.float64))
 
     def score(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        hashes, counts, _ = _distinct(table)
+        _, counts, _, places = _distinct(table)
         counts[replies["place"].to_numpy() // WORD_KINDS] = replies["total"].to_numpy()
         model = shared.value
         buckets = buckets_of(model)
         out = {name: [np.zeros(0, kind)] for name, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
-        for _, _, part in slices(table["text"]):
+        for place, (_, _, part) in zip(places, slices(table["text"])):
             stream = Stream(part, frequent)
             c = np.zeros(len(stream.hash), dtype=np.int64)
             words = ~stream.is_end
-            c[words] = counts[np.searchsorted(hashes, stream.hash[words])]
+            c[words] = counts[place]
             logs = np.full(len(c), end)
             logs[words] = np.log10(c[words] + SMOOTH)
             model_logs = chances(model, stream.features(buckets), stream.cls)
