@@ -63,6 +63,17 @@ def score_logistic(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
     return scored.select(key, class_name(F.col("_best")).alias("y_pred"), *p)
 
 
+def _least_count(words: DataFrame, most: int) -> int:
+    """The count from which on there are at most ``most`` words. There are few different counts, as they sum up to the tokens."""
+    kept, least = 0, None
+    for row in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        kept += row["words"]
+        if kept > most:
+            return row["n"] + 1 if least is None else least
+        least = row["n"]
+    return least or 0
+
+
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing, as two count tables.
 
@@ -94,9 +105,7 @@ class NaiveBayes:
         priors = sizes.select(*[F.when(F.col(c) > 0, F.ln(F.col(c) / every)).alias(f"l_{c}") for c in LABELS])
         if total["v"] <= broadcast_rows:
             return cls(words, priors)
-        # A word above this count is one of at most ``broadcast_rows`` such words.
-        tokens = sum(total[f"t_{c}"] for c in LABELS)
-        return cls(words, priors, words.where(F.col("n") > tokens / broadcast_rows))
+        return cls(words, priors, words.where(F.col("n") >= _least_count(words, broadcast_rows)))
 
     def _summed(self, tokens: DataFrame, key: str) -> DataFrame:
         """Summed log likelihoods per row. A small model is broadcast, so rows are summed where
@@ -107,12 +116,14 @@ class NaiveBayes:
         if self.hot_words is None:
             found = tokens.join(F.broadcast(model), "token", "left")
             return found.groupBy(key).agg(*[F.sum(n).alias(f"_s_{n}") for n in likelihoods])
-        counted = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n"))
-        seen = counted.join(F.broadcast(self.hot_words.drop("n")), "token", "left")
-        hot = seen.where(F.col(likelihoods[0]).isNotNull())
-        rare = seen.where(F.col(likelihoods[0]).isNull()).select(key, "token", "_n").join(model, "token", "left")
-        found = hot.unionByName(rare)
-        return found.groupBy(key).agg(*[F.sum(F.col("_n") * F.col(n)).alias(f"_s_{n}") for n in likelihoods])
+        # frequent words are summed where they are; of a row only its sums and its rare words are left
+        seen = tokens.join(F.broadcast(self.hot_words.drop("n")), "token", "left")
+        rare = F.when(F.col(likelihoods[0]).isNull(), F.col("token")).alias("token")
+        left = materialize(seen.groupBy(F.col(key), rare).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in likelihoods]))
+        met = left.where("token is not null").select(key, "token", "_n").join(model, "token").select(
+            key, *[(F.col("_n") * F.col(n)).alias(n) for n in likelihoods])
+        found = left.select(key, *likelihoods).unionByName(met)
+        return found.groupBy(key).agg(*[F.sum(n).alias(f"_s_{n}") for n in likelihoods])
 
     def score(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """``key, y_pred, p_*, score_*``; the scores are joint log likelihoods."""

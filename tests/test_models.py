@@ -86,6 +86,18 @@ def test_naive_bayes_with_a_large_vocabulary(spark, train, limit):
         assert [v if isinstance(v, str) else pytest.approx(v) for v in x] == list(y)
 
 
+def test_naive_bayes_moves_only_rare_words(spark, train, monkeypatch):
+    written = []
+    monkeypatch.setattr(models, "materialize", lambda df: written.append(df) or df)
+    df = texts(spark, *["market " * 50 + "growth"] * 20, "strange")
+    fitted = models.NaiveBayes.fit(train.union(train.where("label = 'positive'")), "text", "label", broadcast_rows=12)
+    assert 4 < fitted.hot_words.count() <= 12
+    hot = {r["token"] for r in fitted.hot_words.collect()}
+    fitted.score(df, "id", "text").collect()
+    moved = [r["token"] for r in written[-1].collect() if r["token"] is not None]
+    assert "_n" in written[-1].columns and "strange" in moved and not hot & set(moved) and len(moved) <= 21
+
+
 def test_missing_class_never_wins(spark, train):
     fitted = models.NaiveBayes.fit(train.where("label != 'neutral'"), "text", "label")
     got = fitted.score(texts(spark, "market"), "id", "text").first()
