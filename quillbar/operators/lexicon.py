@@ -17,6 +17,7 @@ from quillbar.functions.text import clean_text, tokenize
 
 LOOKUP_ROWS = 200_000
 LOOKUP_BYTES = 8 << 20
+IN_ROW_WORDS = 10_000
 
 
 def lookup(table: DataFrame, most_rows: int = LOOKUP_ROWS, most_bytes: int = LOOKUP_BYTES) -> tuple[DataFrame, bool]:
@@ -32,6 +33,17 @@ def lookup(table: DataFrame, most_rows: int = LOOKUP_ROWS, most_bytes: int = LOO
     return table.sparkSession.createDataFrame(found, table.schema), True
 
 
+def few_words(table: DataFrame, column: str = "token", most_words: int = IN_ROW_WORDS) -> list[str] | None:
+    """The distinct words of a short list, which rows can look up by themselves; None for a longer one."""
+    found = table.select(column).where(F.col(column).isNotNull()).limit(most_words + 1).toArrow()
+    return None if found.num_rows > most_words else sorted(set(found.column(0).to_pylist()))
+
+
+def hit_places(tokens: Column, words: Sequence[str]) -> Column:
+    """The places of the tokens that are among the words."""
+    return F.array_compact(F.transform(tokens, lambda t, i: F.when(t.isin(list(words)), i)))
+
+
 def join_words(words: DataFrame, lexicon: DataFrame, most_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Look words up. A lexicon of checked size is broadcast, so that no word moves; with a larger one words meet by shuffle, and adaptive
     execution splits the frequent ones."""
@@ -54,26 +66,41 @@ def label_by_cut(score: Column, cut: float = fixed.VALENCE_CUT) -> Column:
 
 
 def _word_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``key, token`` and the lexicon columns, one row per token."""
-    words = with_tokens(df, key, text).select(key, F.explode_outer("_tokens").alias("token"))
-    return join_words(words, lexicon.select("token", *columns))
+    """``key, token`` and the lexicon columns, one row per token; of a short lexicon only for tokens that are in it, or one without a token."""
+    lexicon = lexicon.select("token", *columns)
+    words, tokens = few_words(lexicon), F.col("_tokens")
+    if words is not None:
+        tokens = F.filter(tokens, lambda t: t.isin(words))
+    return join_words(with_tokens(df, key, text).select(key, F.explode_outer(tokens).alias("token")), lexicon)
 
 
 def _word_hits_in_context(df: DataFrame, key: str, text: str, lexicon: DataFrame, columns: Sequence[str],
                           negations: Sequence[str], boosters: dict[str, float], carry: Sequence[str] = ()) -> DataFrame:
-    """``_word_hits`` with ``_v``, the word's valence after boosters and negations before it.
+    """``_word_hits`` with ``_v``, the word's valence after boosters and negations before it, and ``_count``, which sums up to the number of tokens.
 
-    The three tokens before are taken from the row's own array: no window, no shuffle.
+    The three tokens before are taken from the row's own array: no window, no shuffle. With a short lexicon only tokens
+    that are in it become rows; the first of them, or the one row without a token, counts all tokens of the text.
     """
     tokens = F.col("_tokens")
-    placed = with_tokens(df, key, text, carry=carry).select(key, *carry, F.inline_outer(F.transform(
-        tokens, lambda t, i: F.struct(
+    lexicon = lexicon.select("token", *columns)
+    words = few_words(lexicon)
+    rows = with_tokens(df, key, text, carry=carry)
+
+    def placed(t: Column, i: Column, count: Column) -> Column:
+        return F.struct(
             t.alias("token"),
             F.when(i >= 1, F.get(tokens, i - 1)).alias("b1"),
             F.when(i >= 2, F.get(tokens, i - 2)).alias("b2"),
             F.when(i >= 3, F.get(tokens, i - 3)).alias("b3"),
-        ))))
-    hits = join_words(placed, lexicon.select("token", *columns))
+            count.alias("_count"))
+
+    if words is None:
+        found = rows.select(key, *carry, F.inline_outer(F.transform(tokens, lambda t, i: placed(t, i, F.when(t.isNotNull(), 1).otherwise(0)))))
+    else:
+        found = rows.withColumns({"_places": hit_places(tokens, words), "_size": F.size(F.array_compact(tokens))}).select(
+            key, *carry, "_size", F.inline_outer(F.transform("_places", lambda i, n: placed(F.get(tokens, i), i, F.when(n == 0, F.col("_size")).otherwise(0)))))
+        found = found.withColumn("_count", F.coalesce("_count", "_size")).drop("_size")
+    hits = join_words(found, lexicon)
 
     def boost(name: str, weight: float) -> Column:
         out = F.lit(0.0)
@@ -103,7 +130,7 @@ def _valence_sums() -> list[Column]:
         F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"),
         F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_up"),
         F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_down"),
-        F.count_if(F.col("token").isNotNull() & (F.coalesce(v, F.lit(0.0)) == 0)).cast("double").alias("_flat"),
+        (F.coalesce(F.sum("_count"), F.lit(0)) - F.count_if(v != 0)).cast("double").alias("_flat"),
     ]
 
 

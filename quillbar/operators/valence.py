@@ -1,7 +1,7 @@
 """Rule-based valence with all published rules (Hutto and Gilbert, 2014): capitals, boosters, negation, contrast, idioms, punctuation.
 
-Words keep their case and their inner punctuation. Each word is laid out with the words around it, all from the row's own array; words meet the
-lexicon, and the few that are in it look up their neighbours, too. Sums per row are taken before anything is shuffled, so what
+Words keep their case and their inner punctuation. Each word (with a short lexicon, each word that is in it) is laid out with the words around it, all
+from the row's own array; words meet the lexicon, and the few that are in it look up their neighbours, too. Sums per row are taken before anything is shuffled, so what
 moves is one small record per row. Idioms and phrases are sought only in rows whose text holds one of them: a single pattern says so.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillbar.functions import fixed_values as fixed
 from quillbar.functions.text import SPACE
-from quillbar.operators.lexicon import LOOKUP_ROWS, _with_compound, label_by_cut, lookup
+from quillbar.operators.lexicon import IN_ROW_WORDS, LOOKUP_ROWS, _with_compound, few_words, hit_places, label_by_cut, lookup
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NEAR = 3
@@ -23,13 +23,19 @@ NEAR = 3
 def rule_words(text: Column) -> Column:
     """The white-space separated words, without punctuation at their ends where that leaves more than two characters."""
     found = F.coalesce(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
-    bare = F.transform(found, lambda w: F.struct(w.alias("w"), F.btrim(w, F.lit(PUNCTUATION)).alias("b")))
-    return F.transform(bare, lambda x: F.when(F.char_length(x["b"]) > 2, x["b"]).otherwise(x["w"]))
+    marks = list(PUNCTUATION)
+
+    def bare(w: Column) -> Column:
+        cut = F.btrim(w, F.lit(PUNCTUATION))
+        return F.when(F.left(w, F.lit(1)).isin(marks) | F.right(w, F.lit(1)).isin(marks), F.when(F.char_length(cut) > 2, cut).otherwise(w)).otherwise(w)
+
+    return F.transform(found, bare)
 
 
 def shouted(word: Column) -> Column:
     """Whether a word has letters, and all of them are capitals."""
-    return (F.upper(word) == word) & (F.lower(word) != word)
+    # a word that begins with a small letter of ASCII has one that is no capital
+    return ~F.left(word, F.lit(1)).between("a", "z") & (F.upper(word) == word) & (F.lower(word) != word)
 
 
 def emphasis(text: Column) -> Column:
@@ -49,9 +55,9 @@ def _has_phrase(text: Column, phrases: Sequence[str]) -> Column:
     return F.coalesce(F.rlike(F.lower(text), F.lit(f"(?:{wanted})")), F.lit(False))
 
 
-def _layout(df: DataFrame, key: str, text: str, phrases: Sequence[str]) -> DataFrame:
-    """One row per word: ``token`` (lower case), ``caps``, the words before (``b1``...) and after (``a1, a2``), whether those before are in
-    capitals, the contrast factor, and what holds for the whole row."""
+def _layout(df: DataFrame, key: str, text: str, phrases: Sequence[str], words: Sequence[str] | None = None) -> DataFrame:
+    """One row per word, or per word that is among ``words``: ``token`` (lower case), ``caps``, the words before (``b1``...) and after (``a1, a2``), whether those before are in
+    capitals, the contrast factor, ``_count``, which sums up to the number of words, and what holds for the whole row."""
     rows = df.select(key, F.col(text).alias("_text"), rule_words(F.col(text)).alias("_w"))
     rows = rows.select(key, "_w", F.transform("_w", F.lower).alias("_l"), emphasis(F.col("_text")).alias("_emph"),
                        _has_phrase(F.col("_text"), phrases).alias("_phrase"))
@@ -59,14 +65,20 @@ def _layout(df: DataFrame, key: str, text: str, phrases: Sequence[str]) -> DataF
     rows = rows.withColumns({"_some": (loud > 0) & (loud < F.size("_w")), "_but": F.array_position("_l", F.lit("but"))})
     low, word = F.col("_l"), F.col("_w")
 
-    def place(w: Column, i: Column) -> Column:
+    def place(w: Column, i: Column, count: Column) -> Column:
         before = [F.when(i >= k, F.get(low, i - k)).alias(f"b{k}") for k in range(1, NEAR + 1)]
         loud_before = [F.when(i >= k, F.col("_some") & shouted(F.get(word, i - k))).alias(f"c{k}") for k in range(1, NEAR + 1)]
         turn = F.when((F.col("_but") == 0) | (i + 1 == F.col("_but")), 1.0).when(i + 1 < F.col("_but"), fixed.BEFORE_BUT).otherwise(fixed.AFTER_BUT)
         return F.struct(F.get(low, i).alias("token"), (F.col("_some") & shouted(w)).alias("caps"), *before, *loud_before,
-                        F.get(low, i + 1).alias("a1"), F.get(low, i + 2).alias("a2"), turn.alias("turn"))
+                        F.get(low, i + 1).alias("a1"), F.get(low, i + 2).alias("a2"), turn.alias("turn"), count.alias("_count"))
 
-    return rows.select(key, "_emph", "_phrase", F.inline_outer(F.transform(word, place)))
+    if words is None:
+        return rows.select(key, "_emph", "_phrase", F.inline_outer(F.transform(word, lambda w, i: place(w, i, F.lit(1)))))
+    # the first word of the lexicon, or the one row without a word, counts all words of the text
+    rows = rows.withColumns({"_places": hit_places(low, words), "_size": F.size("_w")})
+    out = rows.select(key, "_emph", "_phrase", "_size", F.inline_outer(F.transform(
+        "_places", lambda i, n: place(F.get(word, i), i, F.when(n == 0, F.col("_size")).otherwise(0)))))
+    return out.withColumn("_count", F.coalesce("_count", "_size")).drop("_size")
 
 
 def _known(hits: DataFrame, lexicon: DataFrame, name: str, word: Column) -> DataFrame:
@@ -148,10 +160,12 @@ def valence_rules(df: DataFrame, key: str, text: str, lexicon: DataFrame, negati
     """
     boosters = fixed.BOOSTER_WORDS if boosters is None else boosters
     idioms = fixed.IDIOMS if idioms is None else idioms
-    table, small = lookup(lexicon.select("token", "valence"), most_rows)
+    lexicon = lexicon.select("token", "valence")
+    words = few_words(lexicon, most_words=min(most_rows, IN_ROW_WORDS))
+    table, small = lookup(lexicon, most_rows)
     table = F.broadcast(table) if small else table
     phrases = [*idioms, *[b for b in boosters if " " in b]]
-    hits = _layout(df, key, text, phrases).join(table, "token", "left")
+    hits = _layout(df, key, text, phrases, words).join(table, "token", "left")
     found = F.col("valence").isNotNull()
     for k in range(1, NEAR + 1):
         hits = _known(hits, table, f"in_b{k}", F.when(found, F.col(f"b{k}")))
@@ -162,7 +176,7 @@ def valence_rules(df: DataFrame, key: str, text: str, lexicon: DataFrame, negati
         F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"), F.max("_emph").alias("_emph"),
         F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_up"),
         F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_down"),
-        F.count_if(F.col("token").isNotNull() & (F.coalesce(v, F.lit(0.0)) == 0)).cast("double").alias("_flat"))
+        (F.coalesce(F.sum("_count"), F.lit(0)) - F.count_if(v != 0)).cast("double").alias("_flat"))
     more = F.col("_emph")
     sums = sums.withColumns({
         "_s": F.col("_s") + F.signum("_s") * more,

@@ -82,3 +82,16 @@ def test_no_word_moves(spark, ratings):
     df = spark.range(5).selectExpr("id", "'a good day' as text")
     plan = valence.valence_rules(df, "id", "text", ratings)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "hashpartitioning(token" not in plan and "SortMergeJoin" not in plan
+
+
+def test_only_words_of_the_lexicon_become_rows(spark, ratings):
+    df = spark.createDataFrame([(1, "plain words only " * 500 + "not GOOD but bad"), (2, "nothing"), (3, None)], "id long, text string")
+    rows = valence._layout(df, "id", "text", [], ["good", "bad"]).collect()
+    assert [(r["id"], r["token"], r["b1"], r["turn"], r["_count"]) for r in rows] == [
+        (1, "good", "not", 0.5, 1504), (1, "bad", "but", 1.5, 0), (2, None, None, None, 1), (3, None, None, None, 0)]
+    every = valence._layout(df, "id", "text", []).collect()
+    assert len(every) == 1506 and sum(r["_count"] or 0 for r in every) == 1505
+    repeated = valence.valence_rules(df.union(df), "id", "text", ratings)
+    whole = valence.valence_rules(df.union(df), "id", "text", ratings, most_rows=3)
+    for a, b in zip(repeated.orderBy("id").collect(), whole.orderBy("id").collect()):
+        assert a["p_neutral"] == pytest.approx(b["p_neutral"]) and a["compound"] == pytest.approx(b["compound"])
