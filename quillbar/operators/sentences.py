@@ -23,24 +23,43 @@ from quillbar.operators.lexicon import LOOKUP_ROWS, lookup
 from quillbar.session import materialize
 
 OPENERS, CLOSERS = r"""["'(\[{]""", r"""["')\]}]"""
+OPENING, CLOSING = "\"'([{", "\"')]}"
 
 
 def _parts(text: Column) -> Column:
     """The words of a text: ``w`` as it stands, ``core`` without quotes and brackets around it, and what is known of the core."""
     words = F.coalesce(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
-    cores = F.transform(words, lambda w: F.struct(w.alias("w"), F.regexp_replace(w, f"^{OPENERS}+|{CLOSERS}+$", "").alias("core")))
+    return F.transform(F.transform(words, lambda w: F.struct(w.alias("w"), _core(w).alias("core"))), _known)
 
-    def known(x: Column) -> Column:
-        core = x["core"]
-        dotted = F.endswith(core, F.lit(".")) & ~F.endswith(core, F.lit(".."))
-        bare = F.when(dotted, F.substring(core, F.lit(1), F.char_length(core) - 1)).otherwise(core)
-        return F.struct(
-            x["w"].alias("w"), core.alias("core"), F.lower(bare).alias("base"), dotted.alias("dotted"),
-            F.rlike(core, F.lit(r"^\p{Lu}")).alias("cap"), F.rlike(core, F.lit(r"^\p{Ll}")).alias("small"),
-            F.rlike(core, F.lit(r"[.!?]$")).alias("stop"),
-            (F.rlike(core, F.lit(r"^\p{Lu}\.$")) | F.endswith(core, F.lit(".."))).alias("sure"))
 
-    return F.transform(cores, known)
+def _core(word: Column) -> Column:
+    """The word without quotes and brackets around it."""
+    marked = F.left(word, F.lit(1)).isin(list(OPENING)) | F.right(word, F.lit(1)).isin(list(CLOSING))
+    return F.when(marked, F.regexp_replace(word, f"^{OPENERS}+|{CLOSERS}+$", "")).otherwise(word)
+
+
+def _letter(core: Column, first: str, last: str, pattern: str) -> Column:
+    """Whether a word begins with a letter of a kind; only letters beyond ASCII need the pattern."""
+    head = F.left(core, F.lit(1))
+    return F.when(head < "\x80", head.between(first, last)).otherwise(F.rlike(core, F.lit(pattern)))
+
+
+def _known(x: Column) -> Column:
+    core = x["core"]
+    point, dotted = F.endswith(core, F.lit(".")), _dotted(core)
+    bare = F.when(dotted, F.substring(core, F.lit(1), F.char_length(core) - 1)).otherwise(core)
+    return F.struct(
+        x["w"].alias("w"), core.alias("core"), F.lower(bare).alias("base"), dotted.alias("dotted"),
+        _letter(core, "A", "Z", r"^\p{Lu}").alias("cap"), _letter(core, "a", "z", r"^\p{Ll}").alias("small"),
+        _stops(core).alias("stop"), (point & (F.rlike(core, F.lit(r"^\p{Lu}\.$")) | F.endswith(core, F.lit("..")))).alias("sure"))
+
+
+def _dotted(core: Column) -> Column:
+    return F.endswith(core, F.lit(".")) & ~F.endswith(core, F.lit(".."))
+
+
+def _stops(core: Column) -> Column:
+    return F.right(core, F.lit(1)).isin(".", "!", "?")
 
 
 def word_types(parts: DataFrame) -> DataFrame:
@@ -93,15 +112,23 @@ def _inside(parts: DataFrame, key: Sequence[str], types: DataFrame, most_rows: i
     return held.groupBy(*key).agg(F.collect_list("place").alias("_held"))
 
 
-def _tokens(x: Column, last: Column) -> Column:
-    """Tokens of one word; inside a sentence an abbreviation keeps its period."""
-    at = F.instr(x["w"], x["core"])
-    before = F.substring(x["w"], F.lit(1), at - 1)
-    after = F.substring(x["w"], at + F.char_length(x["core"]), F.char_length(x["w"]))
-    whole = F.concat(F.regexp_extract_all(before, F.lit("."), F.lit(0)), F.array(x["core"]), F.regexp_extract_all(after, F.lit("."), F.lit(0)))
-    split = F.flatten(F.transform(tokenize(x["w"]), lambda t: F.when(
+def _abbreviated(word: Column) -> Column:
+    """The tokens of an abbreviation inside a sentence, which keeps its period."""
+    core = _core(word)
+    at = F.instr(word, core)
+    before = F.substring(word, F.lit(1), at - 1)
+    after = F.substring(word, at + F.char_length(core), F.char_length(word))
+    return F.concat(F.regexp_extract_all(before, F.lit("."), F.lit(0)), F.array(core), F.regexp_extract_all(after, F.lit("."), F.lit(0)))
+
+
+def _tokens(text: Column) -> Column:
+    """Tokens of some words joined by spaces."""
+    found = tokenize(text)
+    split = F.flatten(F.transform(found, lambda t: F.when(
         F.lower(t).isin(list(SPLIT_WORDS)), F.array(F.substring(t, 1, 3), F.substring(t, 4, 99))).otherwise(F.array(t))))
-    return F.when(x["dotted"] & ~last, whole).otherwise(split)
+    heads, tails = ({w[part] for w in SPLIT_WORDS} for part in (slice(1), slice(1, None)))
+    maybe = F.rlike(text, F.lit(f"(?i)[{''.join(sorted(heads))}](?:{'|'.join(sorted(tails))})"))
+    return F.when(maybe, split).otherwise(found)
 
 
 def tokenize_sentences(df: DataFrame, text: str, key: Sequence[str], into: str = "sentences", most_rows: int = LOOKUP_ROWS) -> DataFrame:
@@ -109,18 +136,25 @@ def tokenize_sentences(df: DataFrame, text: str, key: Sequence[str], into: str =
     key = list(key)
     parts = materialize(df.select(*key, _parts(F.col(text)).alias("_parts")))
     held = _inside(parts, key, materialize(word_types(parts)), most_rows)
+    # the result reads the texts again: a text is a fraction of all that is known of its words, and is what meets its record
     held = held.select(F.struct(*key).alias("_row"), "_held")
-    rows = parts.withColumn("_row", F.struct(*key)).join(held, "_row", "left").drop("_row")
-    stops = F.array_compact(F.transform("_parts", lambda x, i: F.when(x["stop"], i)))
-    ends = F.array_except(stops, F.coalesce("_held", F.array().cast("array<int>")))
-    rows = rows.withColumn("_ends", F.array_union(ends, F.array(F.size("_parts") - 1)))
+    rows = df.select(*key, F.col(text).alias("_text")).withColumn("_row", F.struct(*key)).join(held, "_row", "left").drop("_row")
+    words = F.coalesce(F.regexp_extract_all(F.col("_text"), F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
+    rows = rows.select(*key, words.alias("_words"), "_held")
+    stops = F.array_compact(F.transform("_words", lambda w, i: F.when(_stops(_core(w)), i)))
+    rows = rows.withColumn("_held", F.coalesce("_held", F.array().cast("array<int>")))
+    ends = F.array_except(stops, "_held")
+    rows = rows.withColumn("_ends", F.array_union(ends, F.array(F.size("_words") - 1)))
     rows = rows.withColumn("_cuts", F.arrays_zip(
         F.concat(F.array(F.lit(-1)), F.slice("_ends", F.lit(1), F.size("_ends") - 1)).alias("a"), F.col("_ends").alias("b")))
 
     def sentence(cut: Column) -> Column:
         size = cut["b"] - cut["a"]
-        words = F.slice(F.col("_parts"), cut["a"] + 2, size)
-        return F.flatten(F.transform(words, lambda x, j: _tokens(x, j == size - 1)))
+        words = F.slice(F.col("_words"), cut["a"] + 2, size)
+        inner = F.exists("_held", lambda i: (i > cut["a"]) & (i < cut["b"]))
+        apart = F.flatten(F.transform(words, lambda w, j: F.when(
+            (j < size - 1) & _dotted(_core(w)), _abbreviated(w)).otherwise(_tokens(w))))
+        return F.when(inner, apart).otherwise(_tokens(F.array_join(words, " ")))
 
     none = F.array().cast("array<array<string>>")
-    return rows.select(*key, F.when(F.size("_parts") > 0, F.transform("_cuts", sentence)).otherwise(none).alias(into))
+    return rows.select(*key, F.when(F.size("_words") > 0, F.transform("_cuts", sentence)).otherwise(none).alias(into))

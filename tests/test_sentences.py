@@ -50,3 +50,20 @@ def test_words_do_not_move_to_meet_abbreviations(spark, texts):
     df = spark.createDataFrame(texts, "id long, text string")
     plan = sentences.tokenize_sentences(df, "text", ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(base" not in plan and "hashpartitioning(next" not in plan
+
+
+def test_texts_meet_their_records_and_not_all_that_is_known_of_their_words(spark, texts):
+    df = spark.createDataFrame(texts, "id long, text string")
+    plan = sentences.tokenize_sentences(df, "text", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join LeftOuter" in line and "_row" in line)
+    below = plan[plan.index(join) + len(join):].split("Aggregate")[0]
+    assert "text#" in below and "_parts#" not in below and "regexp_extract_all" not in below
+
+
+def test_null_keys_and_words_beyond_ascii(spark, texts):
+    more = [(3000, "\u00c4rzte met dr. \u00d6zil (\u00e4 \u2160.) and Inc. too"), (3001, "Gonna go. CANNOT stop dr. Hale now"), (None, "Dr. Hale fell. It rose")]
+    df = spark.createDataFrame(texts[:320] + more, "id long, text string")
+    got = [r["sentences"] for r in sentences.tokenize_sentences(df, "text", ["id"]).where("id >= 3000 or id is null").collect()]
+    assert [["Dr.", "Hale", "fell", "."], ["It", "rose"]] in got
+    # a short word that is seen once, with a period, counts as an abbreviation
+    assert [["Gon", "na", "go.", "CAN", "NOT", "stop", "dr.", "Hale", "now"]] in got
