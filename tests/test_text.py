@@ -101,6 +101,20 @@ def test_a_surface_form_listed_twice_has_its_first_lemma(spark):
         assert lemmas.lemmatize(df, "tokens", exceptions, vocabulary, ["id"]).first()["lemmas"] == ["ax", "saw", "plain"]
 
 
+def test_short_dictionaries_move_no_text(spark):
+    rows = [(1, LEMMA_ROWS[0].split()), (1, ["mice", "o'\\s"]), (None, ["parties", None, "ies", "s", ""]), (2, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    short = lemmas.lemmatize(df, "tokens", *dictionaries(spark), ["id"])
+    assert "Exchange" not in short._jdf.queryExecution().executedPlan().toString()
+    assert [r["lemmas"] for r in short.collect()] == [
+        "stock bus box church woman party wolf gas a mouse glass it's".split(), ["mouse", "x"], ["party", None, "ies", "s", ""], None]
+    assert lemmas.few_changes(*dictionaries(spark), most_words=5) is None
+    # the words written out from the dictionaries are those that a look at the texts finds
+    words = df.where("id = 1").selectExpr("explode(tokens) as token").distinct()
+    found = {tuple(r) for r in lemmas.changed_words(words, *dictionaries(spark)).collect()}
+    assert found and found <= set(lemmas.few_changes(*dictionaries(spark)))
+
+
 def test_preprocess_all_steps(spark):
     df = spark.createDataFrame([(1, "ACME Stocks Rally! Read https://acme.example @desk")], "id long, headline string")
     out = lemmas.preprocess_lemmas(df, "headline", *dictionaries(spark), ["id"])
