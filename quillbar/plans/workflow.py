@@ -60,10 +60,9 @@ def compare_models(headlines: DataFrame, bars: DataFrame, lexicon: DataFrame, ne
     parts = time_split(labelled, "date", KEY, fractions, snap)
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     texts = headlines.select(KEY, "headline")
-    # Every text is cleaned and tokenized once, however many models read it.
-    tokens = with_tokens(texts, KEY, "headline").join(
-        parts.where("split <> 'val'").select(KEY, "sentiment_label", "split"), KEY)
-    tokens = materialize(tokens)
+    # Every text that a model reads is cleaned and tokenized once, however many do; what moves are texts, not their tokens.
+    read = texts.join(parts.where("split <> 'val'").select(KEY, "sentiment_label", "split"), KEY)
+    tokens = materialize(with_tokens(read, KEY, "headline", carry=["sentiment_label", "split"]))
     train_tokens, test_tokens = tokens.where("split = 'train'"), tokens.where("split = 'test'")
     test_texts = texts.join(test.select(KEY), KEY)
 

@@ -41,6 +41,15 @@ def test_small_lexicon_is_broadcast_and_a_large_one_is_not(spark, words):
     assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 2
 
 
+def test_only_words_of_a_short_lexicon_become_rows(spark, words):
+    df = texts(spark, "plain " * 300 + "not good, a loss", "", None, "nothing")
+    hits = lexicon._word_hits_in_context(df, "id", "text", words, ["valence"], inputs.NEGATIONS, inputs.BOOSTERS).collect()
+    assert sorted((r["id"], r["token"] or "", r["b1"], r["_count"]) for r in hits) == [
+        (0, "good", "not", 305), (0, "loss", "a", 0), (1, "", None, 0), (2, "", None, 0), (3, "", None, 1)]
+    assert lexicon._word_hits(df, "id", "text", words, ["polarity"]).count() == 5
+    assert lexicon.few_words(words, most_words=3) is None
+
+
 def valence(spark, words, *values):
     out = lexicon.valence(texts(spark, *values), "id", "text", words, inputs.NEGATIONS, inputs.BOOSTERS)
     return [out.where(F.col("id") == i).first() for i in range(len(values))]

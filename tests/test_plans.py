@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillbar.operators import align, bars, lexicon, summary
 from quillbar.operators.ordered import RowOrder, range_bounds
+from quillbar.plans import workflow
 from quillbar.session import materialize
 from quillbar.sources import inputs
 
@@ -65,3 +66,12 @@ def test_checkpoint_cuts_the_lineage(spark):
     out = materialize(spark.range(10).groupBy((F.col("id") % 2).alias("k")).count())
     assert "Exchange" not in plan(out) and out.count() == 2
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_texts_are_joined_before_they_are_tokenized(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(workflow, "materialize", lambda df: written.append(df) or materialize(df))
+    workflow.compare_models(inputs.headlines(spark, sf_dir), inputs.bars(spark, sf_dir), inputs.lexicon(spark), inputs.NEGATIONS,
+                            inputs.BOOSTERS, models=("polarity",))
+    plan = next(w for w in written if "_tokens" in w.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_tokens") < plan.index("Join Inner") and "regexp" not in plan[plan.index("Join Inner"):]
