@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 import statistics
 
 import pytest
@@ -118,3 +119,32 @@ def test_indicators_with_the_frame_scope_of_rsi(spark):
     want = {(r["symbol"], r["date"]): r["rsi_14d"] for r in bars.rsi(rows, scope="frame").collect()}
     got = {(r["symbol"], r["date"]): r["rsi_14d"] for r in bars.add_indicators(rows, rsi_scope="frame").collect()}
     assert got == want and any(v is not None for (s, d), v in got.items() if s == "B" and d.day < 10)
+
+
+def test_indicators_have_no_frame_that_is_gone_through_for_each_row(spark):
+    plan = bars.add_indicators(series(spark, [1.0, 2.0]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" in plan and not re.search(r"RowFrame, -\d+, currentrow", plan)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 30])
+def test_moving_equals_sliding_frames(spark, block):
+    rng = random.Random(7)
+    prices = [None if rng.random() < 0.02 else 1e6 + rng.random() for _ in range(150)] + [0.1] * 60
+    df = series(spark, prices, volumes=[rng.randrange(10**9) for _ in prices]).unionByName(series(spark, [3.5] * 6, "B"))
+    spec = bars.DAILY.window()
+    wanted = {f"{a.__name__}_{c}_{n}": (a, c, n) for a in (F.avg, F.stddev_samp) for c in ("close", "volume") for n in (2, 5, 7, 20, 50)}
+    got = bars.moving(df, spec, wanted, block).collect()
+    want = {(r["symbol"], r["date"]): r for r in df.withColumns({n: bars.full_window(*w[:2], spec, w[2]) for n, w in wanted.items()}).collect()}
+    assert len(got) == 216 and list(got[0].asDict()) == [*df.columns, *wanted]
+    for r in got:
+        for n in wanted:
+            other = want[r["symbol"], r["date"]][n]
+            assert r[n] == other if other is None else r[n] == pytest.approx(other, rel=1e-8, abs=1e-12)
+    flat = [r["stddev_samp_close_20"] for r in got if r["symbol"] == "A" and r["date"] > dt.date(2020, 1, 1) + dt.timedelta(days=2 * 170)]
+    assert flat and set(flat) == {0.0}
+
+
+def test_moving_keeps_decimals(spark):
+    df = series(spark, [float(i) for i in range(30)]).withColumn("close", F.col("close").cast("decimal(12,2)"))
+    got, want = (f(df, F.avg, "close", 20, "x") for f in (bars.rolling, lambda d, a, c, n, into: d.withColumn(into, bars.full_window(a, c, bars.DAILY.window(), n))))
+    assert got.schema == want.schema and column(got, "x") == column(want, "x")
