@@ -49,6 +49,8 @@ ROUNDS = 1
 SMOOTH = 0.1
 RUN = 8192
 TRAINER_SHARE = 4
+SLICE = 1 << 20
+"""Batches end with a slice of about this many bytes of text, so it is part of the model."""
 FAN = 8
 
 
@@ -223,7 +225,7 @@ def trained(rows: DataFrame, text_bytes: int, frequent: np.ndarray, weights: np.
         trainer = Trainer(shared.value)
         for batch in batches:
             number = batch.column(1)[0].as_py() if len(batch) else number
-            for _, _, texts in slices(batch.column(0)):
+            for _, _, texts in slices(batch.column(0), SLICE):
                 stream = Stream(texts, frequent)
                 features = stream.features(buckets)
                 for at in range(0, len(stream.cls), BATCH):
@@ -273,7 +275,7 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     the place of every word in the list."""
     hashes, kinds, train, places = [], [], [], []
     held = table["held"].to_numpy(zero_copy_only=False).astype(bool)
-    for low, high, texts in slices(table["text"]):
+    for low, high, texts in slices(table["text"], SLICE):
         named, sample, inverse = np.unique(texts.hashes(lower=True), return_index=True, return_inverse=True)
         hashes.append(named)
         kinds.append(endings(texts)[sample] * SHARES + share_of(named))
@@ -333,7 +335,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         model = shared.value
         buckets = buckets_of(model)
         out = {name: [np.zeros(0, kind)] for name, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
-        for place, (_, _, part) in zip(places, slices(table["text"])):
+        for place, (_, _, part) in zip(places, slices(table["text"], SLICE)):
             stream = Stream(part, frequent)
             c = np.zeros(len(stream.hash), dtype=np.int64)
             words = ~stream.is_end

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 """Texts are scanned in slices of about this many bytes (more where one text is longer), so that
 memory follows the slice and not the record batch."""
+KEPT_BYTES = 1 << 20
+"""Powers of the hash bases are kept for slices of up to this many bytes."""
 
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -48,7 +50,7 @@ def _powers_of(which: int, count: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             pair.append(np.multiply.accumulate(steps))
         have = (pair[0], pair[1])
-        if size == SLICE_BYTES + 1:
+        if size <= KEPT_BYTES + 1:
             _powers[which] = have
     return have
 
