@@ -14,7 +14,7 @@ def test_memory_of_a_scan_follows_a_small_slice():
         quality_rules.measure(texts)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 48 << 20
+    assert peak < 30 << 20
 
 
 def test_powers_for_larger_slices_are_kept_up_to_their_limit(monkeypatch):
