@@ -52,6 +52,12 @@ TRAINER_SHARE = 4
 SLICE = 1 << 20
 """Batches end with a slice of about this many bytes of text, so it is part of the model."""
 FAN = 8
+TURNS = 64
+NEAR = 1e15
+STRIP = 512
+"""Weights change so many rows at a time, which stay in a core's cache."""
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
 
 
 def buckets_for(tokens: float) -> int:
@@ -71,9 +77,9 @@ def share_of(hashes: np.ndarray) -> np.ndarray:
 class Stream:
     """The tokens of consecutive texts: their words and an end after each."""
 
-    def __init__(self, texts: Texts, frequent: np.ndarray):
+    def __init__(self, texts: Texts, frequent: np.ndarray, hashes: np.ndarray | None = None):
         n = len(texts.offsets) - 1
-        hashes = texts.hashes(lower=True)
+        hashes = texts.hashes(lower=True) if hashes is None else hashes
         words = FREQUENT + 1 + endings(texts)
         if len(frequent):
             place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
@@ -127,24 +133,67 @@ def endings(texts: Texts) -> np.ndarray:
     """A number below ENDINGS from the last three bytes of each word in lower case."""
     if not len(texts.start):
         return np.zeros(0, dtype=np.int64)
-    data = np.where((texts.data >= 65) & (texts.data <= 90), texts.data + 32, texts.data).astype(U64)
-    out = np.zeros(len(texts.start), dtype=U64)
+    out = np.zeros(len(texts.start), dtype=np.int64)
     for k in range(1, 4):
         at = texts.end - k
-        out = out * U64(257) + np.where(at >= texts.start, data[np.maximum(at, 0)] + U64(1), U64(0))
-    return (mix(out) % U64(ENDINGS)).astype(np.int64)
+        out = out * 257 + np.where(at >= texts.start, _LOWER[texts.data.take(at, mode="clip")] + 1, 0)
+    return (mix(out.view(U64)) % U64(ENDINGS)).astype(np.int64)
 
 
-def probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+def logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     # places are in range; 'clip' only spares a checked copy
-    logits = weights.take(features[0], axis=0, mode="clip")
-    part = np.empty_like(logits)
+    out = weights.take(features[0], axis=0, mode="clip")
+    part = np.empty_like(out)
     for f in features[1:]:
-        logits += weights.take(f, axis=0, mode="clip", out=part)
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+        out += weights.take(f, axis=0, mode="clip", out=part)
+    return out
+
+
+def exponents(weights: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the probabilities of each token are proportional to, and its sum. A token whose sum is far from 1 is done again, from its largest logit on."""
+    out = logits(weights, features)
+    with np.errstate(over="ignore"):
+        np.exp(out, out=out)
+        totals = out.sum(axis=1)
+    far = np.flatnonzero(~((totals > 1 / NEAR) & (totals < NEAR)))
+    if len(far):
+        again = logits(weights, features[:, far])
+        again -= again.max(axis=1, keepdims=True)
+        out[far] = np.exp(again, out=again)
+        totals[far] = again.sum(axis=1)
+    return out, totals
+
+
+def probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    out, totals = exponents(weights, features)
+    out /= totals[:, None]
+    return out
+
+
+def sums_by_feature(feature: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct features, how often each occurs, and the sums of its rows of ``values``.
+
+    The first rows of all features are taken at once, then their second rows and so on; a feature of more than ``TURNS`` rows is summed by itself.
+    """
+    low = feature.min()
+    place = feature - low
+    # 16-bit numbers are sorted by counting
+    order = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")
+    place = place[order]
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    count = np.diff(first, append=len(place))
+    often = np.argsort(-count, kind="stable")
+    first, count = first[often], count[often]
+    sums = values.take(order[first], axis=0, mode="clip")
+    more = np.searchsorted(-count, -np.arange(TURNS + 1))  # features of more than 0, 1, 2, ... rows
+    many = more[TURNS]
+    for i in range(many):
+        sums[i] = values.take(order[first[i]:first[i] + count[i]], axis=0, mode="clip").sum(axis=0)
+    for turn in range(1, TURNS):
+        if more[turn] <= many:
+            break
+        sums[many:more[turn]] += values.take(order[first[many:more[turn]] + turn], axis=0, mode="clip")
+    return place[first].astype(np.int64) + low, count, sums
 
 
 class Trainer:
@@ -160,25 +209,20 @@ class Trainer:
         n = len(cls)
         error = probabilities(self.weights, features)
         error[np.arange(n), cls] -= 1
-        flat, across = error.ravel(), np.arange(CLASSES)
         for f in features:
-            low = f.min()
-            counts = np.bincount(f - low)
-            rows = np.flatnonzero(counts)
-            count = counts[rows].astype(np.float32)
-            place = np.zeros(len(counts), dtype=np.int64)
-            place[rows] = np.arange(len(rows))
-            step = np.bincount((place[f - low][:, None] * CLASSES + across).ravel(), weights=flat, minlength=len(rows) * CLASSES)
-            step = step.reshape(len(rows), CLASSES).astype(np.float32)
-            rows += low
-            # sums of a batch grow with the feature's tokens; their noise with the root
-            step /= np.sqrt(count)[:, None]
-            squares = self.squares.take(rows, axis=0, mode="clip")
-            squares += step * step
-            self.squares[rows] = squares
-            step /= np.sqrt(squares, out=squares)
-            step *= RATE
-            self.weights[rows] -= step
+            rows, count, sums = sums_by_feature(f, error)
+            for at in range(0, len(rows), STRIP):
+                some, step = rows[at:at + STRIP], sums[at:at + STRIP]
+                # sums of a batch grow with the feature's tokens; their noise with the root
+                step /= np.sqrt(count[at:at + STRIP], dtype=np.float32)[:, None]
+                squares = self.squares.take(some, axis=0, mode="clip")
+                squares += step * step
+                self.squares[some] = squares
+                step /= np.sqrt(squares, out=squares)
+                step *= RATE
+                weights = self.weights.take(some, axis=0, mode="clip", out=squares)
+                weights -= step
+                self.weights[some] = weights
             self.seen[rows] += count
 
 
@@ -326,17 +370,18 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         out = np.empty(len(wanted), dtype=np.float32)
         for at in range(0, len(out), BATCH):
             part = slice(at, at + BATCH)
-            out[part] = probabilities(model, features[:, part])[np.arange(len(out[part])), wanted[part]]
+            each, totals = exponents(model, features[:, part])
+            out[part] = each[np.arange(len(each)), wanted[part]] / totals
         return np.log10(np.maximum(out, 1e-30).astype(np.float64))
 
     def score(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        _, counts, _, places = _distinct(table)
+        named, counts, _, places = _distinct(table)
         counts[replies["place"].to_numpy() // WORD_KINDS] = replies["total"].to_numpy()
         model = shared.value
         buckets = buckets_of(model)
         out = {name: [np.zeros(0, kind)] for name, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
         for place, (_, _, part) in zip(places, slices(table["text"], SLICE)):
-            stream = Stream(part, frequent)
+            stream = Stream(part, frequent, named[place])
             c = np.zeros(len(stream.hash), dtype=np.int64)
             words = ~stream.is_end
             c[words] = counts[place]

@@ -575,6 +575,40 @@ def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
     assert [r[:6] for r in many] == [r[:6] for r in one] and [r[6] for r in many] != [r[6] for r in one]
 
 
+def test_sums_by_feature_are_those_of_the_rows():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 700, 8192):
+        values = rng.normal(size=(n, maxent.CLASSES)).astype(np.float32)
+        for feature in (np.full(n, 9), rng.integers(0, 3, n), rng.integers(7, 9000, n), rng.zipf(1.3, n) % 200_000):
+            rows, count, sums = maxent.sums_by_feature(feature.astype(np.int32), values)
+            want = {int(f): np.flatnonzero(feature == f) for f in rows}
+            assert len(set(rows.tolist())) == len(rows) == len(np.unique(feature)) and count.tolist() == [len(x) for x in want.values()]
+            assert all(np.allclose(s, values[x].sum(axis=0, dtype=float), atol=2e-3) for s, x in zip(sums, want.values()))
+
+
+def test_a_step_sums_a_batch_without_a_number_for_each_place_of_it(monkeypatch):
+    """Positions and sums in double precision for every token and class took most of the time of training."""
+    rng = np.random.default_rng(5)
+    trainer = maxent.Trainer(np.zeros((5000, maxent.CLASSES), dtype=np.float32))
+    features, cls = rng.integers(0, 5000, (3, maxent.BATCH)).astype(np.int32), rng.integers(0, maxent.CLASSES, maxent.BATCH)
+    sizes, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **b: sizes.append(len(x)) or bincount(x, *a, **b))
+    trainer.learn(features, cls)
+    assert max(sizes, default=0) <= maxent.BATCH
+    assert trainer.seen.sum() == 3 * maxent.BATCH and abs(trainer.weights).max() <= 3 * maxent.RATE
+
+
+def test_far_logits_leave_probabilities():
+    rng = np.random.default_rng(6)
+    features = rng.integers(0, 100, (3, 50)).astype(np.int32)
+    for scale in (1, 60, 1000):
+        weights = (rng.normal(size=(100, maxent.CLASSES)) * scale).astype(np.float32)
+        logits = weights[features].astype(float).sum(axis=0)
+        want = np.exp(logits - logits.max(axis=1, keepdims=True))
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(maxent.probabilities(weights, features), want, atol=1e-3 if scale > 60 else 1e-4)
+
+
 def test_probabilities_sum_to_one():
     _, _, part = next(slices(pa.array(["a b c d", "x", None])))
     stream = maxent.Stream(part, np.zeros(0, np.uint64))
