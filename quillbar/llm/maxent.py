@@ -53,7 +53,6 @@ SLICE = 1 << 20
 """Batches end with a slice of about this many bytes of text, so it is part of the model."""
 FAN = 8
 TURNS = 64
-NEAR = 1e15
 STRIP = 512
 """Weights change so many rows at a time, which stay in a core's cache."""
 _LOWER = np.arange(256)
@@ -140,38 +139,25 @@ def endings(texts: Texts) -> np.ndarray:
     return (mix(out.view(U64)) % U64(ENDINGS)).astype(np.int64)
 
 
-def logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+def exponents(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """What the probabilities of each token are proportional to, 1 at most."""
     # places are in range; 'clip' only spares a checked copy
-    out = weights.take(features[0], axis=0, mode="clip")
-    part = np.empty_like(out)
+    logits = weights.take(features[0], axis=0, mode="clip")
+    part = np.empty_like(logits)
     for f in features[1:]:
-        out += weights.take(f, axis=0, mode="clip", out=part)
-    return out
-
-
-def exponents(weights: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the probabilities of each token are proportional to, and its sum. A token whose sum is far from 1 is done again, from its largest logit on."""
-    out = logits(weights, features)
-    with np.errstate(over="ignore"):
-        np.exp(out, out=out)
-        totals = out.sum(axis=1)
-    far = np.flatnonzero(~((totals > 1 / NEAR) & (totals < NEAR)))
-    if len(far):
-        again = logits(weights, features[:, far])
-        again -= again.max(axis=1, keepdims=True)
-        out[far] = np.exp(again, out=again)
-        totals[far] = again.sum(axis=1)
-    return out, totals
+        logits += weights.take(f, axis=0, mode="clip", out=part)
+    logits -= logits.max(axis=1, keepdims=True)
+    return np.exp(logits, out=logits)
 
 
 def probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    out, totals = exponents(weights, features)
-    out /= totals[:, None]
+    out = exponents(weights, features)
+    out /= out.sum(axis=1, keepdims=True)
     return out
 
 
 def sums_by_feature(feature: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct features, how often each occurs, and the sums of its rows of ``values``.
+    """The distinct features, how often each occurs, and the sums of its rows of ``values``, in their order and in double precision.
 
     The first rows of all features are taken at once, then their second rows and so on; a feature of more than ``TURNS`` rows is summed by itself.
     """
@@ -184,11 +170,11 @@ def sums_by_feature(feature: np.ndarray, values: np.ndarray) -> tuple[np.ndarray
     count = np.diff(first, append=len(place))
     often = np.argsort(-count, kind="stable")
     first, count = first[often], count[often]
-    sums = values.take(order[first], axis=0, mode="clip")
+    sums = values.take(order[first], axis=0, mode="clip").astype(np.float64)
     more = np.searchsorted(-count, -np.arange(TURNS + 1))  # features of more than 0, 1, 2, ... rows
     many = more[TURNS]
     for i in range(many):
-        sums[i] = values.take(order[first[i]:first[i] + count[i]], axis=0, mode="clip").sum(axis=0)
+        sums[i] = values.take(order[first[i]:first[i] + count[i]], axis=0, mode="clip").sum(axis=0, dtype=np.float64)
     for turn in range(1, TURNS):
         if more[turn] <= many:
             break
@@ -212,7 +198,7 @@ class Trainer:
         for f in features:
             rows, count, sums = sums_by_feature(f, error)
             for at in range(0, len(rows), STRIP):
-                some, step = rows[at:at + STRIP], sums[at:at + STRIP]
+                some, step = rows[at:at + STRIP], sums[at:at + STRIP].astype(np.float32)
                 # sums of a batch grow with the feature's tokens; their noise with the root
                 step /= np.sqrt(count[at:at + STRIP], dtype=np.float32)[:, None]
                 squares = self.squares.take(some, axis=0, mode="clip")
@@ -370,8 +356,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         out = np.empty(len(wanted), dtype=np.float32)
         for at in range(0, len(out), BATCH):
             part = slice(at, at + BATCH)
-            each, totals = exponents(model, features[:, part])
-            out[part] = each[np.arange(len(each)), wanted[part]] / totals
+            each = exponents(model, features[:, part])
+            out[part] = each[np.arange(len(each)), wanted[part]] / each.sum(axis=1)
         return np.log10(np.maximum(out, 1e-30).astype(np.float64))
 
     def score(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
