@@ -16,9 +16,10 @@ The join is exact and goes from sets to points to pairs:
    verified again, so a cell of near copies costs about one verification for each document.
 
 Equal sets are one class and are joined once. Keys are pre-aggregated by batch of documents, so a key of a third of all documents is a row for
-each batch. A cell above ``CELL`` classes or ``VALUES`` shingles is cut into blocks by size, and block pairs whose sizes can link are joined in
-tasks of their own, first on points alone, which cuts the cell into smaller ones, then on the sets: bounded memory, and work on points that grows
-with the square of such a cell, of classes and not of copies.
+each batch. In a cell above ``CELL`` classes or ``VALUES`` shingles most classes share no key with most others. Its points alone are joined first, key by key (keys of
+the same classes once), as linked sets have a key in common: the work follows the pairs that share a key and not the square of the cell. Where the keys have
+more pairs than the cell, as in a cell of near copies, the cell itself is joined. What ties there are the new, smaller cells. A key or cell that is still large
+is cut into blocks by size, and block pairs whose sizes can link are joined in tasks of their own, in bounded memory.
 
 Shingles are compared by 64-bit hashes. That the D + 1 keys exist fails only where more segments of a set are empty than its size allows: for 65 shingles 21 of 32 (4 are to be expected; chance
 below 1e-9), for 400 shingles 58 of 128 (6 expected; below 1e-30). At 80 percent segments are smaller: for 120 shingles 34 of 64 (10 expected), for 878
@@ -38,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from quillbar.llm.components import components
-from quillbar.llm.frames import fresh, meet, settled
+from quillbar.llm.components import components, stars
+from quillbar.llm.frames import fresh, meet, settled, width
 from quillbar.llm.words import U64, Texts, mix, signed, slices, windows
 from quillbar.operators.ordered import RowOrder
 
@@ -57,6 +58,10 @@ VALUES = 1 << 21
 WINDOW_ROWS = 1 << 20
 """Classes of a cell are numbered by a plain window up to so many rows (about 60 MB) in all, in ranges beyond."""
 SKETCH = 20
+SIEVE = 27
+"""The most bits that say which keys are wanted are two to this power."""
+KEYED = 8192
+"""Rows of a class and a key of it that a task compares at once, on average."""
 FAR = np.iinfo(np.int64).max
 
 
@@ -197,10 +202,8 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return docs.select(key, text, F.xxhash64(text).alias("_t")).mapInArrow(run, "key long, t long, a long, b long, n long")
 
 
-def cells(docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
-    """``a, cell`` of every class that shares a key with another; ``a`` is the first class hash (classes that share it share a cell)."""
-    frequent = frequent_keys(docs, text, shingle, percent)
-
+def key_groups(docs: DataFrame, text: str, shingle: int, percent: int, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, head`` of classes that share a key, and ``k, head`` for the keys of two or more classes (of keys that the same classes share, one)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
@@ -209,18 +212,44 @@ def cells(docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
                 names = sets.identity()[0][doc]
                 order = np.lexsort((names, keys))
                 keys, names = keys[order], names[order]
+                other = np.ones(len(keys), dtype=bool)
+                other[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
+                keys, names = keys[other], names[other]
                 new = np.ones(len(keys), dtype=bool)
                 new[1:] = keys[1:] != keys[:-1]
                 first = np.flatnonzero(new)
-                head = np.repeat(names[first], np.diff(np.append(first, len(keys))))
+                many = np.diff(np.append(first, len(keys)))
+                head = np.repeat(names[first], many)
                 # within the batch one class speaks for a key; the others are tied to it by a key of the two alone
                 tied = np.unique(np.stack([names[names != head], head[names != head]]), axis=1)
                 tie = mix(tied[0] ^ mix(tied[1]))
+                # what tells the classes of a key apart from those of another: their number and two sums of their names' halves
+                ties = np.zeros(2 * len(tie), dtype=np.int64)
+                half = [np.add.reduceat(x, first) if len(first) else ties for x in (signed(names) >> 32, (names & U64(0xFFFFFFFF)).astype(np.int64))]
+                alone = np.append(many == 1, np.zeros(len(ties), dtype=bool))
+                sums = pa.StructArray.from_arrays([pa.array(np.append(x, ties)) for x in (many, *half)], names=["m", "high", "low"], mask=pa.array(alone))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(np.concatenate([keys[first], tie, tie]))),
-                     pa.array(signed(np.concatenate([names[first], tied[0], tied[1]])))], names=["k", "a"])
-    listed = docs.select(text).mapInArrow(run, "k long, a long")
-    links = listed.withColumn("head", F.min("a").over(Window.partitionBy("k"))).where("a <> head").select("a", "head").distinct()
+                     pa.array(signed(np.concatenate([names[first], tied[0], tied[1]]))), sums], names=["k", "a", "sums"])
+    # dealt by key before the window's own columns are made, so that these do not move
+    listed = docs.select(text).mapInArrow(run, "k long, a long, sums struct<m:long,high:long,low:long>").repartition("k")
+    same = Window.partitionBy("k")
+    many = F.coalesce("sums.m", F.lit(1))
+    met = listed.withColumns({
+        "head": F.min("a").over(same), "last": F.max("a").over(same), "most": F.max(many).over(same), "m": F.sum(many).over(same),
+        "high": F.sum(F.coalesce("sums.high", F.shiftright("a", 32))).over(same),
+        "low": F.sum(F.coalesce("sums.low", F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)))).over(same)})
+    # a row that is not the head is a link, one that is stands for its key; the keys of ties have no classes of their own
+    met = met.where("head <> last or most > 1").where("a <> head or m > 1")
+    link = F.col("a") != F.col("head")
+    found = settled(met.select(
+        F.when(link, F.col("a")).otherwise(F.col("high")).alias("x"), F.when(link, F.col("head")).otherwise(F.col("low")).alias("y"),
+        F.when(link, 0).otherwise(F.col("m")).alias("m"), "k", "head").groupBy("x", "y", "m").agg(F.min("k").alias("k"), F.min("head").alias("head")))
+    return found.where("m = 0").select(F.col("x").alias("a"), "head"), found.where("m > 0").select("k", "head")
+
+
+def cells(links: DataFrame) -> DataFrame:
+    """``a, cell`` of every class that shares a key with another; ``a`` is the first class hash (classes that share it share a cell)."""
     return components(links, "a", "head").select(F.col("node").alias("a"), F.col("root").alias("cell"))
 
 
@@ -283,8 +312,25 @@ def _groups_of(sizes: np.ndarray) -> np.ndarray:
     return 1 << np.floor(np.log2(np.clip(sizes // 8, GROUPS, MOST_GROUPS))).astype(np.int64)
 
 
-def points(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``a, b, point``: the group counts of every class as 32-bit numbers, in ``groups_for`` of its size groups."""
+def sieve_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the top bits of the keys' hashes, set where a key has it: about 64 bits a key, 16 MB at most."""
+    bits = min(max(int(keys.count()) * 64, 1 << 16).bit_length(), SIEVE)
+    place = F.expr(f"shiftrightunsigned(k, {64 - bits}) + 1")
+    found = keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    found = found.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("held")).toArrow()
+    sieve = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for part, held in zip(found["part"].to_pylist(), found["held"]):
+        sieve[(part - 1) * 4096:part * 4096] = np.frombuffer(held.as_buffer(), dtype=np.uint8)
+    return sieve
+
+
+def _sieved(keys: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    place = (keys >> U64(64 - (8 * len(sieve) - 1).bit_length())).astype(np.int64)
+    return (sieve[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def points(docs: DataFrame, text: str, shingle: int, percent: int, frequent: np.ndarray, sieve: np.ndarray) -> DataFrame:
+    """``a, b, point, keys``: the group counts of every class as 32-bit numbers, in ``groups_for`` of its size groups, and its keys that the sieve holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
@@ -295,15 +341,23 @@ def points(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 flat = first[sets.doc] + (mix(sets.hash) & (groups[sets.doc] - 1).astype(U64)).astype(np.int64)
                 counts = np.bincount(flat, minlength=first[-1]).astype("<u4")
                 column = pa.Array.from_buffers(pa.binary(), len(groups), [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(counts.tobytes())])
+                keys, doc = cell_keys(sets, percent, frequent)
+                held = _sieved(keys, sieve)
+                keys, doc = keys[held], doc[held]
+                order = np.argsort(doc, kind="stable")
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(doc[order], np.arange(len(groups) + 1)).astype(np.int32)), pa.array(signed(keys[order])))
                 some = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
                 some = some[sets.size[some] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(one[some])), pa.array(signed(two[some])), column.take(pa.array(some))], names=["a", "b", "point"])
-    return docs.select(text).mapInArrow(run, "a long, b long, point binary").groupBy("a", "b").agg(F.first("point").alias("point"))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(one[some])), pa.array(signed(two[some])), column.take(pa.array(some)), lists.take(pa.array(some))],
+                                                 names=["a", "b", "point", "keys"])
+    found = docs.select(text).mapInArrow(run, "a long, b long, point binary, keys array<long>").groupBy("a", "b").agg(F.first(F.struct("point", "keys")).alias("p"))
+    return found.select("a", "b", "p.point", "p.keys")
 
 
-def _folded(column: pa.ChunkedArray) -> np.ndarray:
+def _folded(column: pa.ChunkedArray | list[np.ndarray]) -> np.ndarray:
     """Group counts of all rows, in as many groups as the row with the fewest: groups are low bits of a hash, so halves are added."""
-    rows = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in column]
+    rows = [np.frombuffer(x if isinstance(x, np.ndarray) else x.as_buffer(), dtype="<u4") for x in column]
     groups = min(len(r) for r in rows)
     return np.stack([r.reshape(-1, groups).sum(axis=0) for r in rows]).astype(np.int32)
 
@@ -324,6 +378,48 @@ def near_points(counts: np.ndarray, sizes: np.ndarray, percent: int, sides: np.n
     return label
 
 
+def near_pairs(rows: list[np.ndarray], sizes: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """For each pair of points whether the bound on their sets' overlap allows a link. Points have as many groups as the one with fewer."""
+    fits = (100 * sizes[one] >= percent * sizes[other]) & (100 * sizes[other] >= percent * sizes[one])
+    groups = np.array([len(r) for r in rows])
+    fewer = np.where(fits, np.minimum(groups[one], groups[other]), 0)
+    for wide in np.unique(fewer[fits]).tolist():
+        at = np.flatnonzero(fewer == wide)
+        used, place = np.unique(np.concatenate([one[at], other[at]]), return_inverse=True)
+        counts = np.stack([rows[i].reshape(-1, wide).sum(axis=0) for i in used.tolist()]).astype(np.int32)
+        left, right = place[:len(at)], place[len(at):]
+        for i in range(0, len(at), 4096):
+            some = at[i:i + 4096]
+            bound = np.minimum(counts[left[i:i + 4096]], counts[right[i:i + 4096]]).sum(axis=1)
+            fits[some] = (100 + percent) * bound >= percent * (sizes[one[some]] + sizes[other[some]])
+    return fits
+
+
+def near_groups(column: pa.ChunkedArray, sizes: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in the table that tie. Only points of one group are compared: those of a few points pair by pair, all at once, those of more by an R-tree each."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(order)))
+    rows = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in column]
+    ones, others = [], []
+    for count in np.unique(many[(many > 1) & (many <= LEAF)]).tolist():
+        low, high = np.triu_indices(count, 1)
+        start = first[many == count][:, None]
+        ones.append(order[(start + low).ravel()])
+        others.append(order[(start + high).ravel()])
+    if ones:
+        one, other = np.concatenate(ones), np.concatenate(others)
+        fits = near_pairs(rows, sizes, one, other, percent)
+        ones, others = [one[fits]], [other[fits]]
+    for start, count in zip(first[many > LEAF].tolist(), many[many > LEAF].tolist()):
+        at = order[start:start + count]
+        label = near_points(_folded([rows[i] for i in at.tolist()]), sizes[at], percent)
+        ones.append(at)
+        others.append(at[label])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ones]), np.concatenate([none, *others])
+
+
 def join_cell(values: np.ndarray, first: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
     """For each set of a cell, one set of its component, the same for all. With ``sides`` only pairs across the two sides are looked at.
 
@@ -379,7 +475,8 @@ def _stars(table: pa.Table, root: np.ndarray) -> pa.Table:
     return pa.table({"a": a[linked], "b": b[linked], "c": a[root], "d": b[root], "alone": table["alone"].take(pa.array(linked))})
 
 
-LINK = "a long, b long, c long, d long, alone boolean"
+TIE = "a long, b long, c long, d long"
+LINK = f"{TIE}, alone boolean"
 
 
 def tasks_of(heads: DataFrame, percent: int, cell_limit: int = CELL, values: int = VALUES) -> DataFrame:
@@ -418,12 +515,30 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return _by_pair(sets).applyInArrow(join_pair, LINK)
 
 
-def smaller_cells(heads: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int, cell_limit: int = CELL, values: int = VALUES) -> DataFrame:
+def ties_by_key(keyed: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links of classes whose points tie and that share a key, from ``k, a, b, n, point``. Tasks get the keys of a hash, about ``KEYED`` rows each."""
+    def tie(table: pa.Table) -> pa.Table:
+        one, other = near_groups(table["point"], table["n"].to_numpy(), table["k"].to_numpy(), percent)
+        a, b = table["a"].to_numpy(), table["b"].to_numpy()
+        # a class has a place for each of its keys; what leaves the task is a link for each class
+        place = np.unique(np.stack([a, b]), axis=1, return_inverse=True)[1].ravel()
+        some = np.zeros(len(a), np.int64)
+        some[place] = np.arange(len(a))
+        nodes, roots = stars(place[one], place[other])
+        nodes, roots = some[nodes[nodes != roots]], some[roots[nodes != roots]]
+        return pa.table({"a": a[nodes], "b": b[nodes], "c": a[roots], "d": b[roots]})
+
+    shards = max(width(keyed.sparkSession), rows // KEYED)
+    return keyed.groupBy(F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard")).applyInArrow(tie, TIE)
+
+
+def smaller_cells(heads: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int, groups: DataFrame, frequent: np.ndarray,
+                  cell_limit: int = CELL, values: int = VALUES) -> DataFrame:
     """The classes with cells of more than one block cut into smaller ones, before any set is moved.
 
     Keys tie documents that share little, and such ties add up to cells of very many classes. Their points, a sixteenth of the sets, are joined
-    first: block pair by block pair, by the R-tree's bound alone. Classes that the bound cannot tell apart, directly or through others,
-    are the new cells; a class alone in its cell links with nothing.
+    first, by the bound on the overlap alone: classes that share a key, or all pairs of the cell where those are fewer. Classes that the bound cannot
+    tell apart, directly or through others, are the new cells; a class alone in its cell links with nothing.
     """
     heads = settled(heads)
     sizes = settled(heads.groupBy("cell").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")))
@@ -432,12 +547,38 @@ def smaller_cells(heads: DataFrame, docs: DataFrame, text: str, shingle: int, pe
         return heads
     known = meet(heads, sizes, ["cell"], "classes")
     again = settled(known.where(large).drop("classes", "shingles"))
+    sieve = sieve_of(groups.join(again.select(F.col("a").alias("head")), "head", "left_semi").select("k"))
+    pointed = settled(again.select("cell", "a", "b", "n").join(points(docs, text, shingle, percent, frequent, sieve), ["a", "b"]))
+    points_of = pointed.select("a", "b", "point")
+    keyed = pointed.select("cell", "a", "b", "n", F.explode("keys").alias("k"))
+    shared = settled(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("cell").alias("cell")).where("m > 1"))
+    work = shared.groupBy("cell").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("work"), F.sum("m").alias("rows"), F.max("m").alias("most"))
+    work = settled(work.join(sizes, "cell").withColumn("dense", F.col("work") >= F.col("classes").cast("double") * F.col("classes")))
+    sums = work.groupBy("dense").agg(F.sum("rows").alias("rows"), F.max("most").alias("most")).collect()
+    dense, rows, most = any(r["dense"] for r in sums), sum(r["rows"] for r in sums if not r["dense"]), max([r["most"] for r in sums if not r["dense"]], default=0)
 
     def tie(table: pa.Table) -> pa.Table:
         return _stars(table, near_points(_folded(table["point"]), table["n"].to_numpy(), percent, _sides(table)))
 
-    tasks = tasks_of(again.select("cell", "a", "b", "n"), percent, cell_limit, 16 * values)
-    links = settled(_by_pair(tasks.join(points(docs, text, shingle), ["a", "b"])).applyInArrow(tie, LINK))
+    parts, blocks = [], []
+    if dense:
+        whole = F.broadcast(work.where("dense").select("cell"))
+        blocks.append(pointed.join(whole, "cell", "left_semi").select("cell", "a", "b", "n"))
+        pointed = pointed.join(whole, "cell", "left_anti")
+    keyed = pointed.select("a", "b", "n", "point", F.explode("keys").alias("k"))
+    if most > cell_limit:
+        # there are few keys of so many classes: less than a part in cell_limit of all
+        hot = F.broadcast(shared.where(F.col("m") > cell_limit).select("k"))
+        blocks.append(keyed.join(hot, "k", "left_semi").select(F.col("k").alias("cell"), "a", "b", "n"))
+        keyed = keyed.join(hot, "k", "left_anti")
+    if rows:
+        parts.append(ties_by_key(keyed, percent, rows))
+    if blocks:
+        tasks = tasks_of(blocks[0] if len(blocks) == 1 else blocks[0].unionByName(blocks[1]), percent, cell_limit, 16 * values)
+        parts.append(_by_pair(tasks.join(points_of, ["a", "b"])).applyInArrow(tie, LINK).drop("alone"))
+    if not parts:
+        return known.where(~large).drop("classes", "shingles")
+    links = settled(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     ends = links.select(F.struct("a", "b").alias("node"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("root"))
     found = components(ends, "node", "root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("root.a").alias("cell"))
     return known.where(~large).drop("classes", "shingles").unionByName(again.drop("cell").join(found, ["a", "b"]))
@@ -449,9 +590,10 @@ def rooted(docs: DataFrame, key: str, text: str, shingle: int, percent: int, cel
     # equal sets are one class; its smallest key, and the document of that key whose text is read again
     classes = signed_docs.where("n > 0").groupBy("a", "b", "n").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("head"))
-    found = cells(docs, text, shingle, percent)
-    heads = classes.join(found, "a").select("cell", "a", "b", "n", "head.key", "head.t")
-    heads = smaller_cells(heads, docs, text, shingle, percent, cell_limit, values)
+    frequent = frequent_keys(docs, text, shingle, percent)
+    links, groups = key_groups(docs, text, shingle, percent, frequent)
+    heads = classes.join(cells(links), "a").select("cell", "a", "b", "n", "head.key", "head.t")
+    heads = smaller_cells(heads, docs, text, shingle, percent, groups, frequent, cell_limit, values)
     # one row for each text that is read again; null keys get a number so that the join has plain columns
     chosen = tasks_of(heads, percent, cell_limit, values).select(
         F.coalesce("key", F.lit(FAR)).alias("k"), "t", "cell", "block", "blocks", "pairs")

@@ -14,7 +14,7 @@ import brute
 from quillbar.llm import (
     chat, checksums, licenses, maxent, mixing, ngram_join, packing, quality_rules, records, substring_dedup, topk,
 )
-from quillbar.llm.components import components
+from quillbar.llm.components import components, stars
 from quillbar.llm.words import Texts, slices, windows
 
 TEXTS = [(r[0], r[1]) for r in ODD]
@@ -185,6 +185,54 @@ def test_rows_of_one_key_in_several_components_all_stay(spark, odd):
     assert Counter((r["doc_id"], r["text"]) for r in found) == Counter(rows[:5])
 
 
+def test_a_chain_of_shared_passages_is_not_compared_as_one_cell(spark, monkeypatch):
+    """Texts tied to the next by a passage, and few of them near copies: no block pairs of the whole chain, and the same components."""
+    rng = np.random.default_rng(3)
+    passages = [[f"p{i}w{x}" for x in rng.integers(0, 10**6, 24)] for i in range(121)]
+    rows = [(i, " ".join(passages[i] + passages[i + 1])) for i in range(120)]
+    rows += [(200 + i, rows[i][1].replace(passages[i][0], "other")) for i in range(0, 120, 9)]
+    dealt = []
+
+    def watched(heads, *more):
+        dealt.append(max([r["count"] for r in heads.groupBy("cell").count().collect()], default=0))
+        return real(heads, *more)
+
+    real = ngram_join.tasks_of
+    monkeypatch.setattr(ngram_join, "tasks_of", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(brute.jaccard_components(rows))
+    assert sum(c != d for d, _, c in want) == 14
+    assert {(r["key"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(df, cell_limit=8).collect()} == want
+    assert dealt and max(dealt) <= 8, dealt
+
+
+def test_points_of_one_key_are_all_compared():
+    """Groups of all sizes, points of several widths: what ties is what the bound allows, within a group only."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(1, 2**62, 1200, dtype=np.uint64)
+    sets = [np.unique(base[:n]) if rng.random() < 0.7 else rng.integers(1, 2**62, n, dtype=np.uint64) for n in rng.integers(300, 1200, 160).tolist()]
+    sizes = np.array([len(x) for x in sets])
+    groups = ngram_join._groups_of(sizes)
+    rows = [np.bincount((ngram_join.mix(x) & np.uint64(g - 1)).astype(np.int64), minlength=g).astype("<u4") for x, g in zip(sets, groups.tolist())]
+    group = np.append(rng.integers(0, 40, 100), np.full(60, 99))
+    one, other = ngram_join.near_groups(pa.chunked_array([pa.array([r.tobytes() for r in rows], pa.binary())]), sizes, group, 85)
+    nodes, roots = stars(np.append(one, np.arange(160)), np.append(other, np.arange(160)))
+    assert (group[one] == group[other]).all() and len(set(groups.tolist())) > 1
+    for i in range(160):
+        for j in range(160):
+            if group[i] == group[j] and 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * (sizes[i] + sizes[j]):
+                assert roots[i] == roots[j], (i, j)
+    far = [i for i in range(100) if all(group[i] != group[j] or 100 * min(sizes[i], sizes[j]) < 85 * max(sizes[i], sizes[j]) for j in range(160) if j != i)]
+    assert far and all((roots == roots[i]).sum() == 1 for i in far)
+
+
+def test_the_sieve_holds_all_its_keys(spark):
+    keys = np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64)
+    wanted = np.append(keys[:1000], np.array([0, 2**64 - 1], dtype=np.uint64))
+    sieve = ngram_join.sieve_of(spark.createDataFrame([(x,) for x in wanted.view(np.int64).tolist()], "k long"))
+    assert ngram_join._sieved(wanted, sieve).all() and ngram_join._sieved(keys[1000:], sieve).mean() < 0.05
+
+
 def test_tree_leaves_out_no_partner():
     rng = np.random.default_rng(0)
     points = rng.poisson(5, (300, 64)).astype(np.int32)
