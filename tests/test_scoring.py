@@ -100,6 +100,25 @@ def test_exported_naive_bayes_scores_like_the_fitted_one(spark, tokens):
         assert mine["p_neutral"] == 0.0 and mine["y_pred"] == r["y_pred"]
 
 
+def test_a_model_of_more_words_than_a_worker_holds_is_split(spark, tokens, monkeypatch):
+    """The whole model scores every row, repeated and null keys too, while no worker holds more than its frequent words."""
+    train = tokens.where("y_true <> 'neutral'")
+    odd = spark.createDataFrame([(None, ["surge", None, "nowhere"]), (None, []), (10**9, None)], "headline_id long, _tokens array<string>")
+    rows = tokens.select("headline_id", "_tokens").unionByName(tokens.select("headline_id", "_tokens").limit(5)).unionByName(odd)
+    fitted = models.NaiveBayes.fit(train, "_tokens", "y_true", broadcast_rows=300)
+    words = fitted.words.count()
+    assert words > 1000
+    whole = LinearModel.of_naive_bayes(models.NaiveBayes.fit(train, "_tokens", "y_true"))
+    want = sorted(map(str, [(r[0], r[1], [round(x, 9) + 0.0 for x in r[2:]]) for r in score_model(rows, "headline_id", "_tokens", whole).collect()]))
+    monkeypatch.setattr(scoring, "MOST_WORDS", 300)
+    split = LinearModel.of_naive_bayes(fitted)
+    assert 0 < len(split.held.words) <= 300 and len(split.held.words) + split.rest.count() == words
+    for model in (split, scoring.SplitModel(LinearModel(pa.array([], pa.string()), np.zeros((0, 3)), split.held.bias),
+                                           fitted.words.select("token", *[fitted.words[f"l_{c}"].alias(s) for c, s in zip(LABELS, scoring.SUMS)]))):
+        got = score_model(rows, "headline_id", "_tokens", model, batch_size=8, max_length=20).collect()
+        assert sorted(map(str, [(r[0], r[1], [round(x, 9) + 0.0 for x in r[2:]]) for r in got])) == want
+
+
 def test_feature_table_reads_texts_once_and_moves_no_token(spark, sf_dir):
     heads = inputs.headlines(spark, sf_dir)
     out = features.feature_table(heads, inputs.bars(spark, sf_dir), inputs.lexicon(spark), inputs.NEGATIONS, inputs.BOOSTERS)
