@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from quillbar.functions.fixed_values import LABELS
 from quillbar.operators import features, lexicon, models, scoring
 from quillbar.operators.scoring import LinearModel, score_lists, score_model, windows_of
+from quillbar.plans import catalog
 from quillbar.sources import inputs
 
 MODEL = LinearModel(pa.array(["up", "down", "é"]), np.array([[-1.0, 0.0, 2.0], [1.5, 0.0, -1.0], [0.25, 0.5, 0.125]]), np.array([0.0, 0.5, 0.0]))
@@ -119,6 +120,15 @@ def test_a_model_of_more_words_than_a_worker_holds_is_split(spark, tokens, monke
         assert sorted(map(str, [(r[0], r[1], [round(x, 9) + 0.0 for x in r[2:]]) for r in got])) == want
 
 
+def test_feature_table_takes_a_model_of_any_size(spark, sf_dir, monkeypatch):
+    """The query with a model that no worker may hold whole: the same rows."""
+    query = catalog.REGISTRY["feature_table"]
+    want = sorted(map(str, query(spark, sf_dir).collect()))
+    monkeypatch.setattr(scoring, "MOST_WORDS", 300)
+    monkeypatch.setattr(models.NaiveBayes.fit.__func__, "__defaults__", (1.0, 300))
+    assert want and sorted(map(str, query(spark, sf_dir).collect())) == want
+
+
 def test_feature_table_reads_texts_once_and_moves_no_token(spark, sf_dir):
     heads = inputs.headlines(spark, sf_dir)
     out = features.feature_table(heads, inputs.bars(spark, sf_dir), inputs.lexicon(spark), inputs.NEGATIONS, inputs.BOOSTERS)
