@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quillbar.llm.components import components, stars
@@ -63,6 +63,8 @@ SIEVE = 27
 KEYED = 8192
 """Rows of a class and a key of it that a task compares at once, on average."""
 FAR = np.iinfo(np.int64).max
+WORD = "[^\\x09-\\x0D ]"
+"""What every text with a word has."""
 
 
 class Sets:
@@ -626,14 +628,18 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """The documents that keep their text: of each component the one with the smallest key (and, among rows of that key,
     the smallest text hash). Texts without a word, which link with nothing, all stay; so does a null key's row if nothing else is in its component.
     Components are told apart by their root and not by the smallest key, which several may share."""
-    signed_docs, known = rooted(docs, key, text, shingle, percent)
+    _, known = rooted(docs, key, text, shingle, percent)
     keep = known.groupBy("root").agg(F.min("head").alias("head"))
-    mark, hashed, row = fresh(docs, "keeper", "text_hash", "row_number")
-    picked = keep.select(F.col("head.key").alias(mark), F.col("head.t").alias(hashed))
-    loose = signed_docs.where("n = 0").select(F.col("key").alias(mark), F.col("t").alias(hashed)).distinct()
-    named = docs.withColumn(hashed + "0", F.xxhash64(text))
-    same = F.col(key).cast("long").eqNullSafe(F.col(mark)) & (F.col(hashed + "0") == F.col(hashed))
-    kept = named.join(picked, same, "left_semi")
-    one = Window.partitionBy(key, hashed + "0").orderBy(key)
-    kept = kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row)
-    return kept.unionByName(named.join(loose, same, "left_semi")).select(docs.columns)
+    none, number, hashed, row = fresh(docs, "no_key", "keeper", "text_hash", "row_number")
+
+    def marked(key: Column, t: Column) -> list[Column]:
+        key = key.cast("long")
+        return [key.isNull().alias(none), F.coalesce(key, F.lit(0)).alias(number), t.alias(hashed)]
+
+    # joined and numbered by the same plain columns, so that texts move once
+    named = docs.select("*", *marked(F.col(key), F.xxhash64(text)))
+    kept = named.join(keep.select(*marked(F.col("head.key"), F.col("head.t"))), [none, number, hashed], "left_semi")
+    one = Window.partitionBy(none, number, hashed, key).orderBy(key)
+    kept = kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1)
+    loose = docs.where(F.col(text).isNull() | ~F.col(text).cast("string").rlike(WORD))
+    return kept.select(docs.columns).unionByName(loose.select(docs.columns))

@@ -176,6 +176,16 @@ def test_one_of_each(odd, clashing, none):
     assert ngram_join.joined(none).count() == ngram_join.one_of_each(none).count() == 0
 
 
+def test_texts_move_once_to_the_rows_that_stay(spark):
+    """The kept rows are found by one shuffle of the texts; texts without a word stay without any."""
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(30))) for i in range(50)] + [(None, None), (60, ""), (61, " \t\n\x0b\x0c\r "), (61, ""), (62, "\x00"), (63, "\u00a0")]
+    out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(r for r in rows if r[0] != 63) + Counter([(63, "\u00a0")])
+    initial = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    plan = [line for line in initial.splitlines() if "Exchange hashpartitioning" in line and "text_hash" in line]
+    assert len(plan) == 2, initial  # the texts, and the rows they meet
+
+
 def test_rows_of_one_key_in_several_components_all_stay(spark, odd):
     """Null keys and a repeated key, on texts that nothing links."""
     kept = [r["text"] for r in ngram_join.one_of_each(odd).collect() if r["doc_id"] is None]
